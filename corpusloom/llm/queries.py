@@ -8,13 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_codec, simhash_ball
+from corpusloom.llm import bpe_codec, quality_qda, simhash_ball, source_mix, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_back(written)
+
+
+def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_qda.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= quality_qda.KEEP_AT, 1).otherwise(0)
+    return scored.select("doc_id", quality_qda.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe_codec.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
@@ -27,6 +42,9 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
+    "op5_quality_qda": op5_quality_qda,
+    "op7_source_mix": op7_source_mix,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_simhash_groups": op10_simhash_groups,
 }
