@@ -7,8 +7,8 @@ flip from either. Every distinct fingerprint therefore emits, for each of the th
 of their single-bit variants - the ball of half the remaining radius, 131 rows in all. Rows are shuffled on the variant; fingerprints that
 meet are verified by their full distance. No pair within the radius can be missed and false meetings are dropped.
 
-Balls are made of distinct fingerprints only, so copies cost nothing and no variant key is hot because of them. Within
-a meeting place only as many edges are kept as hold its linked members together, never all pairs.
+Balls are made of distinct fingerprints only, so copies cost nothing and no variant key is hot because of them. A task
+gives only as many edges as hold its linked fingerprints together, never all pairs.
 
 Defined results: a null or empty text has the fingerprint zero, linked like any other; a null doc_id stays and never
 becomes a component id unless a whole component has no other; repeated rows give repeated rows; an empty table gives an
@@ -31,6 +31,8 @@ from corpusloom.llm.shared import parts, stored, texts
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Blocks of bits, of which one is hidden at a time.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Distinct fingerprints in a meeting place that are compared directly.
+LARGE = 4096
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -89,54 +91,82 @@ def variants(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.concat(*balls)).alias("variant"), "fp")
 
 
-def bucket_edges(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the linked ones of the distinct ``fps`` of a meeting place: one for each that isn't first in its group."""
-    if len(fps) == 2:
-        near = int(np.bitwise_count(fps[0] ^ fps[1])) <= radius
-        return (fps[1:], fps[:1]) if near else (fps[:0], fps[:0])
-    rest, us, vs = fps, [], []
-    while len(rest) > 1:
-        root, frontier, rest = rest[0], rest[:1], rest[1:]
-        while len(frontier) and len(rest):
-            near = np.zeros(len(rest), bool)
-            for f in frontier:
-                near |= np.bitwise_count(rest ^ f) <= radius
-            frontier, rest = rest[near], rest[~near]
-            us.append(frontier)
-            vs.append(np.full(len(frontier), root))
-    return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same groups from fewer edges: each node but the least of its group, with that least one."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, label[a], low)
+        np.minimum.at(now, label[b], low)
+        while (up := now[now] != now).any():
+            now[up] = now[now[up]]
+        if (now == label).all():
+            break
+        label = now
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _near(key: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of equal key within the radius; rows are sorted by key. Each row meets those after it in its run."""
+    end = np.searchsorted(key, key, side="right")
+    at, step = np.arange(len(key)), 1
+    while len(at := at[at + step < end[at]]):
+        near = np.bitwise_count(fp[at] ^ fp[at + step]) <= radius
+        yield fp[at[near]], fp[at[near] + step]
+        step += 1
+
+
+def bucket_edges(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, large: int = LARGE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of the meeting places; rows are sorted by key.
+
+    A place of more than ``large`` fingerprints is parted once more: two within the radius agree in one of
+    ``radius + 1`` blocks of bits at least, so only those that agree in a block are compared.
+    """
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(heads, len(key)))
+    size = np.repeat(sizes, sizes)
+    some = (size > 1) & (size <= large)
+    yield from _near(key[some], fp[some], radius)
+    for i, n in zip(heads[sizes > large].tolist(), sizes[sizes > large].tolist(), strict=True):
+        own, width = np.unique(fp[i : i + n]), 64 // (radius + 1)
+        for block in range(radius + 1):
+            part = own >> np.uint64(block * width) & np.uint64((1 << width) - 1)
+            order = np.argsort(part, kind="stable")
+            yield from _near(part[order], own[order], radius)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of rows sorted by variant; a run of one variant may go over several batches."""
     held_key, held = np.empty(0, np.int64), np.empty(0, np.uint64)
+    us, vs, waiting = [], [], 0
 
-    def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        tails = np.concatenate((heads[1:], [len(key)]))
-        several = tails - heads > 1
-        us, vs = [], []
-        for i, j in zip(heads[several].tolist(), tails[several].tolist(), strict=True):
-            u, v = bucket_edges(np.unique(fp[i:j]))
+    def collect(key: np.ndarray, fp: np.ndarray) -> None:
+        nonlocal us, vs, waiting
+        for u, v in bucket_edges(key, fp):
             us.append(u)
             vs.append(v)
-        if not us:
-            return None
-        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64), pa.int64()) for c in (0, 1)], ["u", "v"]) if len(pairs) else None
+            waiting += len(u)
+            if waiting > 1 << 20:
+                u, v = stars(np.concatenate(us), np.concatenate(vs))
+                us, vs, waiting = [u], [v], 0
 
     for batch in batches:
         key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
         fp = np.concatenate((held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1]))
-        held_key, held = key[cut:], np.unique(fp[cut:])
-        held_key = held_key[: len(held)]
-        if cut and (out := edges(key[:cut], fp[:cut])) is not None:
-            yield out
-    if len(held) > 1 and (out := edges(held_key, held)) is not None:
-        yield out
+        if len(key):
+            cut = int(np.searchsorted(key, key[-1]))
+            collect(key[:cut], fp[:cut])
+            held = np.unique(fp[cut:])
+            held_key = np.full(len(held), key[-1])
+    collect(held_key, held)
+    if us:
+        found = stars(np.concatenate(us), np.concatenate(vs))
+        for i in range(0, len(found[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64), pa.int64()) for x in found], ["u", "v"])
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
