@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_codec, quality_qda, simhash_ball, source_mix, token_files
+from corpusloom.llm import bpe_codec, license_scan, quality_cascade, quality_qda, simhash_ball, source_mix, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_back(written)
@@ -30,6 +34,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.cascade(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe_codec.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
@@ -42,9 +50,11 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op4_token_files": op4_token_files,
     "op5_quality_qda": op5_quality_qda,
     "op7_source_mix": op7_source_mix,
+    "op8_quality_cascade": op8_quality_cascade,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_simhash_groups": op10_simhash_groups,
 }
