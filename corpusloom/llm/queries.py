@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_codec, license_scan, quality_cascade, quality_qda, simhash_ball, source_mix, token_files
+from corpusloom.llm import bpe_codec, license_scan, quality_cascade, quality_qda, simhash_ball, source_mix, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_qda.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_token_files": op4_token_files,
     "op5_quality_qda": op5_quality_qda,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_bpe_codec": op9_bpe_codec,

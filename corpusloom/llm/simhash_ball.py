@@ -186,7 +186,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each group stays: the one with the least id.
 
     Where rows repeat that id, the first read of them stays. A row without id stays only if no row of its group has
