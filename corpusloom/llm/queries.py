@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_codec, license_scan, quality_cascade, quality_qda, simhash_ball, source_mix, suffix_dedup, token_files
+from corpusloom.llm import bm25_wand, bpe_codec, license_scan, quality_cascade, quality_qda, simhash_ball, source_mix, suffix_dedup, token_files, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,30 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replica of the archive has a damaged first byte in the pages of every 97th id."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rotten = (F.col("page_id") % 97 == 13) & (F.length("html") > 0)
+    replica = pages.withColumn("html", F.when(rotten, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    return warc_fixity.audit(pages, replica).select("page_id", "file", "offset", "length", "digest", "intact")
+
+
+_RECORD = """concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', url,
+ chr(13), chr(10), 'WARC-Date: 2024-01-01T00:00:00Z', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10))"""
+
+OP2_SQL = f"""
+WITH records AS (SELECT page_id, page_id // 1024 AS file, {_RECORD} AS record, page_id % 97 = 13 AND length(html) > 0 AS rotten FROM pages)
+SELECT page_id, file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+ CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest, NOT rotten AS intact
+FROM records
+"""
+
+
+def op3_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bm25_wand.search(docs, docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_back(written)
@@ -55,6 +79,8 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_warc_fixity": op2_warc_fixity,
+    "op3_bm25_search": op3_bm25_search,
     "op4_token_files": op4_token_files,
     "op5_quality_qda": op5_quality_qda,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -64,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc_fixity": OP2_SQL}
