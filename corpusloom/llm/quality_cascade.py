@@ -113,11 +113,11 @@ class Measured(NamedTuple):
     rejected: float
 
 
-def measure(rows: DataFrame, table: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """The rules by descending rejection per cost, as a sample of ``base`` rows shows it."""
-    total = rows.select("doc_id").count()
-    sampled = rows.sample(min(1.0, sample_rows / total), seed=7) if total > sample_rows else rows
-    sampled = stored(sampled, "rule-sample")
+def measure(docs: DataFrame, table: list[Rule], sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[Measured]:
+    """The rules by descending rejection per cost, as a sample of the documents shows it."""
+    total = docs.select(F.lit(1)).count()
+    sampled = docs.sample(min(1.0, sample_rows / total), seed=7) if total > sample_rows else docs
+    sampled = stored(base(sampled, id_col, text_col), "rule-sample")
     seen = max(1, sampled.count())
 
     def timed(rejects: Column) -> tuple[float, int]:
@@ -137,7 +137,7 @@ def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tab
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)``."""
     rows = base(docs, id_col, text_col)
     table = rules() if table is None else table
-    ordered = [m.rule for m in measure(rows, table, sample_rows)]
+    ordered = [m.rule for m in measure(docs, table, sample_rows, id_col, text_col)]
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     verdict = F.when(base_failed, F.lit(False))
     for rule in ordered:
