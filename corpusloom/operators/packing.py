@@ -73,40 +73,36 @@ def part_map(rows: DataFrame, max_tokens: int, group: str, order: list[str], alo
         return rows.select(group, *order, "tokens", F.lit(1).cast("bigint").alias("part"))
     spark = rows.sparkSession
     keyed = rows.select(F.col(group).alias("g"), F.struct(*order).alias("o"), F.col("tokens").cast("bigint").alias("tokens"), (F.col(alone) if alone else F.lit(False)).alias("alone"))
-    dealt = keyed.repartitionByRange(n_parts(spark), "g", "o").withColumn("piece", F.spark_partition_id())
+    #: a row's id grows with its place in its piece and so stands for its order, whatever the type of that
+    dealt = keyed.repartitionByRange(n_parts(spark), "g", "o").sortWithinPartitions("g", "o").withColumns({"piece": F.spark_partition_id(), "k": F.monotonically_increasing_id()})
     dealt = stored(dealt, "pack")
     kind = dealt.schema["g"].dataType.simpleString()
 
     def report(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("k")
         found = summary(df.tokens.to_numpy(), df.alone.to_numpy(), max_tokens)
-        out = pd.DataFrame(found, columns=["at", "before", "opened", "last"])
-        return out.assign(g=df.g.iloc[0], piece=df.piece.iloc[0])
+        return pd.DataFrame(found, columns=["at", "before", "opened", "last"]).assign(g=df.g.iloc[0], piece=df.piece.iloc[0])
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         out, held, part = [], -1, 0
         for piece, own in df.sort_values(["piece", "at"]).groupby("piece", sort=True):
             out.append((piece, held, part))
-            before = own.before.to_numpy()
-            fits = own["at"].to_numpy()[before <= max_tokens - held] if held >= 0 else np.array([0])
-            state = own[own["at"] == fits.max()].iloc[0]
+            fits = own["at"][own.before <= max_tokens - held].max() if held >= 0 else 0
+            state = own[own["at"] == fits].iloc[0]
             held = held + int(state.before) if state["last"] == -2 else int(state["last"])
             part += int(state.opened)
-        return pd.DataFrame(out, columns=["piece", "held", "opened"]).assign(g=df.g.iloc[0])
+        return pd.DataFrame(out, columns=["piece2", "held", "entered"]).assign(g2=df.g.iloc[0])
 
     def number(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("k")
-        return df.assign(part=numbered(df.tokens.to_numpy(), df.alone.to_numpy(), int(df.held.iloc[0]), max_tokens, int(df.opened.iloc[0])))[["g", "piece", "k", "part"]]
-
-    #: a row's place in its piece stands for its order, whatever its type
-    from pyspark.sql.window import Window
-
-    placed = stored(dealt.withColumn("k", F.row_number().over(Window.partitionBy("piece", "g").orderBy("o")).cast("bigint")), "pack-places")
-    reports = placed.select("g", "piece", "k", "tokens", "alone").groupBy("g", "piece").applyInPandas(report, f"g {kind}, piece int, at bigint, before bigint, opened bigint, last bigint")
-    entries = reports.groupBy("g").applyInPandas(fold, f"g {kind}, piece int, held bigint, opened bigint")
-    joined = placed.join(entries.withColumnRenamed("g", "g2").withColumnRenamed("piece", "piece2"), F.col("g").eqNullSafe(F.col("g2")) & (F.col("piece") == F.col("piece2")))
-    got = joined.select("g", "piece", "k", "tokens", "alone", "held", "opened").groupBy("g", "piece").applyInPandas(number, f"g {kind}, piece int, k bigint, part bigint")
-    final = placed.join(got.withColumnRenamed("g", "g2").withColumnRenamed("piece", "piece2").withColumnRenamed("k", "k2"), F.col("g").eqNullSafe(F.col("g2")) & (F.col("piece") == F.col("piece2")) & (F.col("k") == F.col("k2")))
+        return df[["k"]].assign(part=numbered(df.tokens.to_numpy(), df.alone.to_numpy(), int(df.held.iloc[0]), max_tokens, int(df.entered.iloc[0])))
+
+    narrow = dealt.select("g", "piece", "k", "tokens", "alone")
+    reports = narrow.groupBy("g", "piece").applyInPandas(report, f"g {kind}, piece int, at bigint, before bigint, opened bigint, last bigint")
+    entries = reports.groupBy("g").applyInPandas(fold, f"g2 {kind}, piece2 int, held bigint, entered bigint")
+    known = narrow.join(entries, F.col("g").eqNullSafe(F.col("g2")) & (F.col("piece") == F.col("piece2")))
+    got = known.groupBy("g", "piece").applyInPandas(number, "k bigint, part bigint")
+    final = stored(dealt.join(got, "k"), "packed")
     return final.select(F.col("g").alias(group), *[F.col(f"o.{c}").alias(c) for c in order], "tokens", "part")
 
 

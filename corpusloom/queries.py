@@ -249,9 +249,9 @@ query_of(
 )(lambda s, d: packing.part_map(_docs(s, d, "conversations").select("conv_id", "turn", text.count_tokens(_c("text")).alias("tokens")), 8000, "conv_id", ["turn"]))
 query_of(
     "pack_lineitem",
-    f"{_fold('l_returnflag', 'l_orderkey, l_linenumber, l_partkey', 'lineitem', 'l_quantity', 500)} SELECT g AS l_returnflag, part, count(*) AS sections, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY g, part",
+    f"{_fold('l_returnflag', 'l_orderkey, l_linenumber, l_partkey, l_quantity', 'lineitem', 'l_quantity', 500)} SELECT g AS l_returnflag, part, count(*) AS sections, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY g, part",
 )(
-    lambda s, d: packing.part_map(_docs(s, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("tokens")), 500, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey"])
+    lambda s, d: packing.part_map(_docs(s, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("l_quantity").cast("bigint").alias("tokens")), 500, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
     .groupBy("l_returnflag", "part")
     .agg(F.count("*").alias("sections"), F.sum("tokens").alias("tokens"))
 )
