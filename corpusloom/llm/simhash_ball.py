@@ -33,6 +33,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 #: Distinct fingerprints in a meeting place that are compared directly.
 LARGE = 4096
+#: Rows that are compared in one go.
+GATHERED = 1 << 17
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -139,6 +141,20 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, large: i
             yield from _near(part[order], own[order], radius)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and fingerprints of some batches at a time."""
+    keys, fps, n = [], [], 0
+    for batch in batches:
+        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
+        fps.append(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+        n += batch.num_rows
+        if n >= GATHERED:
+            yield np.concatenate(keys), np.concatenate(fps)
+            keys, fps, n = [], [], 0
+    if n:
+        yield np.concatenate(keys), np.concatenate(fps)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of rows sorted by variant; a run of one variant may go over several batches."""
     held_key, held = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -154,14 +170,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 u, v = stars(np.concatenate(us), np.concatenate(vs))
                 us, vs, waiting = [u], [v], 0
 
-    for batch in batches:
-        key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        if len(key):
-            cut = int(np.searchsorted(key, key[-1]))
-            collect(key[:cut], fp[:cut])
-            held = np.unique(fp[cut:])
-            held_key = np.full(len(held), key[-1])
+    for key, fp in _gathered(batches):
+        key, fp = np.concatenate((held_key, key)), np.concatenate((held, fp))
+        cut = int(np.searchsorted(key, key[-1]))
+        collect(key[:cut], fp[:cut])
+        held = np.unique(fp[cut:])
+        held_key = np.full(len(held), key[-1])
     collect(held_key, held)
     if us:
         found = stars(np.concatenate(us), np.concatenate(vs))
