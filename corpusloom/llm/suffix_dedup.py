@@ -264,11 +264,11 @@ def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_kinds: i
     """``(row, begin, end)``: overlapping marks over all that repeats; ``docs`` has row and raw, the text's bytes."""
     found = stored(_anchor_table(docs, width, gram), "anchors")
     several = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    several = stored(several.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "several")  # so that the join is of two plain exchanges, whose hot keys Spark can split
-    shared = stored(found.join(several, "anchor"), "shared-anchors")
+    several = stored(several.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "several")  # so that the join is a merge of two plain exchanges, whose hot keys Spark can split
+    shared = stored(found.join(several.hint("merge"), "anchor"), "shared-anchors")
     kinds = stored(shared.groupBy("anchor", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
     twice = kinds.where("n > 1").select("anchor", "context")
-    copies = shared.join(twice, ["anchor", "context"]).select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end"))
+    copies = shared.join(twice.hint("merge"), ["anchor", "context"]).select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end"))
     mixed = kinds.where("mixed")
     frequent = stored(mixed.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "frequent")
     wanted = mixed.join(frequent, "anchor").select("anchor", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("alone"), "hot")
