@@ -11,7 +11,8 @@ stay near the target, and no document is emitted more than ``most_copies`` times
 
 The running sum needs each document's rank in its source. It is found in two levels, so that no source, however large, is one
 task's: documents fall into size classes (at most a few hundred) times buckets of a hash of their id; cells are
-counted, the counts are summed up over the cells of a source, and documents are numbered within their own cell only.
+counted, the counts are summed up over the classes of a source and over the buckets of a class, and documents are numbered
+within their own cell only.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a source without words has
 target 0 and gives nothing; a null doc_id is an id; repeated rows are numbered each for itself; an empty table gives an
@@ -67,8 +68,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cell = ["source", "class", "bucket"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     goals = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    in_source = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("before", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
+    preceding = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).select("source", "class", preceding(["source"], "class").alias("larger"))
+    placed = cells.withColumn("before", preceding(["source", "class"], "bucket")).join(classes, ["source", "class"]).withColumn("before", F.col("before") + F.col("larger"))
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     placed = placed.join(goals, "source").select(
         *cell, "before", "source_size", "target", offset.alias("offset"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")
