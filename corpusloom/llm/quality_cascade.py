@@ -96,7 +96,7 @@ def rules() -> list[Rule]:
     return [
         Rule("symbols", _share(F.col("n_symbols"), n) > 0.1),
         Rule("word_length", (_share(F.col("word_chars"), n) < 2) | (_share(F.col("word_chars"), n) > 20)),
-        Rule("duplicate_lines", _share(F.col("n_dup_lines"), F.col("n_lines")) > 0.3),
+        Rule("duplicate_lines", (F.col("n_dup_lines") > 2) & (_share(F.col("n_dup_lines"), F.col("n_lines")) > 0.3)),
         Rule("shouting", _share(F.regexp_count(text, F.lit(r"\b[A-Z]{2,}\b")), n) > 0.3),
         Rule("exclamations", _share(F.regexp_count(text, F.lit("!")), n) > 0.15),
         Rule("few_letters", _share(F.size(F.filter(F.col("words"), lambda w: w.rlike(r"\p{L}"))), n) < 0.7),
