@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.shared import SPACE_CLASS, parts
+from corpusloom.llm.shared import SPACE_CLASS, parts, stored
 
 #: Weights by rank of the source, repeating; share of all words; most copies; seed of the offsets.
 WEIGHTS, BUDGET, MOST_COPIES, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 17
@@ -65,6 +65,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         words(F.col(f"`{text_col}`").cast("string")).alias("size"),
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
     ).withColumns({"class": -size_class(F.col("size")), "bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts(spark)))})
+    if not keep:  # three columns of numbers and a name: cheaper to keep than to count the words again
+        rows = stored(rows, "sizes")
     cell = ["source", "class", "bucket"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     goals = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
