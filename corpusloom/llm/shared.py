@@ -1,52 +1,16 @@
-"""Helpers that the operators of this subpackage share: the shared folder and durable intermediate tables."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points that part words in the contracts that speak of white space.
-SPACE_CLASS = r"\x20\x09-\x0D"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is absent (tests, notebooks in local mode) a temporary folder stands in for it.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get().rpartition("/")[0]
-    if not found:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from corpusloom.shared import parts, scratch_path, shared_dir, stored
 
+__all__ = ["SPACE_CLASS", "parts", "scratch_path", "shared_dir", "stored", "texts"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def parts(spark: SparkSession) -> int:
-    """Tasks of a shuffle, as the session is set."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Code points that part words in the contracts that speak of white space.
+SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
