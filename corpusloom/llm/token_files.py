@@ -12,7 +12,8 @@ Files are written under a name of the attempt and then renamed, so a repeated or
 go through ``pyarrow.fs`` to whatever store the folder's address names.
 
 Encoding. The tokenizers library encodes the text between safe boundaries (a blank with a non-space on either side,
-where its byte-level split always starts afresh); what it gives for such a piece is remembered in each worker.
+where its byte-level split always starts afresh); what it gives for such a piece is remembered in each worker. Words go to its
+merges directly, other pieces through its split as well.
 
 Defined results: a null or empty text gives the end id alone; null doc_ids come first; repeated rows are written each
 for itself, in any order among themselves; an empty table gives no shard and an empty result; further columns are
@@ -24,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,18 @@ from corpusloom.llm.shared import parts, scratch_path, stored, texts
 
 #: Ids in a sequence, sequences in a batch, and pieces that a worker remembers.
 LENGTH, BATCH_ROWS, REMEMBERED = 2048, 128, 400_000
-_UNSAFE = re.compile(r"\s | \s|^ | \Z")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+_MARKS = ".,;:!?"
+# The characters by which byte-level merges show bytes that aren't printable.
+_SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _pieces(text: str) -> list[str]:
+    """A text cut at safe boundaries, without the blanks there."""
+    return [x[1:] if i else x for i, x in enumerate(_SAFE.split(text))]
+
+
 class Encoder:
     """The library's tokenizer and the pieces seen so far; one in each Python worker."""
 
@@ -52,27 +61,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         #: what follows a blank -> the ids of blank and piece, as bytes
         self.after_blank: dict[str, bytes] = {}
 
+        self.model = self.tokenizer.model
+        self.marks = dict(zip(_MARKS, self._encoded(list(_MARKS)), strict=True))
+
     @staticmethod
     def of(path: str) -> Encoder:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [self._bytes(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """A blank and letters, which the split leaves whole: straight to the library's merges."""
+        return self._bytes([t.id for t in self.model.tokenize("\u0120" + word.encode().decode("latin-1").translate(_SHOWN))])
+
+    def _learn(self, new: set[str]) -> None:
+        known, others = self.after_blank, []
+        for p in new:
+            if p.isalpha():
+                known[p] = self._word(p)
+            elif p[-1] in self.marks and p[:-1].isalpha():  # a mark before a blank is split off
+                word = known.get(p[:-1])
+                if word is None:
+                    word = known[p[:-1]] = self._word(p[:-1])
+                known[p] = word + self.marks[p[-1]]
+            else:
+                others.append(p)
+        known.update(zip(others, self._encoded([" " + p for p in others]), strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``self.dtype``."""
-        split = [t.split(" ") if not _UNSAFE.search(t) else [x[1:] if i else x for i, x in enumerate(_SAFE.split(t))] for t in batch]
+        """The ids of each text, as bytes of ``self.dtype``.
+
+        Pieces between single blanks are looked up. One that is empty or has white space at an end is never known; its text is
+        cut at safe boundaries instead.
+        """
         known = self.after_blank
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({p for pieces in split for p in pieces[1:] if p not in known})
-        known.update(zip(new, self._encoded([" " + p for p in new]), strict=True))
-        return [first + b"".join([known[p] for p in pieces[1:]]) for first, pieces in zip(self._encoded([p[0] for p in split]), split, strict=True)]
+        split, found, new = [], [], set()
+        for text in batch:
+            pieces = text.split(" ")
+            if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
+                pieces = _pieces(text)
+            ids = list(map(known.get, pieces[1:]))
+            if None in ids:
+                missing = {p for p, x in zip(pieces[1:], ids, strict=True) if x is None}
+                if any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
+                    pieces = _pieces(text)
+                    ids = list(map(known.get, pieces[1:]))
+                    missing = {p for p, x in zip(pieces[1:], ids, strict=True) if x is None}
+                new |= missing
+            split.append(pieces)
+            found.append(ids)
+        self._learn(new)
+        firsts = self._encoded([p[0] for p in split])
+        return [first + b"".join([known[p] if x is None else x for p, x in zip(pieces[1:], ids, strict=True)]) for first, pieces, ids in zip(firsts, split, found, strict=True)]
 
 
 class _Shard:
