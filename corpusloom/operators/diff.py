@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.languages import basename, dirname, suffix
 from corpusloom.functions.text import count_tokens
-from corpusloom.operators.textdiff import similar_over, text_diffs
+from corpusloom.operators.textdiff import command_diffs, similar_over, text_diffs
 from corpusloom.shared import stored
 
 #: Types in the order in which a grouped report has them.
@@ -142,3 +142,12 @@ def grouped(sections: DataFrame, header: str) -> DataFrame:
     headings = rows.select("rank").distinct().select(F.lit("header").alias("type"), F.lit("").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("double").alias("similarity"), F.concat(F.lit("### "), F.initcap(F.element_at(F.array(*map(F.lit, TYPES)), (F.col("rank") / 2).cast("int"))), F.lit("\n")).alias("content"), (F.col("rank") - 1).alias("rank"))
     first = sections.sparkSession.createDataFrame([("header", "", None, None, header, 0)], f"{SECTION}, rank int")
     return first.unionByName(headings).unionByName(rows.select(*headings.columns))
+
+
+def command_sections(old: DataFrame, new: DataFrame, fmt: str = "markdown") -> DataFrame:
+    """Sections of ``(label, content)`` of commands' outputs, joined on the label."""
+    both = old.select("label", F.col("content").alias("old")).join(new.select("label", F.col("content").alias("new")), "label", "full_outer")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified")
+    told = command_diffs(fmt)("old", "new", "label")
+    made = both.where(~F.col("old").eqNullSafe(F.col("new"))).select(kind.alias("type"), F.col("label").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("double").alias("similarity"), told.alias("content"))
+    return made.where("content <> ''")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 from corpusloom.functions.languages import lang_for_path
 from corpusloom.functions.predicates import excluded
 from corpusloom.functions.text import decoded
+from corpusloom.functions.tokenizers import load
 from corpusloom.operators import diff as D
 from corpusloom.operators import structural
+from corpusloom.operators.incremental import updated
 from corpusloom.plans import collect as C
 from corpusloom.plans.profiles import Profile, get_profile, load_config
+from corpusloom.shared import stored
 from corpusloom.sources import commands, files
+from corpusloom.streaming.incremental import load_cache, save_cache
 from corpusloom.sources.store import SnapshotNotFound, SnapshotStore, StoreError
 
 STORE = ".corpusloom"
@@ -31,8 +36,30 @@ class Engine:
     def profile(self, name: str = "full") -> Profile:
         return get_profile(name, self.config)
 
-    def collect(self, profile: Profile, **how) -> C.Collected:
-        return C.collect(self.spark, self.root, profile, **how)
+    def collect(self, profile: Profile, incremental: bool = False, **how) -> C.Collected:
+        """The parts of the tree; ``incremental``: of files that are new or changed since the last such call."""
+        if not incremental:
+            return C.collect(self.spark, self.root, profile, **how)
+        folder = self.root / STORE / "cache"
+        cache = load_cache(self.spark, folder)
+        scanned = stored(C.scanned(self.spark, self.root, profile), "scanned")
+        found = C.collect(self.spark, self.root, profile, cache=cache, corpus=scanned, **how)
+        save_cache(updated(scanned, cache), folder, int(time.time()))
+        return found
+
+    def write_diff(self, sections: DataFrame, folder: str | Path, profile: Profile) -> list[str]:
+        """Sections of a comparison as numbered files, each headed by what it holds."""
+        order = ["rank", "path"] if "rank" in sections.columns else ["type", "path"]
+        rows = stored(sections.select("type", F.col("path").alias("name"), "content", F.struct(*order).alias("seq")), "diff-sections")
+        packed = C.pack(rows.select("seq", F.col("name").alias("path"), "content"), profile, load(profile.tokenizer, self.root, profile.chars_per_token))
+        placed = packed.sections.select("seq", "part").distinct().join(rows, "seq")
+        counts = {r.part: r.asDict() for r in D.stats(placed, ["part"]).toLocalIterator()}
+        total = len(counts)
+        headers = []
+        for part in sorted(counts):
+            told = ", ".join(f"{counts[part][t]} {t}" for t in D.TYPES if counts[part][t]) or "no changes"
+            headers.append(f"Part {part} of {total}. Changes: {told}\n\n")
+        return C.write(packed, folder, profile, self.config.project_name, headers=headers)
 
     def collect_remote(self, url: str, profile: Profile) -> C.Collected:
         """A clone's parts; its commands are never run."""
@@ -79,8 +106,6 @@ class Engine:
 
         Statistics are of sections before grouping. Modes: ``full``; ``structural``, modified files by blocks; ``repo-map``, by signatures.
         """
-        from corpusloom.shared import stored
-
         old_id = self.resolve(snapshot_id)
         old = self.store.entries(old_id)
         if to is not None:
@@ -95,9 +120,9 @@ class Engine:
         sections = D.file_sections(old_files, new_files, contents, fmt, line_numbers)
         if mode != "full":
             sections = self._by_blocks(sections, old_files, new_files, contents, fmt, mode)
-        commands_of = lambda df: df.where("kind <> 'file'").select(F.col("label").alias("path"), "sha256")
+        outputs = lambda df: df.where("kind <> 'file'").join(contents, "sha256").select("label", "content")
         if to is not None or allow_commands:
-            sections = sections.unionByName(D.file_sections(commands_of(old), commands_of(new), contents, fmt, line_numbers))
+            sections = sections.unionByName(D.command_sections(outputs(old), outputs(new), fmt))
         sections = stored(sections, "sections")
         counts = D.stats(sections).first().asDict()
         return counts, sections if flat else D.grouped(sections, D.summary(counts, old_id, to))

@@ -80,8 +80,14 @@ def corpus_sections(corpus: DataFrame, profile: Profile, order: list[Column], mo
     return made.withColumn("content", compress(F.col("content"))) if profile.compress else made
 
 
-def collect(spark: SparkSession, root: str | Path, profile: Profile, mode: str = "full", text_query: str | None = None, cache: DataFrame | None = None, allow_commands: bool = False, include_pre: bool = False, strict: bool = False) -> Collected:
-    """The parts of a tree. With a ``cache``, of its new and changed files only; a command takes the place of files."""
+def scanned(spark: SparkSession, root: str | Path, profile: Profile) -> DataFrame:
+    """The files of a profile, with their hashes."""
+    rows = files.scan(spark, root, list(profile.directories), list(profile.patterns), list(profile.files))
+    return rows.withColumn("sha256", incremental.file_hash(F.col("content"), F.col("size")))
+
+
+def collect(spark: SparkSession, root: str | Path, profile: Profile, mode: str = "full", text_query: str | None = None, cache: DataFrame | None = None, allow_commands: bool = False, include_pre: bool = False, strict: bool = False, corpus: DataFrame | None = None) -> Collected:
+    """The parts of a tree, or of a ``corpus`` that was scanned before. With a ``cache``, of its new and changed files only; a command takes the place of files."""
     root = Path(root)
     tokens = load(profile.tokenizer, root, profile.chars_per_token, spark=spark)
     pre = commands.run_all(list(profile.pre_commands), root, allow_file_args=True) if allow_commands else []
@@ -91,12 +97,11 @@ def collect(spark: SparkSession, root: str | Path, profile: Profile, mode: str =
         split = one.select(F.posexplode(splitting.split_text(F.col("text"), profile.max_tokens, profile.split_mode, profile.split_marker)).alias("seq", "content"))
         return pack(split.select(F.col("seq").cast("bigint").alias("seq"), F.lit(profile.command[:50]).alias("path"), "content"), profile, tokens, strict)
     profile = dataclasses.replace(profile, exclude_patterns=tuple(excludes(profile, root)))
-    scanned = files.scan(spark, root, list(profile.directories), list(profile.patterns), list(profile.files))
+    corpus = scanned(spark, root, profile) if corpus is None else corpus
     if cache is not None:
-        hashed = scanned.withColumn("sha256", incremental.file_hash(F.col("content"), F.col("size")))
-        due = incremental.changes(hashed, cache).where("state in ('new', 'changed')")
-        scanned = scanned.join(due.select("path"), "path", "left_semi")
-    return pack(corpus_sections(scanned, profile, files.in_order(), mode, text_query, pre, include_pre), profile, tokens, strict)
+        due = incremental.changes(corpus, cache).where("state in ('new', 'changed')")
+        corpus = corpus.join(due.select("path"), "path", "left_semi")
+    return pack(corpus_sections(corpus, profile, files.in_order(), mode, text_query, pre, include_pre), profile, tokens, strict)
 
 
 def toc_entries(collected: Collected) -> DataFrame:
@@ -106,12 +111,29 @@ def toc_entries(collected: Collected) -> DataFrame:
     return joined.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "n"))).alias("entries"))
 
 
-def write(collected: Collected, folder: str | Path, profile: Profile, project: str = "Project", merge: bool = False) -> list[str]:
+def write(collected: Collected, folder: str | Path, profile: Profile, project: str = "Project", merge: bool = False, headers: list[str] | None = None) -> list[str]:
     """The parts as numbered files. Parts stream to the driver one by one."""
     folder = Path(folder)
     entries = {r.part: [writers.toc_entry(e.path, e.n) for e in r.entries] for r in toc_entries(collected).toLocalIterator()}
     parts = [(r.content, entries.get(r.part, [])) for r in collected.parts.orderBy("part").toLocalIterator()]
-    return writers.write_parts(parts, folder, profile.name_template, profile.title_template, project, merge)
+    return writers.write_parts(parts, folder, profile.name_template, profile.title_template, project, merge, headers)
+
+
+def manifest(collected: Collected) -> str:
+    """A summary in Markdown: sections in order of path with their tokens."""
+    rows = collected.sections.groupBy("path").agg(F.sum("tokens").alias("tokens")).orderBy("path")
+    return "# Files\n\n" + "".join(f"- {r.path}: {r.tokens} tokens\n" for r in rows.toLocalIterator())
+
+
+def benchmark(spark: SparkSession, root: str | Path, profile: Profile, text_query: str | None = None) -> dict[str, dict]:
+    """Parts, tokens and seconds of each way to collect a tree, and the tokens in percent of the full way."""
+    ways = {"full": {}, "compress": {"profile": dataclasses.replace(profile, compress=True)}, "repo-map": {"mode": "repo-map"}, "headers": {"mode": "headers"}} | ({"query": {"text_query": text_query}} if text_query else {})
+    found = {}
+    for name, how in ways.items():
+        began = time.perf_counter()
+        row = collect(spark, root, how.get("profile", profile), **{k: v for k, v in how.items() if k != "profile"}).parts.agg(F.count("*").alias("parts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+        found[name] = row.asDict() | {"seconds": round(time.perf_counter() - began, 3)}
+    return {name: x | {"percent_of_full": round(100 * x["tokens"] / max(1, found["full"]["tokens"]), 1)} for name, x in found.items()}
 
 
 def metrics(collected: Collected, started: float | None = None) -> dict:

@@ -239,3 +239,49 @@ def test_command_line(spark, tree, capsys):
     assert main(["--root", str(tree), "snapshot", "create", "s1"]) == 0 and main(["--root", str(tree), "diff", "--stats"]) == 0
     assert '"added": ' in capsys.readouterr().out
     assert main(["--root", str(tree), "presets"]) == 0 and main(["--root", str(tree), "store", "stats"]) == 0
+
+
+def test_incremental_collection(spark, tree):
+    engine = Engine(spark, tree)
+    profile = dataclasses.replace(PROFILE, exclude_patterns=(*PROFILE.exclude_patterns, ".corpusloom/*"))
+    paths = lambda: {r.path for r in engine.collect(profile, incremental=True).sections.select("path").collect()}
+    assert "src/auth.py" in paths()
+    (tree / "src/auth.py").write_text("changed = True\n")
+    (tree / "src/more.py").write_text("new = True\n")
+    assert paths() == {"src/auth.py", "src/more.py"}
+    assert paths() == set()
+
+
+def test_written_diff(spark, tree, tmp_path):
+    engine = Engine(spark, tree)
+    engine.create_snapshot(PROFILE, "one")
+    (tree / "src/more.py").write_text("new = True\n")
+    names = engine.write_diff(engine.diff(PROFILE)[1], tmp_path / "out", PROFILE)
+    body = (tmp_path / "out" / names[0]).read_text()
+    assert "Part 1 of 1. Changes: 1 added\n\n" in body and "new = True" in body
+
+
+def test_command_outputs(spark):
+    from corpusloom.operators.textdiff import command_diff
+
+    assert command_diff("a\nb", "a\nc", "pre: tree x", "tree x") == "### pre: tree x\n\n- b\n+ c\n"
+    assert "[1]" in command_diff("=== COMMIT: 1\nx=== COMMIT: 2", "=== COMMIT: 9\nx=== COMMIT: 2", "pre: git log", "git log")
+    assert command_diff("", "new", "pre: x", "x").startswith("### pre: x\n\nADDED")
+    schema = "label string, content string"
+    rows = D.command_sections(spark.createDataFrame([("pre: a", "1"), ("pre: b", "x"), ("pre: s", "s")], schema), spark.createDataFrame([("pre: a", "2"), ("pre: c", "y"), ("pre: s", "s")], schema)).collect()
+    assert {(r.path, r.type) for r in rows} == {("pre: a", "modified"), ("pre: b", "deleted"), ("pre: c", "added")}
+
+
+def test_benchmark_and_manifest(spark, tree):
+    found = C.benchmark(spark, tree, PROFILE, "login")
+    assert set(found) == {"full", "compress", "repo-map", "headers", "query"} and found["query"]["tokens"] < found["full"]["tokens"]
+    assert "- src/auth.py: " in C.manifest(C.collect(spark, tree, PROFILE))
+
+
+def test_sql(spark):
+    from corpusloom.plans import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT count_tokens('abcdefgh') a, compress_text('x  \\n\\n\\n\\ny') b, path_suffix('a/b.tar.gz') c, strip_text(' q ') d").first()
+    assert tuple(row) == (2, "x\n\ny", ".gz", "q")
+    assert [r.chunk for r in spark.sql("SELECT chunk FROM (SELECT 'aaaa bbbb' AS t), LATERAL split_chunks(t, 1) ORDER BY chunk_no").collect()] == ["aaaa bb", "bb"]
