@@ -56,7 +56,7 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
 def expand(matched: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """``(path)``: the matched paths and what imports them, over ``depth`` steps; only the last step's finds are followed."""
     reverse = stored(reverse_edges(edges), "reverse-edges")
-    reached = matched.select("path").distinct()
+    reached = stored(matched.select("path").distinct(), "matched")
     last = reached
     for _ in range(depth):
         names = last.select(F.explode(F.array_distinct(keys(F.col("path")))).alias("dep"))

@@ -16,6 +16,7 @@ from corpusloom.functions import formatting, languages, parsers, predicates, tex
 from corpusloom.operators import diff as D
 from corpusloom.operators import incremental, packing, query, splitting, structural, textdiff
 from corpusloom.plans import presets
+from corpusloom.shared import stored
 from corpusloom.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,6 +404,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a corpus: formatted, compressed, packed by source; sections and tokens of each part."""
     content = text.compress(formatting.section(_c("path"), languages.resolve_lang(_c("path"), _c()), _c()))
     chunks = splitting.exploded(_corpus(spark, sf_dir).select("source", "doc_id", content.alias("content")), 2000)
+    chunks = stored(chunks.select("source", "doc_id", "chunk_no", "tokens", "oversized"), "chunks")
     mapped = packing.part_map(chunks, 2000, "source", ["doc_id", "chunk_no"], "oversized")
     return mapped.groupBy("source", "part").agg(F.count("*").alias("sections"), F.sum("tokens").alias("tokens"))
 
