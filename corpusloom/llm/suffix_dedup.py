@@ -106,6 +106,18 @@ def _blocks(raws: list[bytes], width: int) -> Iterator[tuple[bytes, np.ndarray,
         yield together()
 
 
+def _places(raws: list[bytes], width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents, places there and gram hashes of all anchors, each once: a piece may begin with the anchor that its document's piece before ended with."""
+    last = (-1, -1)
+    for raw, ends, doc, offset in _blocks(raws, width):
+        at, h = anchors(raw, ends, width, gram)
+        piece = np.searchsorted(ends, at, side="right")
+        own, place = doc[piece], at - np.concatenate(([0], ends[:-1]))[piece] + offset[piece]
+        new = (own != np.concatenate(([last[0]], own[:-1]))) | (place != np.concatenate(([last[1]], place[:-1])))
+        last = (own[-1], place[-1])
+        yield own[new], place[new], h[new]
+
+
 def _anchor_table(docs: DataFrame, width: int, gram: int) -> DataFrame:
     reach = width - gram
 
@@ -118,11 +130,7 @@ def _anchor_table(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 part = batch.slice(i, 1024)
                 raws = [x or b"" for x in part.column(1).to_pylist()]
                 rows = part.column(0).to_numpy()
-                for raw, ends, doc, offset in _blocks(raws, width):
-                    at, h = anchors(raw, ends, width, gram)
-                    piece = np.searchsorted(ends, at, side="right")
-                    starts = np.concatenate(([0], ends[:-1]))
-                    own, place = doc[piece], at - starts[piece] + offset[piece]
+                for own, place, h in _places(raws, width, gram):
                     context = [digest(raws[d][max(0, p - reach) : p + width], min(p, reach)) for d, p in zip(own.tolist(), place.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array(place), pa.array(h.view(np.int64)), pa.array(np.array(context, np.uint64).view(np.int64))], ["row", "at", "anchor", "context"])
 
