@@ -15,97 +15,102 @@ class Rule(NamedTuple):
     confidence: float
 
 
-#: label | keyword | name | SPDX identifiers | address
+#: label | keyword of the name | name | SPDX identifiers | keyword of the address | address; a minus where there is none of its own.
+#: Every match of a pattern holds a word, or several, beginning with its keyword; a name without such a keyword is several lines.
 _LICENSES = """
-mit                | mit         | (?:mit|expat|x11 mit)(?: x11)? licen[cs]e | mit(?: 0)? | opensource org licenses mit
-apache-2           | apache      | apache(?: software)? licen[cs]e(?: version| v)? 2(?: 0)? | apache 2 0 | apache org licenses license 2 0
-apache-1           | apache      | apache(?: software)? licen[cs]e(?: version| v)? 1(?: [01])? | apache 1 [01] | apache org licenses license 1 [01]
-gpl-2              | gnu         | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2(?: 0)? | gnu gpl 2 0 | gnu org licenses(?: old licenses)? gpl 2 0
-gpl-3              | gnu         | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3(?: 0)? | gnu gpl 3 0 | gnu org licenses gpl 3 0
-gpl-2              | gpl         | (?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?: only| or later)? | gpl 2 0(?: only| or later)? | gpl 2 0 html
-gpl-3              | gpl         | (?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?(?: only| or later)? | gpl 3 0(?: only| or later)? | gpl 3 0 html
-gpl                | gnu         | gnu general public licen[cs]e | gnu gpl | gnu org copyleft gpl
-lgpl-2.1           | lgpl        | (?:gnu )?lgpl ?(?:version |v ?)?2(?: [01])? | lgpl 2 [01](?: only| or later)? | licenses lgpl 2 [01]
-lgpl-3             | lgpl        | (?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)? | lgpl 3 0(?: only| or later)? | licenses lgpl 3 0
-lgpl-2.1           | lesser      | gnu (?:lesser|library) general public licen[cs]e(?: version| v) ?2(?: [01])? | gnu lesser 2 1 | gnu org copyleft lesser
-lgpl-3             | lesser      | gnu lesser general public licen[cs]e(?: version| v) ?3(?: 0)? | gnu lesser 3 0 | gnu org licenses lesser
-lgpl               | lesser      | gnu lesser general public licen[cs]e | gnu lesser | gnu org lesser html
-agpl-3             | affero      | (?:gnu )?affero general public licen[cs]e(?:(?: version| v) ?3(?: 0)?)? | affero gpl 3 0 | affero org oagpl
-agpl-3             | agpl        | (?:gnu )?agpl ?(?:version |v ?)?3(?: 0)? | agpl 3 0(?: only| or later)? | licenses agpl 3 0
-gfdl               | documentation | gnu free documentation licen[cs]e(?:(?: version| v) ?1(?: [123])?)? | gnu documentation 1 [123] | gnu org documentation
-gfdl               | fdl         | (?:gnu )?g?fdl ?(?:version |v ?)?1(?: [123])? | gfdl 1 [123](?: only| or later)? | licenses fdl 1 [123]
-bsd-2-clause       | bsd         | (?:(?:simplified|freebsd) bsd|bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[cs]e)? | bsd 2 clause(?: patent)? | opensource org licenses bsd 2 clause
-bsd-3-clause       | bsd         | (?:(?:new|modified|revised) bsd|bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[cs]e)? | bsd 3 clause(?: clear)? | opensource org licenses bsd 3 clause
-bsd-4-clause       | bsd         | (?:(?:original|old) bsd|bsd (?:4|four) clause|(?:4|four) clause bsd)(?: licen[cs]e)? | bsd 4 clause | directory fsf org wiki license bsd 4 clause
-bsd-0-clause       | bsd         | (?:bsd zero clause|zero clause bsd)(?: licen[cs]e)? | 0bsd | opensource org licenses 0bsd
-bsd                | bsd         | (?:berkeley software distribution|bsd) licen[cs]e | bsd(?: style)? | opensource org licenses bsd license
-isc                | isc         | isc licen[cs]e | isc | opensource org licenses isc
-mpl-2              | mozilla     | mozilla public licen[cs]e(?: version| v)? ?2(?: 0)? | mozilla 2 0 | mozilla org mpl 2 0
-mpl-1.1            | mozilla     | mozilla public licen[cs]e(?: version| v)? ?1(?: [01])? | mozilla 1 [01] | mozilla org mpl mpl 1 [01]
-mpl-2              | mpl         | mpl ?(?:version |v ?)?2(?: 0)? | mpl 2 0 | mpl 2 0 txt
-epl-1              | eclipse     | eclipse public licen[cs]e(?: version| v)? ?1(?: 0)? | eclipse 1 0 | eclipse org legal epl v10
-epl-2              | eclipse     | eclipse public licen[cs]e(?: version| v)? ?2(?: 0)? | eclipse 2 0 | eclipse org legal epl 2 0
-epl-2              | epl         | epl ?(?:version |v ?)?2(?: 0)? | epl 2 0 | epl v20
-edl-1              | eclipse     | eclipse distribution licen[cs]e(?: version| v)? ?1(?: 0)? | eclipse edl | eclipse org org documents edl v10
-cddl-1             | cddl        | cddl ?(?:version |v ?)?1(?: [01])? | cddl 1 [01] | opensource org licenses cddl 1 0
-cddl-1             | common development | common development and distribution licen[cs]e(?: version| v)?(?: 1(?: [01])?)? | common development cddl | sun com common development cddl
-cpl-1              | common public | common public licen[cs]e(?: version| v)? ?1(?: 0)? | common public cpl 1 0 | ibm com common public cpl
-ibm-pl-1           | ibm         | ibm public licen[cs]e(?: version| v)? ?1(?: 0)? | ipl 1 0 ibm | ibm com developerworks ipl
-cc0-1              | cc0         | (?:creative commons )?cc0(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons org publicdomain zero cc0
-cc-by              | creative commons | creative commons attribution(?: (?:[1234] 0))?(?: international| unported| generic)?(?: public)?(?: licen[cs]e)? | creative commons by | creative commons org licenses by
-cc-by-sa           | creative commons | creative commons attribution share ?alike(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | creative commons by sa | creative commons org licenses by sa
-cc-by-nd           | creative commons | creative commons attribution no ?deriv(?:ative|ativework|ative work)?s?(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | creative commons by nd | creative commons org licenses by nd
-cc-by-nc           | creative commons | creative commons attribution non ?commercial(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | creative commons by nc | creative commons org licenses by nc
-cc-by-nc-sa        | creative commons | creative commons attribution non ?commercial share ?alike(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | creative commons by nc sa | creative commons org licenses by nc sa
-cc-by-nc-nd        | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative|ativework|ative work)?s?(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | creative commons by nc nd | creative commons org licenses by nc nd
-cc-by              | cc by       | cc by(?: [1234] 0)?(?: licen[cs]e)? | cc by [1234] 0 | cc by uri
-cc-by-sa           | cc by sa    | cc by sa(?: [1234] 0)?(?: licen[cs]e)? | cc by sa [1234] 0 | cc by sa uri
-cc-by-nd           | cc by nd    | cc by nd(?: [1234] 0)?(?: licen[cs]e)? | cc by nd [1234] 0 | cc by nd uri
-cc-by-nc           | cc by nc    | cc by nc(?: [1234] 0)?(?: licen[cs]e)? | cc by nc [1234] 0 | cc by nc uri
-cc-by-nc-sa        | cc by nc sa | cc by nc sa(?: [1234] 0)?(?: licen[cs]e)? | cc by nc sa [1234] 0 | cc by nc sa uri
-cc-by-nc-nd        | cc by nc nd | cc by nc nd(?: [1234] 0)?(?: licen[cs]e)? | cc by nc nd [1234] 0 | cc by nc nd uri
-unlicense          | unlicense   | (?:the )?unlicense | unlicense | unlicense org
-wtfpl              | wtfpl       | wtfpl(?: version 2)? | wtfpl | wtfpl net
-zlib               | zlib        | zlib(?: libpng)? licen[cs]e | zlib(?: acknowledgement)? | zlib net zlib license
-libpng             | libpng      | libpng licen[cs]e(?: version 2)? | libpng(?: 2 0)? | libpng org pub png src libpng license
-boost-1            | boost       | boost software licen[cs]e(?:(?: version| v)? ?1(?: 0)?)? | boost bsl 1 0 | boost org license 1 0
-bsl-1.1            | business source | business source licen[cs]e(?: 1 1)? | busl 1 1 business source | mariadb com business source bsl11
-artistic-2         | artistic    | artistic licen[cs]e(?: version)? 2(?: 0)? | artistic 2 0 | perlfoundation org artistic licen[cs]e 2 0
-artistic-1         | artistic    | artistic licen[cs]e(?: 1(?: 0)?)? | artistic 1 0(?: perl)? | opensource org licenses artistic license 1 0
-python-2           | python      | python software foundation licen[cs]e(?:(?: version)? 2)? | (?:python|psf) 2 0 python | python org psf license
-ruby               | ruby        | ruby licen[cs]e | ruby | ruby lang org en about license
-php-3              | php         | php licen[cs]e(?:(?: version| v)? ?3(?: 0[01]?)?)? | php 3 0[01]? | php net license 3 01
-openssl            | openssl     | openssl(?: ssleay)? licen[cs]e | openssl | openssl org source license
-postgresql         | postgresql  | postgresql licen[cs]e | postgresql | postgresql org about licence
-ncsa               | ncsa        | (?:university of illinois )?ncsa(?: open source)? licen[cs]e | ncsa | opensource org licenses ncsa
-afl-3              | academic free | academic free licen[cs]e(?:(?: version| v) ?3(?: 0)?)? | academic free afl 3 0 | opensource org licenses academic free
-osl-3              | open software | open software licen[cs]e(?:(?: version| v) ?3(?: 0)?)? | open software osl 3 0 | opensource org licenses open software
-ecl-2              | educational community | educational community licen[cs]e(?: version)? 2(?: 0)? | educational community ecl 2 0 | opensource org licenses educational community
-eupl-1.2           | european union | european union public licen[cs]e(?:(?: version| v)? ?1(?: [12])?)? | european union eupl 1 [12] | joinup ec europa european union eupl
-eupl-1.2           | eupl        | eupl(?:(?: version| v)? ?1(?: [12])?)? | eupl 1 [12] | collection eupl eupl text
-cecill-2           | cecill      | cecill(?: [bc])?(?: (?:free software )?licen[cs]e)?(?: (?:agreement|2(?: [01])?))? | cecill 2 [01] | cecill info licences
-ms-pl              | microsoft   | microsoft public licen[cs]e(?: ms pl)? | microsoft ms pl | opensource org licenses microsoft ms pl
-ms-rl              | microsoft   | microsoft reciprocal licen[cs]e(?: ms rl)? | microsoft ms rl | opensource org licenses microsoft ms rl
-odbl-1             | open database | open (?:data commons )?open database licen[cs]e|open database licen[cs]e(?: odbl)? | open database odbl 1 0 | opendatacommons org open database odbl
-odc-by-1           | open data commons | open data commons attribution licen[cs]e | open data commons odc by 1 0 | open data commons org licenses by
-pddl-1             | public domain dedication | public domain dedication and licen[cs]e(?: pddl)? | public domain dedication pddl | opendatacommons org public domain dedication
-ofl-1.1            | open font   | (?:sil )?open font licen[cs]e(?:(?: version| v)? ?1(?: [01])?)? | open font ofl 1 1 | scripts sil org open font ofl
-lppl-1.3           | latex project | latex project public licen[cs]e(?:(?: version)? 1(?: 3[abc]?)?)? | latex project lppl 1 3[ac]? | latex project org lppl
-sspl-1             | server side public | server side public licen[cs]e(?:(?: version| v)? ?1)? | server side public sspl 1 0 | mongodb com server side public license
-elastic-2          | elastic     | elastic licen[cs]e(?:(?: version| v)? ?2(?: 0)?)? | elastic 2 0 | elastic co licensing elastic license
-upl-1              | universal permissive | universal permissive licen[cs]e(?:(?: version| v)? ?1(?: 0)?)? | universal permissive upl 1 0 | oss oracle com licenses universal permissive upl
-vim                | vim         | vim licen[cs]e | vim | vimhelp org vim uganda
-zpl-2              | zope        | zope public licen[cs]e(?:(?: version)? 2(?: [01])?)? | zope zpl 2 [01] | zope org resources zpl
-openldap           | openldap    | openldap public licen[cs]e(?: version 2 8)? | oldap 2 8 openldap | openldap org software release license
-qpl-1              | q public    | q public licen[cs]e(?: version 1 0)? | q public qpl 1 0 | doc qt io q public license
-sleepycat          | sleepycat   | sleepycat licen[cs]e | sleepycat | opensource org licenses sleepycat
-w3c                | w3c         | w3c(?: software)?(?: notice and)? licen[cs]e | w3c(?: 20150513)? | w3 org w3c copyright software
-mulan-2            | mulan       | mulan psl(?: v2)?|mulan permissive software licen[cs]e | mulan ?psl 2 0 | license coscl org cn mulan
-openrail           | rail        | (?:creativeml |bigscience )?(?:open )?rail(?: [ms]| plus plus)?(?: licen[cs]e) | (?:creativeml |bigscience )?open rail m | rail licen[cs]e org
-llama              | llama       | llama(?: [23](?: [123])?)? community licen[cs]e(?: agreement)? | llama ?[23] | ai meta com llama license
-proprietary        | proprietary | (?:proprietary and confidential|proprietary licen[cs]e) | licenseref proprietary | proprietary eula html
-all-rights-reserved | reserved   | all rights reserved | licenseref all rights reserved | all rights reserved notice
-public-domain      | public domain | (?:(?:released|dedicated|placed|is) (?:in|in to|into|to) the public domain|public domain dedication) | licenseref public domain | creativecommons org licenses public domain
+mit                | mit         | (?:x11 )?mit(?: x11)? licen[cs]e | mit(?: 0)? | opensource org | opensource org licenses? mit
+mit                | expat       | expat(?: x11)? licen[cs]e | - | - | -
+apache-2           | apache      | apache(?: software)? licen[cs]e(?: version| v)? 2(?: 0)? | apache 2 0 | apache | apache org licenses license 2 0
+apache-1           | apache      | apache(?: software)? licen[cs]e(?: version| v)? 1(?: [01])? | apache 1 [01] | apache | apache org licenses license 1 [01]
+gpl-2              | gnu         | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2(?: 0)? | - | gnu | gnu org licenses(?: old licenses)? gpl 2 0
+gpl-3              | gnu         | gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3(?: 0)? | - | gnu | gnu org licenses gpl 3 0
+gpl-2              | gpl         | (?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?: only| or later)? | gpl 2 0(?: only| or later)? | gpl | gpl 2 0 html
+gpl-3              | gpl         | (?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?(?: only| or later)? | gpl 3 0(?: only| or later)? | gpl | gpl 3 0 html
+gpl                | gnu         | gnu general public licen[cs]e | - | gnu | gnu org copyleft gpl
+lgpl-2.1           | lgpl        | (?:gnu )?lgpl ?(?:version |v ?)?2(?: [01])? | lgpl 2 [01](?: only| or later)? | lgpl | licenses lgpl 2 [01]
+lgpl-3             | lgpl        | (?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)? | lgpl 3 0(?: only| or later)? | lgpl | licenses lgpl 3 0
+lgpl-2.1           | lesser      | gnu lesser general public licen[cs]e(?: version| v) ?2(?: [01])? | - | lesser | gnu org copyleft lesser
+lgpl-2.1           | library general | gnu library general public licen[cs]e(?: version| v) ?2(?: [01])? | - | - | -
+lgpl-3             | lesser      | gnu lesser general public licen[cs]e(?: version| v) ?3(?: 0)? | - | - | -
+lgpl               | lesser      | gnu lesser general public licen[cs]e | - | - | -
+agpl-3             | affero      | (?:gnu )?affero general public licen[cs]e(?:(?: version| v) ?3(?: 0)?)? | - | affero | affero org oagpl
+agpl-3             | agpl        | (?:gnu )?agpl ?(?:version |v ?)?3(?: 0)? | agpl 3 0(?: only| or later)? | agpl | licenses agpl 3 0
+gfdl               | documentation | gnu free documentation licen[cs]e(?:(?: version| v) ?1(?: [123])?)? | - | - | -
+gfdl               | gfdl        | (?:gnu )?gfdl ?(?:version |v ?)?1(?: [123])? | gfdl 1 [123](?: (?:no )?invariants)?(?: only| or later)? | - | -
+gfdl               | fdl         | (?:gnu )?fdl ?(?:version |v ?)?1(?: [123])? | - | fdl | licenses fdl 1 [123]
+bsd-2-clause       | bsd         | (?:(?:simplified|freebsd) bsd|bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[cs]e)? | bsd 2 clause(?: patent)? | bsd | opensource org licenses bsd 2 clause
+bsd-3-clause       | bsd         | (?:(?:new|modified|revised) bsd|bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[cs]e)? | bsd 3 clause(?: clear)? | bsd | opensource org licenses bsd 3 clause
+bsd-4-clause       | bsd         | (?:(?:original|old) bsd|bsd (?:4|four) clause|(?:4|four) clause bsd)(?: licen[cs]e)? | bsd 4 clause | bsd | directory fsf org wiki license bsd 4 clause
+bsd-0-clause       | bsd         | (?:bsd zero clause|zero clause bsd)(?: licen[cs]e)? | 0bsd | opensource org | opensource org licenses 0bsd
+bsd                | bsd         | bsd licen[cs]e | bsd(?: style)? | bsd | opensource org licenses bsd license
+bsd                | berkeley software | berkeley software distribution licen[cs]e | - | - | -
+isc                | isc         | isc licen[cs]e | isc | isc | opensource org licenses isc
+mpl-2              | mozilla     | mozilla public licen[cs]e(?: version| v)? ?2(?: 0)? | - | mozilla | mozilla org mpl 2 0
+mpl-1.1            | mozilla     | mozilla public licen[cs]e(?: version| v)? ?1(?: [01])? | mpl 1 [01] | mozilla | mozilla org mpl(?: mpl)? 1 [01]
+mpl-2              | mpl         | mpl ?(?:version |v ?)?2(?: 0)? | mpl 2 0(?: no copyleft exception)? | mpl | mpl 2 0 txt
+epl-1              | eclipse     | eclipse public licen[cs]e(?: version| v)? ?1(?: 0)? | epl 1 0 | eclipse | eclipse org legal epl v10
+epl-2              | eclipse     | eclipse public licen[cs]e(?: version| v)? ?2(?: 0)? | - | eclipse | eclipse org legal epl 2 0
+epl-2              | epl         | epl ?(?:version |v ?)?2(?: 0)? | epl 2 0 | epl | epl v20
+edl-1              | eclipse     | eclipse distribution licen[cs]e(?: version| v)? ?1(?: 0)? | - | eclipse | eclipse org org documents edl v10
+cddl-1             | cddl        | cddl ?(?:version |v ?)?1(?: [01])? | cddl 1 [01] | cddl | opensource org licenses cddl 1 0
+cddl-1             | common development | common development and distribution licen[cs]e(?: version| v)?(?: 1(?: [01])?)? | - | sun com | sun com cddl
+cpl-1              | common public | common public licen[cs]e(?: version| v)? ?1(?: 0)? | cpl 1 0 | opensource org | opensource org licenses? cpl 1 0
+ibm-pl-1           | ibm         | ibm public licen[cs]e(?: version| v)? ?1(?: 0)? | ipl 1 0 | opensource org | opensource org licenses? ipl 1 0
+cc0-1              | cc0         | (?:creative commons )?cc0(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons | creativecommons org publicdomain zero(?: 1 0)?
+cc-by              | creative commons | creative commons attribution(?: (?:[1234] 0))?(?: international| unported| generic)?(?: public)?(?: licen[cs]e)? | - | creativecommons | creativecommons org licenses by
+cc-by-sa           | creative commons | creative commons attribution share ?alike(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | - | creativecommons | creativecommons org licenses by sa
+cc-by-nd           | creative commons | creative commons attribution no ?deriv(?:ative|ativework|ative work)?s?(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | - | creativecommons | creativecommons org licenses by nd
+cc-by-nc           | creative commons | creative commons attribution non ?commercial(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | - | creativecommons | creativecommons org licenses by nc
+cc-by-nc-sa        | creative commons | creative commons attribution non ?commercial share ?alike(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | - | creativecommons | creativecommons org licenses by nc sa
+cc-by-nc-nd        | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative|ativework|ative work)?s?(?: [1234] 0)?(?: international| unported)?(?: licen[cs]e)? | - | creativecommons | creativecommons org licenses by nc nd
+cc-by              | cc by       | cc by(?: [1234] 0)?(?: licen[cs]e)? | cc by [1234] [05] | - | -
+cc-by-sa           | cc by sa    | cc by sa(?: [1234] 0)?(?: licen[cs]e)? | cc by sa [1234] [05] | - | -
+cc-by-nd           | cc by nd    | cc by nd(?: [1234] 0)?(?: licen[cs]e)? | cc by nd [1234] [05] | - | -
+cc-by-nc           | cc by nc    | cc by nc(?: [1234] 0)?(?: licen[cs]e)? | cc by nc [1234] [05] | - | -
+cc-by-nc-sa        | cc by nc sa | cc by nc sa(?: [1234] 0)?(?: licen[cs]e)? | cc by nc sa [1234] [05] | - | -
+cc-by-nc-nd        | cc by nc nd | cc by nc nd(?: [1234] 0)?(?: licen[cs]e)? | cc by nc nd [1234] [05] | - | -
+unlicense          | unlicense   | (?:the )?unlicense | unlicense | unlicense | unlicense org
+wtfpl              | wtfpl       | wtfpl(?: version 2)? | wtfpl | wtfpl | wtfpl net
+zlib               | zlib        | zlib(?: libpng)? licen[cs]e | zlib(?: acknowledgement)? | zlib | zlib net zlib license
+libpng             | libpng      | libpng licen[cs]e(?: version 2)? | libpng(?: 2 0)? | libpng | libpng org pub png src libpng license
+boost-1            | boost       | boost software licen[cs]e(?:(?: version| v)? ?1(?: 0)?)? | bsl 1 0 | boost | boost org license 1 0
+bsl-1.1            | business source | business source licen[cs]e(?: 1 1)? | busl 1 1 | mariadb com | mariadb com bsl11
+artistic-2         | artistic    | artistic licen[cs]e(?: version)? 2(?: 0)? | artistic 2 0 | perlfoundation | perlfoundation org artistic licen[cs]e 2 ?0
+artistic-1         | artistic    | artistic licen[cs]e(?: 1(?: 0)?)? | artistic 1 0(?: perl)? | artistic | opensource org licenses artistic license 1 0
+python-2           | python      | python software foundation licen[cs]e(?:(?: version)? 2)? | (?:python|psf) 2 0 | python | python org psf license
+ruby               | ruby        | ruby licen[cs]e | ruby | ruby | ruby lang org en about license
+php-3              | php         | php licen[cs]e(?:(?: version| v)? ?3(?: 0[01]?)?)? | php 3 0[01]? | php | php net license 3 01
+openssl            | openssl     | openssl(?: ssleay)? licen[cs]e | openssl | openssl | openssl org source license
+postgresql         | postgresql  | postgresql licen[cs]e | postgresql | postgresql | postgresql org about licence
+ncsa               | ncsa        | (?:university of illinois )?ncsa(?: open source)? licen[cs]e | ncsa | ncsa | opensource org licenses ncsa
+afl-3              | academic free | academic free licen[cs]e(?:(?: version| v) ?3(?: 0)?)? | afl 3 0 | opensource org | opensource org licenses? afl 3 0
+osl-3              | open software | open software licen[cs]e(?:(?: version| v) ?3(?: 0)?)? | osl 3 0 | opensource org | opensource org licenses? osl 3 0
+ecl-2              | educational community | educational community licen[cs]e(?: version)? 2(?: 0)? | ecl 2 0 | opensource org | opensource org licenses? ecl 2 0
+eupl-1.2           | european union | european union public licen[cs]e(?:(?: version| v)? ?1(?: [12])?)? | - | joinup | joinup ec europa eu software page eupl
+eupl-1.2           | eupl        | eupl(?:(?: version| v)? ?1(?: [12])?)? | eupl 1 [12] | eupl | collection eupl eupl text
+cecill-2           | cecill      | cecill(?: [bc])?(?: (?:free software )?licen[cs]e)?(?: (?:agreement|2(?: [01])?))? | cecill (?:2 [01]|[bc]) | cecill | cecill info licences
+ms-pl              | microsoft   | microsoft public licen[cs]e(?: ms pl)? | ms pl | opensource org | opensource org licenses? ms pl
+ms-rl              | microsoft   | microsoft reciprocal licen[cs]e(?: ms rl)? | ms rl | opensource org | opensource org licenses? ms rl
+odbl-1             | open database | open (?:data commons )?open database licen[cs]e|open database licen[cs]e(?: odbl)? | odbl 1 0 | opendatacommons | opendatacommons org licenses odbl
+odc-by-1           | open data commons | open data commons attribution licen[cs]e | odc by 1 0 | opendatacommons | opendatacommons org licenses by
+pddl-1             | public domain dedication | public domain dedication and licen[cs]e(?: pddl)? | pddl 1 0 | opendatacommons | opendatacommons org licenses pddl
+ofl-1.1            | open font   | (?:sil )?open font licen[cs]e(?:(?: version| v)? ?1(?: [01])?)? | ofl 1 [01](?: (?:no )?rfn)? | scripts sil | scripts sil org ofl
+lppl-1.3           | latex project | latex project public licen[cs]e(?:(?: version)? 1(?: 3[abc]?)?)? | lppl 1 3[ac]? | latex project | latex project org lppl
+sspl-1             | server side public | server side public licen[cs]e(?:(?: version| v)? ?1)? | sspl 1 0 | server side public | mongodb com licensing server side public license
+elastic-2          | elastic     | elastic licen[cs]e(?:(?: version| v)? ?2(?: 0)?)? | elastic 2 0 | elastic | elastic co licensing elastic license
+upl-1              | universal permissive | universal permissive licen[cs]e(?:(?: version| v)? ?1(?: 0)?)? | upl 1 0 | oss oracle | oss oracle com licenses upl
+vim                | vim         | vim licen[cs]e | vim | vim | vimhelp org uganda
+zpl-2              | zope        | zope public licen[cs]e(?:(?: version)? 2(?: [01])?)? | zpl 2 [01] | zope | zope org resources zpl
+openldap           | openldap    | openldap public licen[cs]e(?: version 2 8)? | oldap 2 8 | openldap | openldap org software release license
+qpl-1              | q public    | q public licen[cs]e(?: version 1 0)? | qpl 1 0 | opensource org | opensource org licenses? qpl 1 0
+sleepycat          | sleepycat   | sleepycat licen[cs]e | sleepycat | sleepycat | opensource org licenses sleepycat
+w3c                | w3c         | w3c(?: software)?(?: notice and)? licen[cs]e | w3c(?: 20150513)? | w3 | w3 org consortium legal(?: 2015)? copyright software
+mulan-2            | mulan       | mulan psl(?: v2)?|mulan permissive software licen[cs]e | mulan ?psl 2 0 | mulan | license coscl org cn mulan ?psl ?2?
+openrail           | rail        | (?:creativeml |bigscience )?(?:open )?rail(?: [ms]| plus plus)?(?: licen[cs]e) | - | licenses ai | licenses ai
+llama              | llama       | llama(?: [23](?: [123])?)? community licen[cs]e(?: agreement)? | llama ?[23] | llama | ai meta com llama license
+proprietary        | proprietary | (?:proprietary and confidential|proprietary licen[cs]e) | licenseref proprietary | - | -
+all-rights-reserved | reserved    | all rights reserved | licenseref all rights reserved | - | -
+public-domain      | public domain | (?:(?:released|dedicated|placed|is) (?:in|in to|into|to) the public domain|public domain dedication) | licenseref public domain | creativecommons | creativecommons org licenses publicdomain
 """
 
 #: label | keyword | passage of the licence's own text
@@ -156,16 +161,15 @@ _GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|offe
 
 
 def rules() -> list[Rule]:
-    """All rules in order. Each licence has an identifier, an address, a grant and a title rule; passages follow."""
+    """All rules in order. Each licence has a grant and a title rule, and an identifier and an address rule where it has its own; passages follow."""
     found = []
     for line in _LICENSES.strip().splitlines():
-        label, keyword, name, spdx, address = (x.strip() for x in line.split(" | "))
-        found += [
-            Rule(10, label, "spdx", f"spdx license identifier (?:{spdx})", 1.0),
-            Rule(20, label, keyword, f"{_GRANT} (?:{name})", 0.95),
-            Rule(30, label, keyword, f"(?:https? )?(?:www )?(?:{address})", 0.9),
-            Rule(50, label, keyword, f"(?:{name})", 0.7),
-        ]
+        label, keyword, name, spdx, place, address = (x.strip() for x in line.split(" | "))
+        found += [Rule(20, label, keyword, f"{_GRANT} (?:{name})", 0.95), Rule(50, label, keyword, f"(?:{name})", 0.7)]
+        if spdx != "-":
+            found.append(Rule(10, label, "spdx", f"spdx license identifier (?:{spdx})", 1.0))
+        if address != "-":
+            found.append(Rule(30, label, place, f"(?:https? )?(?:www )?(?:{address})", 0.9))
     for line in _PASSAGES.strip().splitlines():
         label, keyword, passage = (x.strip() for x in line.split(" | "))
         found.append(Rule(40, label, keyword, passage, 0.98))
