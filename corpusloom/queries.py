@@ -36,7 +36,7 @@ JS_LATER = (
     "concat('export function f_', (doc_id + doc_id % 2) % 17, '(x, y', (doc_id + doc_id % 5) % 3, ') {', chr(10), '  return ', doc_id % 3, chr(10), '}', chr(10), 'class C_', doc_id % 11, ' {', chr(10), '}', chr(10))"
 )
 RUBY = "concat('require ', chr(34), 'gem_', doc_id % 9, chr(34), chr(10), 'def self.go_', doc_id % 21, '?(a)', chr(10), '  a', chr(10), 'end', chr(10), 'function plain_', doc_id % 5, '(b)', chr(10))"
-SHEBANG = "concat(CASE doc_id % 4 WHEN 0 THEN '#!/usr/bin/env python3' WHEN 1 THEN '#!/bin/bash -e' WHEN 2 THEN '#! /usr/local/bin/node' ELSE 'no shebang' END, chr(10), substr(text, 1, 20))"
+SHEBANG = "concat(CASE doc_id % 4 WHEN 0 THEN '#!/usr/bin/env python3' WHEN 1 THEN '#!/bin/bash -e' WHEN 2 THEN '#! /usr/local/bin/node' ELSE 'no shebang' END, chr(10), text)"
 EXT = "CASE doc_id % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'RS' WHEN 2 THEN 'tar.gz' WHEN 3 THEN 'ts' WHEN 4 THEN 'yml' ELSE 'none' END"
 
 
