@@ -125,13 +125,35 @@ def test_search(docs, rows, shard_docs, query_block, monkeypatch):
         assert {x[1:] for x in got[row[0]] if x[0] < edge - 1e-5} == {x[1:] for x in want if x[0] < edge - 1e-5}
 
 
-def test_blocks_are_skipped(monkeypatch):
-    bags = [Counter({"common": 1, f"w{i}": 1}) for i in range(2000)]
-    shard = bm25_wand.Shard(*bm25_wand._shard_tables(list(range(2000)), bags), mean=2.0, block=64)
-    scored, bincount = [], np.bincount
-    monkeypatch.setattr(np, "bincount", lambda x, *a: scored.append(len(x)) or bincount(x, *a))
-    best = shard.best(["common", "w777"], [0.1, 9.0], 1, at_once=2)
-    assert best[0][1] == 777 and sum(scored[1:]) < 300  # the first call adds up the bounds
+def shard_of(rows, mean, **how):
+    writer = bm25_wand.ShardWriter()
+    for i in range(0, len(rows), 7):
+        writer.add([r[0] for r in rows[i : i + 7]], [r[1] for r in rows[i : i + 7]])
+    return bm25_wand.Shard(*writer.tables(), mean, **how)
+
+
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(5)
+    texts = [" ".join([f"{'ab'[i % 2]}{j}" for j in rng.integers(0, 12, 20)] + [f"w{i}"]) for i in range(4000)]
+    mean = 21.0
+    shard = shard_of(list(enumerate(texts)), mean, block=32)
+    names = shard.names.to_pylist()
+    asked = [Counter(t.split()) for t in texts[:64:2]]
+    best = shard.best([(np.array([names.index(t) for t in sorted(q)]), np.array([float(q[t]) for t in sorted(q)])) for q in asked], 5)
+    for q, found in zip(asked, best, strict=True):
+        scores = [sum(n * Counter(t.split())[x] * 2.2 / (Counter(t.split())[x] + 1.2 * (0.25 + 0.75 * 21 / mean)) for x, n in sorted(q.items())) for t in texts]
+        want = sorted((-round(x, 9), i) for i, x in enumerate(scores))[:5]
+        assert [i for _, i, _ in found] == [i for _, i in want] and np.allclose([-x for x, _, _ in found], [x for x, _ in want])
+    assert shard.read < 0.6 * shard.asked  # the other half's documents share no long list
+
+
+def test_copies_and_ties_are_ranked_by_id():
+    rows = [(9, "red fox"), (3, "red fox"), (None, "red fox"), (5, "blue fox"), (4, "fox red"), (3, "red fox")]
+    shard = shard_of(rows, 2.0)
+    names = shard.names.to_pylist()
+    query = np.array([names.index("fox"), -1, names.index("red")]), np.array([1.0, 7.0, 2.0])
+    assert [(i, at) for _, i, at in shard.best([query], 5)[0]] == [(3, 1), (3, 5), (4, 4), (9, 0), (None, 2)]
+    assert [(i, at) for _, i, at in shard.best([query], 2)[0]] == [(3, 1), (3, 5)]
 
 
 def test_search_of_nothing(spark, docs, empty):
