@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.shared import parts, scratch_path, shared_dir, stored
 
-__all__ = ["SPACE_CLASS", "parts", "scratch_path", "shared_dir", "stored", "texts"]
+__all__ = ["SPACE_CLASS", "free_name", "numbered", "parts", "scratch_path", "shared_dir", "stored", "texts"]
 
 #: Code points that part words in the contracts that speak of white space.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -16,3 +16,17 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id long, text string)`` of any table; all other columns, whatever their names, stay out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A name like ``wanted`` that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once, so that every later read sees the same numbers; and the number's name."""
+    row = free_name(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row

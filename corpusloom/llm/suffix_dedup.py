@@ -5,18 +5,19 @@ the input; none goes over the end of a document.
 
 How the work is dealt out. In every string of ``width`` bytes one ``gram``-byte gram is chosen by content alone (the one of
 least hash, the leftmost of equals), so equal strings choose the same gram at the same offset: it is their anchor. Each document
-gives its anchors, about two for each ``width - gram`` bytes, each with a hash of its context (all bytes that strings
-anchored there can cover). An anchor found once has no repeats. Contexts found twice or more are repeats whole. What is left are anchors in
+gives its anchors, about two for each ``width - gram`` bytes, each with a 128-bit hash (XXH3) of its context (all bytes that strings
+anchored there can cover). Contexts whose hash is found twice or more are repeats whole; equality rests on those 128 bits, for
+which texts of the corpus don't collide by chance. Anchors only deal out: two grams of one anchor hash cost time, not results. What is left are anchors in
 several different contexts: these contexts, cut to what agrees with a neighbour on either side, are dealt out by anchor and indexed, a
 few hundred KB at a time, as a run-compressed Burrows-Wheeler transform with sampled run ends
-(``suffix_runs``); its matching statistics, streamed over the contexts, mark the long matches.
+(``suffix_runs``); its matching statistics, streamed backwards over the runs, mark the long matches.
 
-No anchor is one task's if it is frequent: anchors are counted and contexts made distinct by partial aggregation; an anchor with
-over ``hot_kinds`` different contexts goes another exact way, its strings being counted by their hashes in one more aggregation.
+No anchor is one task's if it is frequent: contexts are made distinct by partial aggregation, and the one join with hot keys is a merge of two plain exchanges,
+which Spark can split; an anchor with over ``hot_kinds`` different contexts goes another exact way, its strings being counted by their hashes in one more aggregation.
 
 Defined results: a null or empty text has no bytes; a text shorter than ``width`` loses nothing; repeated rows repeat each other
 and so lose all that lies in their long strings; null ids do no harm; an empty table gives an empty table; further
-columns are left out. Texts are read three times and must come in the same order each time, as a written table does.
+columns are left out. Rows are numbered and written once, and read from there.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import parts, stored
+from corpusloom.llm.shared import free_name, numbered, parts, stored
 from corpusloom.llm.suffix_runs import repeated_spans
 
 #: Length of a repeat, of an anchor's gram; contexts of an anchor beyond which it is hot; bytes indexed at a time.
@@ -124,23 +125,25 @@ def _anchor_table(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 raws = [x or b"" for x in part.column(1).to_pylist()]
                 rows = part.column(0).to_numpy()
                 for own, place, h in _places(raws, width, gram):
-                    context = [digest(raws[d][max(0, p - reach) : p + width], min(p, reach)) for d, p in zip(own.tolist(), place.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array(place), pa.array(h.view(np.int64)), pa.array(np.array(context, np.uint64).view(np.int64))], ["row", "at", "anchor", "context"])
+                    context = b"".join([digest(raws[d][max(0, p - reach) : p + width], min(p, reach)) for d, p in zip(own.tolist(), place.tolist(), strict=True)])
+                    halves = np.frombuffer(context, np.int64).reshape(-1, 2)
+                    columns = rows[own], place, h.view(np.int64), np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "at", "anchor", "c1", "c2"])
 
-    return docs.select("row", "raw").mapInArrow(run, "row long, at long, anchor long, context long")
+    return docs.select("row", "raw").mapInArrow(run, "row long, at long, anchor long, c1 long, c2 long")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, width: int, gram: int) -> DataFrame:
-    """The contexts that ``(row, anchor, at, alone, hot)`` asks for."""
+    """The contexts that ``(row, anchor, at, hot)`` asks for."""
     reach = width - gram
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "at", "alone", "hot")).alias("asked"))  # a document's own anchors
+    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("asked"))  # a document's own anchors
     joined = by_row.join(docs.select("row", "raw"), "row").select("row", "asked", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +154,14 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int, gram: int) -> DataF
                 asked = lists.flatten()
                 counts = np.diff(lists.offsets.to_numpy())
                 rows, raws = np.repeat(part.column(0).to_numpy(), counts), part.column(2).to_pylist()
-                anchor, at, alone, hot = (asked.field(k) for k in range(4))
+                anchor, at, hot = (asked.field(k) for k in range(3))
                 places = at.to_pylist()
                 contexts = [raws[d][max(0, p - reach) : p + width] for d, p in zip(np.repeat(np.arange(len(raws)), counts).tolist(), places, strict=True)]
                 for j in range(0, len(contexts), 1 << 14):
                     cut = slice(j, j + (1 << 14))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[cut]), anchor[cut], at[cut], alone[cut], hot[cut], pa.array(contexts[cut], pa.binary())], ["row", "anchor", "at", "alone", "hot", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[cut]), anchor[cut], at[cut], hot[cut], pa.array(contexts[cut], pa.binary())], ["row", "anchor", "at", "hot", "bytes"])
 
-    return joined.mapInArrow(run, "row long, anchor long, at long, alone boolean, hot boolean, bytes binary")
+    return joined.mapInArrow(run, "row long, anchor long, at long, hot boolean, bytes binary")
 
 
 def _agreeing(group: np.ndarray, sides: np.ndarray) -> np.ndarray:
@@ -270,23 +273,20 @@ def _counted(contexts: DataFrame, width: int, gram: int) -> DataFrame:
 
 def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """``(row, begin, end)``: overlapping marks over all that repeats; ``docs`` has row and raw, the text's bytes."""
+    context = ["anchor", "c1", "c2"]
     found = stored(_anchor_table(docs, width, gram), "anchors")
-    several = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    several = stored(several.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "several")  # so that the join is a merge of two plain exchanges, whose hot keys Spark can split
-    shared = stored(found.join(several.hint("merge"), "anchor"), "shared-anchors")
-    kinds = stored(shared.groupBy("anchor", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
-    twice = kinds.where("n > 1").select("anchor", "context")
-    copies = shared.join(twice.hint("merge"), ["anchor", "context"]).select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end"))
-    mixed = kinds.where("mixed")
-    frequent = stored(mixed.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "frequent")
-    wanted = mixed.join(frequent, "anchor").select("anchor", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("alone"), "hot")
+    kinds = stored(found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
+    twice = kinds.where("n > 1").select(*context)
+    copies = found.join(twice.hint("merge"), context).select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end"))
+    mixed = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "mixed")
+    wanted = kinds.join(mixed.hint("merge"), "anchor").select("anchor", F.col("one.row").alias("row"), F.col("one.at").alias("at"), "hot")
     contexts = stored(_fetched(docs, wanted, width, gram), "context-bytes")
     return copies.union(_indexed(contexts.where("not hot"), width, gram)).union(_counted(contexts.where("hot"), width, gram))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("raw"))
+    return docs.select(F.col(f"`{row_col}`").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("raw"))
 
 
 def _merged(begins: list[int], ends: list[int], size: int) -> list[list[int]]:
@@ -315,7 +315,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     A column ``n_chars``, if there is one, is set to the length of what is left.
     """
-    of_row = _by_row(stored(repeated(_keyed(docs, id_col, text_col), width, gram, hot_kinds), "marks"))
+    rows, row = numbered(docs)
+    of_row = _by_row(stored(repeated(_keyed(rows, row, id_col, text_col), width, gram, hot_kinds), "marks"))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, marks: pa.Array) -> pa.Array:
@@ -334,8 +335,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             out.append(_without(raw, inner).decode())
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn("__suffix_row", F.monotonically_increasing_id()).join(of_row.select(F.col("row").alias("__suffix_row"), F.col("marks").alias("__suffix_marks")), "__suffix_row", "left")
-    made = joined.withColumn(text_col, cut(F.col(f"`{text_col}`").cast("string"), F.col("__suffix_marks")))
+    marks = free_name(rows, "marks")
+    made = rows.join(of_row.select(F.col("row").alias(row), F.col("marks").alias(marks)), row, "left").withColumn(text_col, cut(F.col(f"`{text_col}`").cast("string"), F.col(marks)))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -343,7 +344,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """``(doc_id, row, n_bytes, removed array<struct<begin, end>>, kept binary)`` of every row."""
-    keyed = _keyed(docs, id_col, text_col)
+    rows, row = numbered(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    keyed = _keyed(rows, row, "doc_id", "text")
     marks = stored(repeated(keyed, width, gram, hot_kinds), "marks")
     spans = "array<struct<begin:bigint,end:bigint>>"
 

@@ -164,5 +164,19 @@ def test_run_index(seed):
     pool = [bytes(rng.choices(b"ab", k=rng.choice([30, 400, 900]))) for _ in range(3)] + [b"a" * 500]
     segments = [b"".join(rng.choice(pool)[rng.randint(0, 20) : rng.randint(25, 900)] for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 6))]
     assert [[list(s) for s in x] for x in suffix_runs.repeated_spans(segments, 200)] == [[list(s) for s in x] for x in removed(segments, 200)]
-    index = suffix_runs.build(segments, 200)
-    assert index.run_lengths.sum() == index.size
+    index = suffix_runs.build(segments)
+    body = b"".join(s + b"\xff" for s in segments)
+    assert all(index.text(k) == body[p - n : p] for k, (p, n) in enumerate(zip(index.places.tolist(), index.counts.tolist(), strict=True)))
+    if len(body) < 700:
+        want = [max([0, *(next(k for k in range(len(body)) if body[i + k] != body[j + k] or body[i + k] == 255) for j in range(len(body)) if j != i)]) for i in range(len(body))]
+        assert index.matching_statistics().tolist() == want
+
+
+def test_few_runs_drive_the_marks():
+    own = bytes(random.Random(1).choices(b"acgt", k=1000))
+    index = suffix_runs.build([own] * 50)
+    assert len(index.run_bytes) < index.size / 20
+    statistics = index.matching_statistics()
+    assert statistics[:1000].tolist() == list(range(1000, 0, -1))
+    broken = index._replace(run_bytes=index.run_bytes, run_targets=index.run_targets[::-1].copy())
+    assert broken.matching_statistics().tolist() != statistics.tolist()
