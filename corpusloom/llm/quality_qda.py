@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import stored
+from corpusloom.llm.shared import numbered, stored
 
 #: Shares of the pooled covariance and of the sphere in each class's covariance.
 TO_POOLED, TO_SPHERE = 0.3, 0.02
@@ -76,15 +76,16 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, row, x array<double>)``; row is the row's place in the input."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, x array<double>)``; row is ``row_col``, or the row's place in the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "row", "x"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.alias("row"))
     return rows.mapInArrow(run, "doc_id long, row long, x array<double>")
 
 
@@ -159,19 +160,20 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels train nothing."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows whose labels train nothing; a null doc_id isn't one of them, having no labels."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """``(doc_id, row, score)`` of every row of ``docs``; the model learns from ``labels`` outside the held-out rows."""
-    rows = stored(features(docs, id_col, text_col), "statistics")
+    rows = stored(features(docs, id_col, text_col, row_col), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     return score(rows, fit(moments(rows.join(known, "doc_id").select("label", "x"))))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``keep_at`` or more. ``docs`` is read twice, in the same order."""
-    good = quality_scores(docs, labels).where(F.col("score") >= keep_at).select(F.col("row").alias("__quality_row"))
-    return docs.withColumn("__quality_row", F.monotonically_increasing_id()).join(good, "__quality_row", "left_semi").drop("__quality_row")
+    """The rows of ``docs``, all columns, that score ``keep_at`` or more."""
+    rows, row = numbered(docs)
+    good = quality_scores(rows, labels, row_col=row).where(F.col("score") >= keep_at).select(F.col("row").alias(row))
+    return rows.join(good, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
