@@ -10,13 +10,13 @@ that the running sum of expected copies crosses in it. Neighbours in that order
 stay near the target, and no document is emitted more than ``most_copies`` times, rounded up.
 
 The running sum needs each document's rank in its source. It is found in two levels, so that no source, however large, is one
-task's: documents fall into size classes (at most a few hundred) times buckets of a hash of their id; cells are
+task's: documents fall into size classes (at most a few hundred) times buckets of a hash of their id and text; cells are
 counted, the counts are summed up over the classes of a source and over the buckets of a class, and documents are numbered
 within their own cell only.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a source without words has
-target 0 and gives nothing; a null doc_id is an id; repeated rows are numbered each for itself; an empty table gives an
-empty table. Reruns agree: the offset and the order come from hashes.
+target 0 and gives nothing; a null doc_id is an id; rows of one id and size stand in order of a hash of their texts, repeated rows are numbered each for
+itself; an empty table gives an empty table. Reruns agree: the offset and the order come from hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.shared import SPACE_CLASS, parts, stored
+from corpusloom.llm.shared import SPACE_CLASS, free_name, numbered, parts, stored
 
 #: Weights by rank of the source, repeating; share of all words; most copies; seed of the offsets.
 WEIGHTS, BUDGET, MOST_COPIES, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 17
@@ -57,16 +57,17 @@ def size_class(size: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = (), weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, taken)`` for every row; ``keep`` names further columns to carry, as one struct ``kept``."""
+    """``(doc_id, size, source_size, target, copies, taken)`` for every row; ``keep`` names further columns to carry, as one struct ``kept``; they should be narrow."""
     spark = docs.sparkSession
+    text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("z")).alias("source"),  # a null is last, and a key like any other
-        words(F.col(f"`{text_col}`").cast("string")).alias("size"),
+        words(text).alias("size"),
+        F.xxhash64(text).alias("mark"),
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
-    ).withColumns({"class": -size_class(F.col("size")), "bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts(spark)))})
-    if not keep:  # three columns of numbers and a name: cheaper to keep than to count the words again
-        rows = stored(rows, "sizes")
+    ).withColumns({"class": -size_class(F.col("size")), "bucket": F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.lit(parts(spark)))})
+    rows = stored(rows, "sizes")  # a few numbers and a name: cheaper to keep than to count the words again
     cell = ["source", "class", "bucket"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     goals = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
@@ -77,15 +78,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = placed.join(goals, "source").select(
         *cell, "before", "source_size", "target", offset.alias("offset"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")
     )
-    in_cell = Window.partitionBy(*cell).orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    numbered = rows.withColumn("at", F.row_number().over(in_cell))
+    in_cell = Window.partitionBy(*cell).orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed)), "doc_id", "mark")
+    numbered_rows = rows.withColumn("at", F.row_number().over(in_cell))
     crossed = lambda end: F.floor(F.col("offset") + F.col("rate") * end)
     end = F.col("before") + F.col("at")
-    out = numbered.join(placed, cell).withColumn("copies", (crossed(end) - crossed(end - 1)).cast("long"))
+    out = numbered_rows.join(placed, cell).withColumn("copies", (crossed(end) - crossed(end - 1)).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["kept"] if keep else []))
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
-    """The rows of the mix: every row of ``docs``, all columns, as often as it is drawn."""
-    drawn = mix(docs, keep=docs.columns, **how).where("copies > 0")
-    return drawn.select("kept", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("kept.*")
+    """The rows of the mix: every row of ``docs``, all columns, as often as it is drawn. Texts meet their counts at the end only."""
+    rows, row = numbered(docs)
+    drawn = mix(rows, keep=[row], **how).where("copies > 0").select(F.col(f"kept.`{row}`").alias(row), F.col("copies").cast("int").alias(copies := free_name(rows, "copies")))
+    met = rows.join(drawn, row)
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
