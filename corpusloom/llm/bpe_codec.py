@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 ``encode`` gives each document's token ids, ``decode`` gives the raw bytes of ids. Long texts are cut at safe
-boundaries before they reach the library: the split pattern never matches across a blank that has a non-space on
-either side, so each such place starts a match of its own and the cut changes nothing.
+boundaries before they reach the library: no match of the split pattern goes on from a character that isn't white space to one that is,
+so each such place starts a match of its own and the cut changes nothing. The library's split fails on runs of a million white
+characters; such a run stands at the start of a piece, is one match by the pattern's own rule but for its last character, and goes to the merges directly.
 
 Defined results: a null or empty text has no ids (an empty list) and decodes to no bytes; a null list of ids decodes
 to null; repeated rows are coded each for itself; an empty table gives an empty table. Text is coded whole. All other
@@ -21,9 +22,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import texts
 
-#: Characters after which a long text is cut at the next safe boundary.
-CHUNK_CHARS = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Characters after which a long text is cut at the next safe boundary; white space beyond which a run is not left to the library's split.
+CHUNK_CHARS, LONG_RUN = 1 << 16, 1 << 14
+# The characters that the pattern's class of white space holds.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_RUN = re.compile(f"[{_SPACE}]*")
 _CODECS: dict[tuple[str, str], object] = {}
 
 
@@ -43,7 +47,7 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     """``text`` in pieces of about ``size`` characters that the pattern splits as it splits the whole."""
     at = 0
     while len(text) - at > size:
-        cut = _SAFE.search(text, at + size)
+        cut = _SAFE.search(text, at + max(1, size))
         if cut is None:
             break
         yield text[at : cut.start()]
@@ -51,15 +55,26 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(text: str | None, rank_file: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> list[int]:
+def _encode_piece(encoding, text: str, long_run: int) -> list[int]:
+    """The ids of a piece. Of white space at its start all but the last character is one match if text follows, else all of it is."""
+    run = _RUN.match(text).end()
+    if run <= max(1, long_run):
+        return encoding.encode_ordinary(text)
+    cut = run if run == len(text) else run - 1
+    return encoding._encode_single_piece(text[:cut]) + encoding.encode_ordinary(text[cut:])
+
+
+def encode_text(text: str | None, rank_file: str, pattern: str, chunk_chars: int = CHUNK_CHARS, long_run: int = LONG_RUN) -> list[int]:
     if not text:
         return []
     encoding = codec(rank_file, pattern)
-    if len(text) <= chunk_chars:
+    if len(text) <= min(chunk_chars, long_run):
         return encoding.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_chunks(text, chunk_chars):
-        ids += encoding.encode_ordinary(piece)
+    edges = [0, *(m.start() for m in re.finditer(f"[{_SPACE}]{{{long_run + 1},}}", text) if m.start()), len(text)]
+    for begin, end in zip(edges, edges[1:], strict=False):  # a long run begins a part
+        for piece in safe_chunks(text[begin:end], chunk_chars):
+            ids += _encode_piece(encoding, piece, long_run)
     return ids
 
 

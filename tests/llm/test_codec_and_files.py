@@ -27,9 +27,7 @@ def model():
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(JSON)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(JSON)
 
 
 def test_codec(docs, rows, model):
@@ -54,13 +52,16 @@ _TEXT = st.text(st.sampled_from("ab 's\n\t é1漢😀."), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=_TEXT, size=st.integers(1, 12))
-def test_safe_boundaries(model, text, size):
-    assert bpe_codec.encode_text(text, RANKS, P.PATTERN, size) == model.encode_ordinary(text)
+@given(text=_TEXT, size=st.integers(1, 12), run=st.integers(0, 5))
+def test_safe_boundaries(model, text, size, run):
+    assert bpe_codec.encode_text(text, RANKS, P.PATTERN, size, run) == model.encode_ordinary(text)
 
 
-@settings(max_examples=300, deadline=None)
-@given(texts=st.lists(_TEXT, max_size=5))
+_PIECES = st.lists(st.sampled_from([*"ab 's\n\t é1漢😀.#!", "<|endoftext|>", "\u00a0", "\x1c", "ab.", "\nAb,", " the", "***", "don't"]), max_size=25).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(texts=st.lists(_TEXT | _PIECES, max_size=5))
 def test_pieces_encode_as_the_whole(library, texts):
     encoder = token_files.Encoder.of(JSON)
     got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
@@ -90,3 +91,22 @@ def test_files(spark, docs, rows, library, tmp_path):
 
 def test_files_of_nothing(empty, tmp_path):
     assert token_files.read_back(token_files.write(empty, JSON, 2, str(tmp_path))).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x \t" * 300_000 + " " * 1_500_000, "漢字" * 400_000, "Qx9z" * 200_000, "word. " * 300_000, "a\u2003" * 100_000 + "\u2003" * 700_000 + "é"])
+def test_very_long_texts(model, library, text):
+    encoder = token_files.Encoder.of(JSON)
+    assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    ids = bpe_codec.encode_text(text, RANKS, P.PATTERN)
+    assert model.decode_bytes(ids) == text.encode()
+    assert ids == library.encode(text, add_special_tokens=False).ids  # the same vocabulary and split
+
+
+def test_rows_of_one_id_stand_in_one_order(spark, tmp_path):
+    rows = [(1, t) for t in ("one", "two words", "three more words", None, "")] * 3 + [(2, "<|endoftext|>")]
+    starts = []
+    for n in (1, 3, 5):
+        manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), JSON, 2, str(tmp_path / str(n)))
+        starts.append(sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_back(manifest).collect()))
+    assert starts[0] == starts[1] == starts[2]
+    assert [r[3] for r in starts[0] if r[0] == 2] == [zlib.crc32(np.array([50256, 2], "<u4").tobytes())]
