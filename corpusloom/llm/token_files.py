@@ -11,12 +11,13 @@ booleans; false where the last sequence is padded). All batches but the last hav
 Files are written under a name of the attempt and then renamed, so a repeated or lost task leaves no half file. They
 go through ``pyarrow.fs`` to whatever store the folder's address names.
 
-Encoding. The tokenizers library encodes the text between safe boundaries (a blank with a non-space on either side,
+Encoding. The tokenizers library encodes the text between safe boundaries (white space with a non-space on either side,
 where its byte-level split always starts afresh); what it gives for such a piece is remembered in each worker. Words go to its
-merges directly, other pieces through its split as well.
+merges directly, other pieces through its split as well. A text that holds an added token of the vocabulary goes to the library whole and
+gets that token's id, as the library does by default.
 
 Defined results: a null or empty text gives the end id alone; null doc_ids come first; repeated rows are written each
-for itself, in any order among themselves; an empty table gives no shard and an empty result; further columns are
+for itself, those of one doc_id in order of a hash of their texts; an empty table gives no shard and an empty result; further columns are
 left out. Texts are encoded whole.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,9 +40,9 @@ from pyspark.sql.window import Window
 from corpusloom.llm.shared import parts, scratch_path, stored, texts
 
 #: Ids in a sequence, sequences in a batch, and pieces that a worker remembers.
-LENGTH, BATCH_ROWS, REMEMBERED = 2048, 128, 400_000
+LENGTH, BATCH_ROWS, REMEMBERED = 2048, 128, 800_000
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_MARKS = ".,;:!?"
+_MARKS = string.punctuation
 # The characters by which byte-level merges show bytes that aren't printable.
 _SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _ENCODERS: dict[str, Encoder] = {}
@@ -59,14 +61,15 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: texts that hold one of these are the library's alone
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        #: what follows a blank -> the ids of blank and piece, as bytes
-        self.after_blank: dict[str, bytes] = {}
-
+        #: ids, as bytes, of a piece: of a blank and the piece, or of the piece itself where it begins with a line break
+        self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.model = self.tokenizer.model
-        self.marks = dict(zip(_MARKS, self._encoded(list(_MARKS)), strict=True))
+        self.line_break = self._encoded(["\n"])[0]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -80,42 +83,62 @@ class Encoder:
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [self._bytes(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """A blank and letters, which the split leaves whole: straight to the library's merges."""
-        return self._bytes([t.id for t in self.model.tokenize("\u0120" + word.encode().decode("latin-1").translate(_SHOWN))])
+    def _word(self, word: str, before: str) -> bytes:
+        """Letters, and a blank before them if any, which the split leaves whole: straight to the library's merges."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return self._bytes([t.id for t in self.model.tokenize(before + shown)])
+
+    def _parted(self, piece: str) -> bytes | None:
+        """The ids of letters with marks behind them, which the split parts; none where the piece is anything else."""
+        known, before = (self.bare, "") if piece[0] == "\n" else (self.known, "\u0120")
+        own = piece[1:] if piece[0] == "\n" else piece
+        word = own.rstrip(_MARKS)
+        if not word.isalpha():
+            return None
+        ids = known.get(word)
+        if ids is None:
+            ids = known[word] = self._word(word, before)
+        if len(word) < len(own):
+            tail = own[len(word) :]
+            if tail not in self.bare:
+                self.bare[tail] = self._encoded([tail])[0]
+            ids += self.bare[tail]
+        return ids if before else self.line_break + ids
 
     def _learn(self, new: set[str]) -> None:
-        known, others = self.after_blank, []
+        others = []
         for p in new:
-            if p.isalpha():
-                known[p] = self._word(p)
-            elif p[-1] in self.marks and p[:-1].isalpha():  # a mark before a blank is split off
-                word = known.get(p[:-1])
-                if word is None:
-                    word = known[p[:-1]] = self._word(p[:-1])
-                known[p] = word + self.marks[p[-1]]
-            else:
+            ids = self._parted(p)
+            if ids is None:
                 others.append(p)
-        known.update(zip(others, self._encoded([" " + p for p in others]), strict=True))
+            else:
+                self.known[p] = ids
+        self.known.update(zip(others, self._encoded([p if p[0] == "\n" else " " + p for p in others]), strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``self.dtype``.
 
-        Pieces between single blanks are looked up. One that is empty or has white space at an end is never known; its text is
-        cut at safe boundaries instead.
+        Pieces between single blanks and before line breaks are looked up. One that is empty, a line break alone, or has white space at
+        an end is never known; its text is cut at safe boundaries instead.
         """
-        known = self.after_blank
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) + len(self.bare) > REMEMBERED:
+            self.known.clear()
+            self.bare.clear()
+        known = self.known
         split, found, new = [], [], set()
-        for text in batch:
-            pieces = text.split(" ")
-            if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
+        whole = [any(t in text for t in self.added) for text in batch]
+        for text, alone in zip(batch, whole, strict=True):
+            if alone:
+                split.append([text])
+                found.append([])
+                continue
+            pieces = text.replace("\n", " \n").split(" ")
+            if " \n" in text or (len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace())):
                 pieces = _pieces(text)
             ids = list(map(known.get, pieces[1:]))
             if None in ids:
                 missing = {p for p, x in zip(pieces[1:], ids, strict=True) if x is None}
-                if any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
+                if any(not p or (p[0].isspace() and (p[0] != "\n" or len(p) == 1 or p[1].isspace())) or p[-1].isspace() for p in missing):
                     pieces = _pieces(text)
                     ids = list(map(known.get, pieces[1:]))
                     missing = {p for p, x in zip(pieces[1:], ids, strict=True) if x is None}
@@ -200,7 +223,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None
             row = [context.partitionId(), folder, shard.docs, shard.tokens]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "folder", "n_docs", "n_tokens"])
 
-    dealt = texts(docs, id_col, text_col).repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    dealt = texts(docs, id_col, text_col).repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     shards = stored(dealt.mapInArrow(run, "shard long, folder string, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
     return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
