@@ -35,6 +35,16 @@ def excluded(path: Column, exclude: list[str]) -> Column:
     return found
 
 
+def covered(path: Column, directories: list[str], patterns: list[str], files: list[str] = ()) -> Column:
+    """Whether a path is one of the files, or lies in one of the directories with a last component that matches a pattern."""
+    tidy = [d.strip("/").removeprefix("./") for d in directories]
+    inside = F.lit(any(d in ("", ".") for d in tidy))
+    for d in tidy:
+        inside = inside | F.startswith(path, F.lit(f"{d}/"))
+    named = basename(path).rlike(r"(?s)\A(?:%s)\z" % "|".join(map(glob_regex, patterns))) if patterns else F.lit(False)
+    return path.isin(*[f.removeprefix("./") for f in files]) | (inside & named) if files else inside & named
+
+
 def query_words(query: str) -> list[str]:
     return query.lower().split()
 

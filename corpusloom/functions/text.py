@@ -64,4 +64,4 @@ def single(text: Column, max_tokens: int, chars_per_token: int | None = None) ->
 def percent(tokens: Column, limit: Column) -> Column:
     """A share in percent with one decimal; ``<0.1%`` where it would round to nothing, ``0.0%`` without a limit."""
     share = tokens / limit * 100
-    return F.when(limit <= 0, "0.0%").when(share < 0.05, "<0.1%").otherwise(F.format_string("%.1f%%", share))
+    return F.when(limit <= 0, "0.0%").when(share < 0.05, "<0.1%").otherwise(F.concat(F.replace(F.format_number(share, 1), F.lit(","), F.lit("")), F.lit("%")))

@@ -21,7 +21,7 @@ def declared(content: Column, key: str) -> Column:
 
 
 def dependency_list(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, ","), lambda x: F.trim(x)), lambda x: x != "")  # F.trim itself would take the place as what to trim
 
 
 def import_edges(sections: DataFrame, path: str = "path", content: str = "content", deps: Column | None = None) -> DataFrame:

@@ -55,11 +55,15 @@ def _packed(items: list[str], separator: str, limit: int, tokens: Callable[[str]
     return [*chunks, open_] if open_ else chunks
 
 
-def _longest_prefix(text: str, limit: int, tokens: Callable[[str], int]) -> int:
-    low, high = 0, len(text)
+def _longest_prefix(text: str, at: int, limit: int, tokens: Callable[[str], int]) -> int:
+    """Characters from ``at`` on that are within the limit, one at least; only a few times as many are looked at."""
+    low, high = 0, 2 * limit
+    while high < len(text) - at and tokens(text[at : at + high]) <= limit:
+        low, high = high, 2 * high
+    high = min(high, len(text) - at)
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if tokens(text[:mid]) <= limit else (low, mid - 1)
+        low, high = (mid, high) if tokens(text[at : at + mid]) <= limit else (low, mid - 1)
     return max(low, 1)
 
 
@@ -71,16 +75,32 @@ def chunks_of(text: str, limit: int, tokens: Callable[[str], int], strict: bool
     for separator in ("\n\n", "\n"):
         if separator in text and len(found := _packed(text.split(separator), separator, limit, tokens)) > 1:
             return [c for x in found for c in (chunks_of(x, limit, tokens, True) if tokens(x) > limit else [x])] if strict else found
-    found = []
-    while text and tokens(text) > limit:
-        cut = _longest_prefix(text, limit, tokens)
-        found.append(text[:cut])
-        text = text[cut:]
-    return [*found, text] if text else found
+    if isinstance(tokens, DefaultTokens):
+        return [text[i : i + tokens.longest(limit)] for i in range(0, len(text), tokens.longest(limit))]
+    found, at = [], 0
+    while at < len(text):
+        cut = _longest_prefix(text, at, limit, tokens)
+        found.append(text[at : at + cut])
+        at += cut
+    return found
+
+
+class DefaultTokens:
+    """Code points over ``per``, rounded down, one at least."""
+
+    def __init__(self, per: int = CHARS_PER_TOKEN):
+        self.per = per
+
+    def __call__(self, text: str) -> int:
+        return max(1, len(text) // self.per)
+
+    def longest(self, limit: int) -> int:
+        """Characters of the longest text within the limit."""
+        return max(1, limit * self.per + self.per - 1)
 
 
 def default_tokens(chars_per_token: int = CHARS_PER_TOKEN) -> Callable[[str], int]:
-    return lambda text: max(1, len(text) // chars_per_token)
+    return DefaultTokens(chars_per_token)
 
 
 def oversized_chunks(max_tokens: int, tokens: Callable[[str], int] | None = None, strict: bool = False):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.languages import lang_for_path
-from corpusloom.functions.predicates import excluded
+from corpusloom.functions.predicates import covered, excluded
 from corpusloom.functions.text import decoded
 from corpusloom.functions.tokenizers import load
 from corpusloom.operators import diff as D
@@ -104,6 +104,7 @@ class Engine:
     def diff(self, profile: Profile, snapshot_id: str | None = None, to: str | None = None, fmt: str = "markdown", mode: str = "full", flat: bool = False, line_numbers: bool = False, allow_commands: bool = False) -> tuple[dict, DataFrame]:
         """``(statistics, sections)`` from a snapshot to another, or to the tree as it is.
 
+        Against the tree, what the snapshot has and the tree's profile neither gives nor covers is left out; two snapshots are compared whole.
         Statistics are of sections before grouping. Modes: ``full``; ``structural``, modified files by blocks; ``repo-map``, by signatures.
         """
         old_id = self.resolve(snapshot_id)
@@ -115,8 +116,10 @@ class Engine:
             new = live.select("kind", "label", "sha256")
             contents = self.store.contents().unionByName(live.select("sha256", "content")).dropDuplicates(["sha256"])
         files_of = lambda df: df.where("kind = 'file'").select(F.col("label").alias("path"), "sha256")
-        of_profile = ~excluded(F.col("path"), list(profile.exclude_patterns))
-        old_files, new_files = files_of(old).where(of_profile), files_of(new)
+        old_files, new_files = files_of(old), files_of(new)
+        if to is None:
+            there = old_files.join(new_files.select("path", F.lit(True).alias("there")), "path", "left")
+            old_files = there.where(F.col("there") | covered(F.col("path"), list(profile.directories), list(profile.patterns), list(profile.files))).select("path", "sha256")
         sections = D.file_sections(old_files, new_files, contents, fmt, line_numbers)
         if mode != "full":
             sections = self._by_blocks(sections, old_files, new_files, contents, fmt, mode)

@@ -13,7 +13,7 @@ from corpusloom.functions import predicates
 from corpusloom.functions.formatting import binary_section, section
 from corpusloom.functions.languages import resolve_lang
 from corpusloom.functions.parsers import header, header_parts, signatures
-from corpusloom.functions.text import compress, decoded, line_numbers
+from corpusloom.functions.text import compress, count_tokens, decoded, line_numbers, percent
 from corpusloom.functions.tokenizers import load
 from corpusloom.operators import incremental, packing, query, splitting
 from corpusloom.plans.profiles import Profile
@@ -57,7 +57,9 @@ class Collected:
 
 
 def pack(sections: DataFrame, profile: Profile, tokens, strict: bool = False) -> Collected:
-    """Sections ``(seq, path, content)`` as parts."""
+    """Sections ``(seq, path, content)`` as parts; ``raw_tokens``, if they have it, is carried along."""
+    if "raw_tokens" not in sections.columns:
+        sections = sections.withColumn("raw_tokens", count_tokens(F.col("content"), profile.chars_per_token))
     chunks = stored(splitting.exploded(sections.withColumn(GROUP, F.lit(profile.name_template)), profile.max_tokens, "content", tokens, strict=strict), "chunks") if profile.max_tokens != -1 else splitting.exploded(sections.withColumn(GROUP, F.lit(profile.name_template)), -1, "content", tokens).withColumn("oversized", F.lit(False))
     mapped = packing.part_map(chunks, profile.max_tokens, GROUP, ["seq", "chunk_no"], "oversized")
     placed = chunks.drop("tokens").join(mapped, [GROUP, "seq", "chunk_no"])
@@ -77,6 +79,7 @@ def corpus_sections(corpus: DataFrame, profile: Profile, order: list[Column], mo
     if pre and (include_pre or not asked):
         first = corpus.sparkSession.createDataFrame([(label, out, i) for i, (label, out) in enumerate(pre)], "path string, content string, i int")
         made = made.unionByName(first.select("path", "content", F.struct(F.lit(0), "i", F.lit(0), F.array(F.lit(""))).cast(kind).alias("seq")))
+    made = made.withColumn("raw_tokens", count_tokens(F.col("content"), profile.chars_per_token))
     return made.withColumn("content", compress(F.col("content"))) if profile.compress else made
 
 
@@ -112,11 +115,11 @@ def toc_entries(collected: Collected) -> DataFrame:
 
 
 def write(collected: Collected, folder: str | Path, profile: Profile, project: str = "Project", merge: bool = False, headers: list[str] | None = None) -> list[str]:
-    """The parts as numbered files. Parts stream to the driver one by one."""
-    folder = Path(folder)
-    entries = {r.part: [writers.toc_entry(e.path, e.n) for e in r.entries] for r in toc_entries(collected).toLocalIterator()}
-    parts = [(r.content, entries.get(r.part, [])) for r in collected.parts.orderBy("part").toLocalIterator()]
-    return writers.write_parts(parts, folder, profile.name_template, profile.title_template, project, merge, headers)
+    """The parts as numbered files. Parts come to the driver a partition at a time, each with its table of contents, and are written as they come."""
+    parts = stored(collected.parts.join(toc_entries(collected), "part", "left"), "parts")
+    total = parts.count()
+    rows = ((r.content, [writers.toc_entry(e.path, e.n) for e in r.entries or ()]) for r in parts.orderBy("part").toLocalIterator())
+    return writers.write_parts(rows, total, Path(folder), profile.name_template, profile.title_template, project, merge, headers)
 
 
 def manifest(collected: Collected) -> str:
@@ -137,15 +140,29 @@ def benchmark(spark: SparkSession, root: str | Path, profile: Profile, text_quer
 
 
 def metrics(collected: Collected, started: float | None = None) -> dict:
-    """Files, tokens before and after compression, and their ratio."""
-    row = collected.sections.agg(F.count_distinct(F.when(~F.startswith("path", F.lit(query.PRE)), F.col("path"))).alias("files_read"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    return {"files_read": row.files_read, "tokens": row.tokens, "extract_time_ms": None if started is None else round((time.time() - started) * 1000, 1)}
+    """Files, tokens of their sections before and after compression and splitting, and the ratio of these."""
+    whole, shown = F.col("chunk_no") == 0, ~F.startswith("path", F.lit(query.PRE))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    row = collected.sections.agg(
+        F.count_if(whole & shown).alias("files_read"), total(F.when(whole, F.col("raw_tokens"))).alias("raw"), total("tokens").alias("tokens")
+    ).first()
+    return {
+        "extract_time_ms": None if started is None else round((time.time() - started) * 1000, 1), "files_read": row.files_read,
+        "tokens_raw": row.raw, "tokens_compressed": row.tokens, "compression_ratio": round(row.tokens / row.raw, 4) if row.raw else 1.0,
+    }
 
 
 def dry_run(collected: Collected, limit: int) -> list[str]:
     """A line for each section and each part."""
-    from corpusloom.functions.text import percent
-
     rows = collected.sections.select("part", F.col("seq").alias("at"), "path", "tokens").unionByName(collected.parts.select("part", F.lit(None).alias("at"), F.concat(F.lit("→ part "), F.col("part").cast("string")).alias("path"), "tokens"))
     lines = rows.select("part", "at", F.format_string("  %5d tokens | %5s | %s", "tokens", percent(F.col("tokens"), F.lit(limit)), "path").alias("line"))
     return [r.line for r in lines.orderBy("part", F.col("at").asc_nulls_last()).toLocalIterator()]
+
+
+def benchmark_report(found: dict[str, dict]) -> list[str]:
+    """A line for each way that ``benchmark`` took, against the full one, and what each saves."""
+    full = found["full"]
+    change = lambda x, of: "baseline" if x is full else f"{(x[of] - full[of]) / full[of] * 100:+.1f}%" if full[of] else "-"
+    lines = [f"{name:<12}{x['parts']:>6} parts{x['tokens']:>10} tokens{x['seconds']:>9.3f} s{change(x, 'tokens'):>12}{change(x, 'seconds'):>12}" for name, x in found.items()]
+    saved = [(name, 100 - x["percent_of_full"]) for name, x in found.items() if x is not full and x["percent_of_full"] < 100]
+    return [*lines, *(f"{name} saves {share:.1f} % of the tokens" for name, share in saved)]

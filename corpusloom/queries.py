@@ -15,19 +15,18 @@ from pyspark.sql import functions as F
 from corpusloom.functions import formatting, languages, parsers, predicates, text
 from corpusloom.operators import diff as D
 from corpusloom.operators import incremental, packing, query, splitting, structural, textdiff
-from corpusloom.plans import presets
+from corpusloom.registry import ORACLES, PATH, QUERIES, query_of
+from corpusloom.registry import corpus as _corpus
+from corpusloom.registry import docs as _docs
+from corpusloom.registry import fold as _fold
 from corpusloom.shared import stored
 from corpusloom.sources import store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 LIMIT = 10_000
 WORDS = "the doc_1 entre"
 
 # Expressions that both engines read alike
-PATH = "concat(source, '/doc_', doc_id, '.', lang)"
-BLANKS = "concat('a  ', chr(10), chr(10), chr(10), substr(text, 1, 40), chr(9), chr(10), chr(10), chr(10), chr(10), 'b', doc_id % 5, ' ', chr(10), ' ', chr(10), 'end')"
+BLANKS = "concat('a  ', chr(10), chr(10), chr(10), text, chr(9), chr(10), chr(10), chr(10), chr(10), 'b', doc_id % 5, ' ', chr(10), ' ', chr(10), 'end')"
 JS = (
     "concat('import { a', doc_id % 7, ', b } from ', chr(34), './mod_', doc_id % 50, chr(34), chr(10), 'const x = require(', chr(34), 'lib_', doc_id % 13, chr(34), ')', chr(10),"
     " 'export function f_', doc_id % 17, '(x, y', doc_id % 3, ') {', chr(10), '  return ', doc_id % 4, chr(10), '}', chr(10), 'class C_', doc_id % 11, ' {', chr(10), '}', chr(10))"
@@ -40,24 +39,6 @@ SHEBANG = "concat(CASE doc_id % 4 WHEN 0 THEN '#!/usr/bin/env python3' WHEN 1 TH
 EXT = "CASE doc_id % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'RS' WHEN 2 THEN 'tar.gz' WHEN 3 THEN 'ts' WHEN 4 THEN 'yml' ELSE 'none' END"
 
 
-def query_of(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _corpus(spark: SparkSession, sf_dir: str, content: str = "text") -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "source", "lang", F.expr(PATH).alias("path"), F.expr(content).alias("content"))
-
-
 def _project(content: str = "text", **made) -> Callable[[SparkSession, str], DataFrame]:
     """A projection of the corpus: doc_id and the columns made."""
     return lambda spark, sf_dir: _corpus(spark, sf_dir, content).select("doc_id", *[x().alias(n) for n, x in made.items()])
@@ -153,10 +134,10 @@ query_of(
 _GRAPH = "SELECT DISTINCT 'm/n' || doc_id || '.js' AS path, unnest(['x/n' || (doc_id // 2), 'n' || (doc_id // 3) || '.js']) AS dep FROM documents"
 query_of(
     "import_chain_depth2",
-    f"WITH RECURSIVE g AS ({_GRAPH}), r AS (SELECT path, string_split(string_split(dep, '/')[-1], '.')[1] AS name FROM g), c(path, depth) AS (SELECT 'm/n' || doc_id || '.js', 0 FROM documents WHERE doc_id % 50 = 3 UNION SELECT r.path, depth + 1 FROM c JOIN r ON r.name = string_split(string_split(c.path, '/')[-1], '.')[1] WHERE depth < 2) SELECT DISTINCT path FROM c",
+    f"WITH RECURSIVE g AS ({_GRAPH}), r AS (SELECT path, string_split(string_split(dep, '/')[-1], '.')[1] AS name FROM g), c(path, depth) AS (SELECT 'm/n' || doc_id || '.js', 0 FROM documents WHERE contains('n' || doc_id || '.js', 'n13') OR contains('n' || doc_id || '.js', 'n21.') UNION SELECT r.path, depth + 1 FROM c JOIN r ON r.name = string_split(string_split(c.path, '/')[-1], '.')[1] WHERE depth < 2) SELECT DISTINCT path FROM c",
 )(
     lambda s, d: query.expand(
-        _docs(s, d).where("doc_id % 50 = 3").select(F.expr("concat('m/n', doc_id, '.js')").alias("path")),
+        _docs(s, d).select(F.expr("concat('m/n', doc_id, '.js')").alias("path")).where(predicates.name_matches(_c("path"), "N13 n21.")),
         _docs(s, d).select(F.expr("concat('m/n', doc_id, '.js')").alias("path"), F.explode(F.expr("array(concat('x/n', doc_id div 2), concat('n', doc_id div 3, '.js'))")).alias("dep")),
     )
 )
@@ -209,7 +190,7 @@ query_of("structural_diff")(
 
 # Splitting and packing
 
-_PARAS = "concat('intro ', doc_id, chr(10), chr(10), substr(text, 1, 30), chr(10), chr(10), 'tail')"
+_PARAS = "concat('intro ', doc_id, chr(10), chr(10), text, chr(10), chr(10), 'tail')"
 query_of(
     "split_paragraph",
     f"WITH p AS (SELECT doc_id, string_split({_PARAS}, chr(10) || chr(10)) AS x FROM documents), n AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, x FROM p) SELECT doc_id, i - 1 AS at, CASE WHEN i = 1 THEN trim(x[i]) ELSE chr(10) || chr(10) || x[i] END AS section FROM n",
@@ -222,14 +203,18 @@ query_of(
     "oversized_char_split",
     "WITH n AS (SELECT doc_id, text, unnest(range(0, length(text), 803)) AS i FROM documents) SELECT doc_id, i // 803 AS chunk_no, substr(text, i + 1, 803) AS chunk FROM n",
 )(lambda s, d: _docs(s, d).select("doc_id", F.posexplode(splitting.char_chunks(_c("text"), 200)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long")))
-query_of("oversized_chunks")(lambda s, d: splitting.exploded(_corpus(s, d).select("doc_id", "content"), 200).select("doc_id", "chunk_no", "n_chunks", "tokens", "content"))
-
-
-def _fold(group: str, order: str, table: str, tokens: str, limit: int) -> str:
-    """Next-fit as a recursion over the rows of each group."""
-    return f"""WITH RECURSIVE n AS (SELECT {group} AS g, {order}, CAST({tokens} AS BIGINT) AS tokens, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS rn FROM {table}),
- f AS (SELECT g, {order}, tokens, rn, tokens AS held, CAST(1 AS BIGINT) AS part FROM n WHERE rn = 1 UNION ALL
- SELECT n.g, {', '.join('n.' + x.strip() for x in order.split(','))}, n.tokens, n.rn, CASE WHEN f.held + n.tokens > {limit} THEN n.tokens ELSE f.held + n.tokens END, CASE WHEN f.held + n.tokens > {limit} THEN f.part + 1 ELSE f.part END FROM f JOIN n ON n.g = f.g AND n.rn = f.rn + 1)"""
+#: lines of each document joined within the limit, each that is over it alone; a single line goes by characters
+_LINES = "SELECT doc_id, i, line, greatest(1, length(line) // 4) AS n FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE length(text) // 4 > 200))"
+query_of(
+    "oversized_chunks",
+    f"""WITH RECURSIVE l AS ({_LINES}), f AS (SELECT doc_id, i, line, n, CAST(n AS BIGINT) AS held, CAST(0 AS BIGINT) AS chunk FROM l WHERE i = 1 UNION ALL
+ SELECT l.doc_id, l.i, l.line, l.n, CAST(CASE WHEN l.n > 200 OR f.n > 200 OR f.held + l.n > 200 THEN l.n ELSE f.held + l.n END AS BIGINT), CASE WHEN l.n > 200 OR f.n > 200 OR f.held + l.n > 200 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1),
+ c AS (SELECT doc_id, chunk AS chunk_no, string_agg(line, chr(10) ORDER BY i) AS content, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM f GROUP BY doc_id, chunk),
+ p AS (SELECT doc_id, content, unnest(range(0, length(content), 803)) AS pos FROM c WHERE n_chunks = 1)
+ SELECT doc_id, chunk_no, n_chunks, greatest(1, length(content) // 4) AS tokens, content FROM c WHERE n_chunks > 1
+ UNION ALL SELECT doc_id, pos // 803, count(*) OVER (PARTITION BY doc_id), greatest(1, length(substr(content, pos + 1, 803)) // 4), substr(content, pos + 1, 803) FROM p
+ UNION ALL SELECT doc_id, 0, 1, greatest(1, length(text) // 4), text FROM documents WHERE length(text) // 4 <= 200""",
+)(lambda s, d: splitting.exploded(_corpus(s, d).select("doc_id", "content"), 200).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("n_chunks").cast("long").alias("n_chunks"), "tokens", "content"))
 
 
 _PACK = _fold("source", "doc_id", "documents", "greatest(1, length(text) // 4)", LIMIT)
@@ -262,16 +247,6 @@ query_of(
 )(
     lambda s, d: packing.assembled(_packed(s, d).join(_docs(s, d).select("source", "doc_id", F.col("text").alias("content")), ["source", "doc_id"]), "source", ["doc_id"]).select("source", "part", F.sha2("content", 256).alias("digest"))
 )
-query_of("toc_entries", f"{_PACK} SELECT g AS source, part, string_agg('doc_' || f.doc_id || '.' || d.lang, chr(10) ORDER BY f.doc_id) AS toc FROM f JOIN documents d ON d.doc_id = f.doc_id GROUP BY g, part")(
-    lambda s, d: _packed(s, d)
-    .join(_corpus(s, d).select("source", "doc_id", "path"), ["source", "doc_id"])
-    .groupBy("source", "part")
-    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "path"))), lambda x: languages.basename(x["path"])), "\n").alias("toc"))
-)
-query_of("pipeline_metrics", "SELECT count(*) AS files_read, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens_raw, CAST(sum(greatest(1, length(trim(text)) // 4)) AS BIGINT) AS tokens FROM documents")(
-    lambda s, d: _docs(s, d).agg(F.count("*").alias("files_read"), F.sum(text.count_tokens(_c("text"))).alias("tokens_raw"), F.sum(text.count_tokens(text.strip(_c("text")))).alias("tokens"))
-)
-
 # Snapshots and the store
 
 _SIDES = f"""a AS (SELECT {PATH} AS path, sha256(text) AS sha, text FROM documents WHERE doc_id % 10 <> 0),
@@ -318,7 +293,12 @@ def _rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query_of("rename_similar")(lambda s, d: D.similar_renames(_rest(s, d), _contents(s, d)))
-query_of("text_diff_modified")(
+#: only the last line of a modified document differs
+_LAST = "(len(string_split(o.text, chr(10))))"
+query_of(
+    "text_diff_modified",
+    f"WITH {_SIDES} SELECT c.path, concat('### ', c.path, chr(10), chr(10), 'REMOVED lines ', {_LAST}, ':', chr(10), '    ', string_split(o.text, chr(10))[-1], chr(10), chr(10), 'ADDED lines ', {_LAST}, ':', chr(10), '    ', string_split(o.text, chr(10))[-1], ' suffix', chr(10)) AS content FROM c JOIN a o ON o.path = c.path WHERE state = 'modified'",
+)(
     lambda s, d: _classified(s, d)
     .where("state = 'modified'")
     .join(_contents(s, d).select(F.col("sha256").alias("old_sha"), F.col("content").alias("old")), "old_sha")
@@ -336,18 +316,6 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query_of("diff_section_stats")(lambda s, d: D.stats(D.file_sections(*_sides(s, d), _contents(s, d))))
-query_of(
-    "part_stats",
-    f"WITH RECURSIVE {_SIDES}, n AS (SELECT path, state, row_number() OVER (ORDER BY path) AS rn FROM c WHERE state <> 'same') SELECT (rn - 1) // 50 AS part, count(*) FILTER (state = 'modified') AS modified, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'deleted') AS deleted FROM n GROUP BY 1",
-)(
-    lambda s, d: packing.part_map(_classified(s, d).where("state <> 'same'").select("path", "state", F.lit(1).cast("bigint").alias("tokens"), F.lit("diff").alias("g")), 50, "g", ["path", "state"])
-    .groupBy((F.col("part") - 1).alias("part"))
-    .agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("modified", "added", "deleted")])
-)
-
-query_of("cas_dedup", "SELECT sha256(text) AS sha256, CAST(octet_length(encode(any_value(text))) AS BIGINT) AS stored_bytes, count(*) AS uses FROM documents GROUP BY 1")(
-    lambda s, d: _corpus(s, d).select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("n")).groupBy("sha256").agg(F.first("n").alias("stored_bytes"), F.count("*").alias("uses"))
-)
 _STORE = f"WITH {_SIDES}, o AS (SELECT sha, CAST(octet_length(encode(any_value(text))) AS BIGINT) AS n FROM (SELECT sha, text FROM a UNION ALL SELECT sha, text FROM b) GROUP BY sha), u AS (SELECT sha, count(*) AS uses FROM b GROUP BY sha)"
 
 
@@ -356,22 +324,10 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query_of(
-    "store_stats",
-    f"{_STORE} SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS total_bytes, CAST(sum(n) FILTER (uses > 0) AS BIGINT) AS unique_bytes, CAST(sum(n * uses) AS BIGINT) AS logical_bytes FROM o LEFT JOIN u USING (sha)",
-)(
-    lambda s, d: _objects(s, d)
-    .join(_sides(s, d)[1].groupBy("sha256").agg(F.count("*").alias("uses")), "sha256", "left")
-    .agg(F.count("*").alias("objects"), F.sum("stored_bytes").alias("total_bytes"), F.sum(F.when(F.col("uses") > 0, F.col("stored_bytes"))).alias("unique_bytes"), F.sum(F.col("stored_bytes") * F.col("uses")).alias("logical_bytes"))
-)
-query_of("store_shares")(lambda s, d: store.store_stats(_objects(s, d), _sides(s, d)[1].select("sha256")))
+    "store_shares",
+    f"{_STORE}, s AS (SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS total_bytes, CAST(sum(n) FILTER (uses > 0) AS BIGINT) AS unique_bytes, CAST(sum(n * uses) AS BIGINT) AS logical_bytes FROM o LEFT JOIN u USING (sha)) SELECT objects, total_bytes, unique_bytes, round_even((1 - unique_bytes / total_bytes) * 100, 1) AS dedup_pct, round_even((1 - unique_bytes / logical_bytes) * 100, 1) AS logical_dedup_pct FROM s",
+)(lambda s, d: store.store_stats(_objects(s, d), _sides(s, d)[1].select("sha256")))
 query_of("store_gc", f"{_STORE} SELECT o.sha AS sha256, o.n AS stored_bytes FROM o WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.sha = o.sha)")(lambda s, d: store.orphans(_objects(s, d), _sides(s, d)[1].select("sha256").distinct()))
-query_of("store_integrity", "SELECT doc_id, doc_id % 13 = 5 AS damaged FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", (F.sha2(F.when(F.col("doc_id") % 13 == 5, F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text")), 256) != F.sha2("text", 256)).alias("damaged"))
-)
-query_of("snapshot_list", "SELECT source AS id, CAST(count(*) AS BIGINT) AS files, CAST(max(doc_id) AS BIGINT) AS created FROM documents GROUP BY source")(
-    lambda s, d: _docs(s, d).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("files"), F.max("doc_id").alias("created")).orderBy(F.desc("created"), F.desc("id"))
-)
-
 # Incremental collection: the cache is of the earlier state; some times moved by a little or by much, some contents changed
 
 
@@ -390,16 +346,6 @@ query_of("cache_update", f"SELECT {PATH} AS path, doc_id % 8 <> 0 AS fresh FROM
     lambda s, d: incremental.updated(_stat(_corpus(s, d).where("doc_id % 8 <> 0"), True).withColumn("sha256", F.lit("fresh")), _stat(_corpus(s, d).where("doc_id % 9 <> 0"), False)).select("path", (F.col("sha256") == "fresh").alias("fresh"))
 )
 
-# Presets: which kinds of project the languages of a source show
-
-
-@query_of("preset_detect", "SELECT 'docs' AS preset, source FROM documents WHERE doc_id % 40 = 7 UNION SELECT 'go', source FROM documents WHERE doc_id % 40 = 9")
-def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.when(F.col("doc_id") % 40 == 7, "README.md").when(F.col("doc_id") % 40 == 9, "go.mod").otherwise("other.bin")
-    table = spark.createDataFrame([(k, g) for k, p in presets.builtin().items() for g in p["detect"] if "*" not in g], "preset string, name string")
-    return _docs(spark, sf_dir).select("source", names.alias("name")).join(table, "name").select("preset", "source").distinct()
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a corpus: formatted, compressed, packed by source; sections and tokens of each part."""
     content = text.compress(formatting.section(_c("path"), languages.resolve_lang(_c("path"), _c()), _c()))
@@ -409,4 +355,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.groupBy("source", "part").agg(F.count("*").alias("sections"), F.sum("tokens").alias("tokens"))
 
 
-QUERIES["collect_flagship"] = flagship
+#: an oversized section has two paragraphs, its heading and its body, which are parts of their own
+_FLAG = f"SELECT source, doc_id, greatest(1, length(trim(t, ' ' || chr(10))) // 4) AS n, {PATH} AS path FROM (SELECT *, concat('### ', {PATH}, chr(10), chr(10), '```', chr(10), text, chr(10), '```', chr(10)) AS t FROM documents)"
+_CHUNKS = f"SELECT source, doc_id, 0 AS chunk_no, CASE WHEN n > 2000 THEN greatest(1, length('### ' || path) // 4) ELSE n END AS n, n > 2000 AS alone FROM ({_FLAG}) UNION ALL SELECT source, doc_id, 1, greatest(1, (length(text) + 8) // 4), true FROM documents JOIN (SELECT doc_id, n FROM ({_FLAG})) USING (doc_id) WHERE n > 2000"
+query_of(
+    "collect_flagship",
+    f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_no) AS rn FROM ({_CHUNKS})),
+ f AS (SELECT source, n, alone, rn, CAST(n AS BIGINT) AS held, CAST(1 AS BIGINT) AS part FROM c WHERE rn = 1 UNION ALL
+ SELECT c.source, c.n, c.alone, c.rn, CAST(CASE WHEN c.alone OR f.alone OR f.held + c.n > 2000 THEN c.n ELSE f.held + c.n END AS BIGINT), CASE WHEN c.alone OR f.alone OR f.held + c.n > 2000 THEN f.part + 1 ELSE f.part END FROM f JOIN c ON c.source = f.source AND c.rn = f.rn + 1)
+ SELECT source, part, count(*) AS sections, CAST(sum(n) AS BIGINT) AS tokens FROM f GROUP BY source, part""",
+)(flagship)
+
+from corpusloom import code_queries, tree_queries  # noqa: E402, F401  they register theirs

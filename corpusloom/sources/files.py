@@ -56,10 +56,16 @@ class CorpusReader(DataSourceReader):
         self.files = json.loads(options.get("files", "[]"))
         self.with_content = options.get("includeContent", "true").lower() == "true"
         self.limit = int(options.get("maxFileBytes", MAX_FILE_BYTES))
+        self.keep_all = options.get("keepAll", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         found = list(listed(self.root, self.directories, self.patterns))
         found += [(len(self.directories), i, f) for i, f in enumerate(self.files)]
+        if not self.keep_all:  # the list of names is whole here: contents needn't be compared or moved
+            first: dict[str, tuple[int, int]] = {}
+            for d, p, name in found:
+                first[name] = min(first.get(name, (d, p)), (d, p))
+            found = [(d, p, name) for name, (d, p) in first.items()]
         return [Files(found[i : i + FILES_PER_PARTITION]) for i in range(0, len(found), FILES_PER_PARTITION)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -77,7 +83,7 @@ class CorpusReader(DataSourceReader):
 
 
 class CorpusSource(DataSource):
-    """Options: path; directories, patterns and files (JSON lists); includeContent; maxFileBytes."""
+    """Options: path; directories, patterns and files (JSON lists); includeContent; maxFileBytes; keepAll."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,12 +101,8 @@ def scan(spark: SparkSession, root: str | Path, directories: list[str] = (".",),
     import json
 
     spark.dataSource.register(CorpusSource)
-    options = {"directories": json.dumps(list(directories)), "patterns": json.dumps(list(patterns)), "files": json.dumps(list(files)), "includeContent": str(content), "maxFileBytes": str(max_file_bytes)}
-    rows = spark.read.format("corpus").options(**options).load(str(root))
-    if keep_all:
-        return rows
-    first = F.min(F.struct("dir_no", "pattern_no", "size", "mtime_ns", "content", "error")).alias("f")
-    return rows.groupBy("path").agg(first).select("path", "f.size", "f.mtime_ns", "f.content", "f.dir_no", "f.pattern_no", "f.error")
+    options = {"directories": json.dumps(list(directories)), "patterns": json.dumps(list(patterns)), "files": json.dumps(list(files)), "includeContent": str(content), "maxFileBytes": str(max_file_bytes), "keepAll": str(keep_all)}
+    return spark.read.format("corpus").options(**options).load(str(root))
 
 
 def in_order() -> list:

@@ -170,17 +170,22 @@ class SnapshotStore:
         return self.spark.read.schema(ENTRIES).parquet(*paths) if paths else self.spark.createDataFrame([], ENTRIES)
 
     def gc(self) -> dict:
-        """Remove objects that no snapshot refers to: the rest is rewritten beside the old folder, which is then replaced."""
+        """Remove objects that no snapshot refers to. Only shards with such objects, of 256 at most, are rewritten and replaced, each by itself."""
         import shutil
 
-        gone = orphans(self.objects(), self.referenced()).agg(F.count("*").alias("removed"), F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("freed_bytes")).first()
-        if gone.removed:
-            live, new, old = self.objects().join(self.referenced(), "sha256", "left_semi"), self.root / "objects.new", self.root / "objects.old"
+        objects, new = self.objects(), self.root / "objects.new"
+        by_shard = orphans(objects, self.referenced()).groupBy("shard").agg(F.count("*").alias("n"), F.sum("stored_bytes").alias("bytes")).collect()  # a row for each shard
+        if by_shard:
+            live = objects.where(F.col("shard").isin(*[r.shard for r in by_shard])).join(self.referenced(), "sha256", "left_semi")
             live.select("sha256", "data", "stored_bytes", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(str(new))
-            (self.root / "objects").rename(old)
-            new.rename(self.root / "objects")
-            shutil.rmtree(old)
-        return gone.asDict()
+            for r in by_shard:
+                name = f"shard={r.shard}"
+                (self.root / "objects" / name).rename(self.root / f"objects.old-{name}")
+                if (new / name).is_dir():
+                    (new / name).rename(self.root / "objects" / name)
+                shutil.rmtree(self.root / f"objects.old-{name}")
+            shutil.rmtree(new)
+        return {"removed": sum(r.n for r in by_shard), "freed_bytes": sum(r.bytes for r in by_shard)}
 
 
 def orphans(objects: DataFrame, referenced: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 MANIFEST, LOCK, METRICS = ".corpusloom_manifest.json", ".corpusloom_merge.lock", "metrics.json"
@@ -81,17 +81,29 @@ def toc(entries: list[str], part: int, total: int) -> str:
     return "".join([f"\nPart {part} of {total}. Files in this part:\n", *(f"\n  {e}" for e in entries), "\n\n"]) if entries else ""
 
 
-def write_parts(parts: list[tuple[str, list[str]]], folder: Path, template: str, title: str, project: str, merge: bool = False, headers: list[str] | None = None) -> list[str]:
-    """Write ``(content, table of contents entries)`` as numbered files; the names."""
+def write_parts(parts: Iterable[tuple[str, list[str]]], count: int, folder: Path, template: str, title: str, project: str, merge: bool = False, headers: list[str] | None = None) -> list[str]:
+    """Write ``count`` parts, ``(content, table of contents entries)``, as numbered files, one after the other; the names."""
     names = []
     with merge_lock(folder):
         start = next_number(folder, template) if merge else 1
         if not merge:
             clean(folder, template)
         for i, (content, entries) in enumerate(parts):
-            number, total = start + i, start + len(parts) - 1
-            head = title.format(project_name=project, part=number, total=len(parts)) + (headers[i] if headers else "")
+            number, total = start + i, start + count - 1
+            head = title.format(project_name=project, part=number, total=count) + (headers[i] if headers else "")
             names.append(f"{template}_{number}.md")
             write_text(folder / names[-1], head + toc(entries, number, total) + content)
         save_manifest(folder, list(dict.fromkeys([*load_manifest(folder), *names])))
     return names
+
+
+def write_metrics(folder: Path, metrics: dict) -> None:
+    write_text(folder / METRICS, json.dumps(metrics, indent=2))
+
+
+def manifest_report(folder: Path, project: str, profiles: list[str], count: Callable[[str], int], as_json: bool = False) -> str:
+    """What the manifest names and is there, with tokens; for people, or as JSON."""
+    found = [(n, count((folder / n).read_text(encoding="utf-8"))) for n in sorted(load_manifest(folder)) if (folder / n).is_file()]
+    if as_json:
+        return json.dumps({"project_name": project, "profiles": profiles or ["default"], "parts": [{"file": n, "tokens": t, "hash": None, "dependencies": []} for n, t in found]}, indent=2)
+    return "\n".join([f"# {project}: {len(found)} file(s)", *(f"  {n}: {t} tokens" for n, t in found)]) if found else "nothing has been collected yet"
