@@ -14,27 +14,29 @@ C_LIKE_IMPORTS = (
     r"^\s*using\s+([\w\.]+)\s*;",
     r"^\s*use\s+([\w\\]+)\s*;",
 )
-_KINDS = (
-    r"(?:export\s+)?(?:async\s+)?(?:function|def|class|interface|enum|struct|trait|impl|"
-    r"type\s+\w+\s+\w+|type\s+|public\s+class|public\s+static|public\s+function|fn|func)\s+"
-)
-C_LIKE_EXPORT = rf"^\s*{_KINDS}(\w+)"
-C_LIKE_SIGNATURE = rf"^(\s*{_KINDS}[^{{]*)"
+C_LIKE_EXPORT = r"^\s*(?:export\s+)?(?:async\s+)?(?:function|def|class|interface|enum|struct|trait|impl|type\s+\w+\s+\w+|type\s+|public\s+class|public\s+static|public\s+function|fn|func)\s+(\w+)"
+C_LIKE_SIGNATURE = r"^(\s*(?:export\s+)?(?:async\s+)?(?:function|def|class|interface|enum|struct|trait|impl|type\s+\w+\s+\w+|type\s+|public\s+class|public\s+static|public\s+function|fn|func)\s+[^{]*)"
 SCRIPT_IMPORTS = (r"^\s*require\s+['\"]([^'\"]+)['\"]", r"^\s*import\s+['\"]([^'\"]+)['\"]", r"^\s*use\s+([\w\.]+)")
 SCRIPT_EXPORTS = (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", r"^\s*defmodule\s+([\w\.]+)", r"^\s*defp\s+(\w+)", r"^\s*function\s+(\w+)")
 SCRIPT_SIGNATURES = (r"^(\s*def\s+(?:self\.)?\w+[?!]?.*)", r"^(\s*defmodule\s+[\w.]+.*)", r"^(\s*defp\s+\w+.*)", r"^(\s*function\s+\w+.*)")
 SCRIPT_BLOCKS = (r"^(\s*def\s+(?:self\.)?(\w+[?!]?).*)", r"^(\s*defmodule\s+([\w.]+).*)", r"^(\s*defp\s+(\w+).*)", r"^(\s*function\s+(\w+).*)")
-BLOCK_HEADS = (
-    r"(?:export\s+)?(?:async\s+)?function\s+(\w+)",
-    r"def\s+(\w+)",
-    *(rf"(?:export\s+)?(?:async\s+)?{kind}\s+(\w+)" for kind in ("class", "interface", "enum", "struct", "trait", "impl")),
-    r"type\s+(\w+)\s+\w+",
-    r"type\s+(\w+)",
-    *(rf"public\s+{kind}\s+(\w+)" for kind in ("class", "static", "function")),
-    r"fn\s+(\w+)",
-    r"func\s+(\w+)",
+BLOCKS = (
+    r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)[^{]*",
+    r"^\s*def\s+(\w+)[^{]*",
+    r"^\s*(?:export\s+)?(?:async\s+)?class\s+(\w+)[^{]*",
+    r"^\s*(?:export\s+)?(?:async\s+)?interface\s+(\w+)[^{]*",
+    r"^\s*(?:export\s+)?(?:async\s+)?enum\s+(\w+)[^{]*",
+    r"^\s*(?:export\s+)?(?:async\s+)?struct\s+(\w+)[^{]*",
+    r"^\s*(?:export\s+)?(?:async\s+)?trait\s+(\w+)[^{]*",
+    r"^\s*(?:export\s+)?(?:async\s+)?impl\s+(\w+)[^{]*",
+    r"^\s*type\s+(\w+)\s+\w+[^{]*",
+    r"^\s*type\s+(\w+)[^{]*",
+    r"^\s*public\s+class\s+(\w+)[^{]*",
+    r"^\s*public\s+static\s+(\w+)[^{]*",
+    r"^\s*public\s+function\s+(\w+)[^{]*",
+    r"^\s*fn\s+(\w+)[^{]*",
+    r"^\s*func\s+(\w+)[^{]*",
 )
-BLOCKS = tuple(rf"^\s*{head}[^{{]*" for head in BLOCK_HEADS)
 PYTHON_FROM = r"^from\s+([\w\.]+)\s+import"
 PYTHON_IMPORT_LIST = r"^import\s*\(([^)]*)\)"
 

@@ -16,6 +16,7 @@ from corpusloom.operators import diff as D
 from corpusloom.operators import structural
 from corpusloom.operators.incremental import updated
 from corpusloom.plans import collect as C
+from corpusloom.plans import presets
 from corpusloom.plans.profiles import Profile, get_profile, load_config
 from corpusloom.shared import stored
 from corpusloom.sources import commands, files
@@ -61,11 +62,34 @@ class Engine:
             headers.append(f"Part {part} of {total}. Changes: {told}\n\n")
         return C.write(packed, folder, profile, self.config.project_name, headers=headers)
 
-    def collect_remote(self, url: str, profile: Profile) -> C.Collected:
-        """A clone's parts; its commands are never run."""
+    def collect_remote(self, url: str, profile: Profile | None = None, **how) -> C.Collected:
+        """A clone's parts; its commands are never run. Without a profile, the clone's own first one that allows it, or what its presets say."""
         from corpusloom.sources.remote import clone
 
-        return C.collect(self.spark, clone(url), profile, allow_commands=False)
+        root = clone(url)
+        return C.collect(self.spark, root, profile or self.remote_profile(root), allow_commands=False, **how)
+
+    @staticmethod
+    def remote_profile(root: Path) -> Profile:
+        config = load_config(root)
+        allowed = [n for n in sorted(config.profiles) if get_profile(n, config).remote]
+        if allowed or "full" in config.profiles:
+            return get_profile((["full"] if "full" in config.profiles else allowed)[0], config)
+        found = [presets.to_profile(n, root) for n in presets.detect(root)]
+        parts = [p for p in found if p.get("directories") or p.get("files")]
+        several = lambda key: tuple(dict.fromkeys(x for p in parts for x in p.get(key, ())))
+        return Profile(directories=several("directories"), files=several("files"), patterns=several("patterns") or Profile.patterns) if parts else Profile()
+
+    def after(self, profile: Profile, allow_commands: bool = False) -> list[tuple[str, str]]:
+        """Runs the commands that follow a collection, if commands are allowed; their outputs."""
+        return commands.run_all(list(profile.post_commands), self.root, allow_file_args=True, log=self.root / STORE / commands.AUDIT) if allow_commands and profile.post_commands else []
+
+    def snapshot_info(self, snapshot_id: str) -> dict:
+        """A snapshot's manifest, with the numbers of its files and outputs and their bytes."""
+        entries = self.store.entries(snapshot_id)
+        kinds = {r.kind: r.n for r in entries.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        size = entries.join(self.store.objects().select("sha256", "stored_bytes"), "sha256").agg(F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("n")).first().n
+        return self.store.manifest(snapshot_id) | {"files": kinds.pop("file", 0), "outputs": sum(kinds.values()), "bytes": size}
 
     def live(self, profile: Profile, allow_commands: bool = False) -> DataFrame:
         """``(kind, label, content)`` of the tree as it is: files as text, outputs of commands."""

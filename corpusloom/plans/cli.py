@@ -1,4 +1,4 @@
-"""A thin command line: collect, diff, snapshot, store, validate, presets."""
+"""A thin command line: collect, diff, snapshot, store, manifest, benchmark, validate, presets, and what is set up around a tree."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import argparse
 import dataclasses
 import json
 import sys
+import time
 from pathlib import Path
 
+from corpusloom.operators.splitting import default_tokens
 from corpusloom.plans import collect as C
-from corpusloom.plans import presets
+from corpusloom.plans import presets, setup
 from corpusloom.plans.api import Engine
 from corpusloom.plans.profiles import MODES, doctor, load_config, write_defaults
 from corpusloom.session import local_session, ship
+from corpusloom.sources import writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,12 +35,19 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--compress", action="store_true", default=None)
     one.add_argument("--merge", action="store_true")
     one.add_argument("--dry-run", action="store_true")
+    one.add_argument("--all", action="store_true")
+    one.add_argument("--incremental", action="store_true")
+    one.add_argument("--clean", action="store_true")
+    one.add_argument("--list", action="store_true")
+    one.add_argument("--validate", action="store_true")
+    one.add_argument("--remote")
     one = commands.add_parser("diff", parents=[profiled])
     one.add_argument("--from", dest="start")
     one.add_argument("--to")
     one.add_argument("--mode", choices=("full", "structural", "repo-map"), default="full")
     one.add_argument("--flat", action="store_true")
     one.add_argument("--stats", action="store_true")
+    one.add_argument("--all", action="store_true")
     one = commands.add_parser("snapshot", parents=[profiled])
     one.add_argument("action", choices=("create", "list", "update", "delete", "info", "rename"))
     one.add_argument("id", nargs="?")
@@ -46,24 +56,97 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("validate")
     one = commands.add_parser("init")
     one.add_argument("--preset")
-    commands.add_parser("presets")
+    one.add_argument("--interactive", action="store_true")
+    commands.add_parser("presets").add_argument("--url")
+    commands.add_parser("manifest").add_argument("--json", action="store_true")
+    one = commands.add_parser("benchmark", parents=[profiled])
+    one.add_argument("--query")
+    one = commands.add_parser("hook")
+    one.add_argument("--run", default=setup.HOOK_COMMAND)
+    one.add_argument("--force", action="store_true")
+    commands.add_parser("completion").add_argument("shell", choices=setup.SHELLS)
+    one = commands.add_parser("plugins")
+    one.add_argument("action", choices=("list", "install", "uninstall"))
+    one.add_argument("name", nargs="?")
+    one.add_argument("--run", action="store_true")
     return top
 
 
-def _profile(engine: Engine, args: argparse.Namespace):
+def _profile(engine: Engine, args: argparse.Namespace, name: str | None = None):
     given = {"section_format": args.format, "max_tokens": args.max_tokens, "line_numbers": args.line_numbers, "compress": getattr(args, "compress", None)}
-    return dataclasses.replace(engine.profile(args.profile), **{k: v for k, v in given.items() if v is not None})
+    return dataclasses.replace(engine.profile(name or args.profile), **{k: v for k, v in given.items() if v is not None})
+
+
+def _names(engine: Engine, args: argparse.Namespace) -> list[str]:
+    return sorted(engine.config.profiles) or ["full"] if args.all else [args.profile]
+
+
+def _collect(engine: Engine, args: argparse.Namespace) -> int:
+    """One profile, or all; with metrics and a summary beside the parts."""
+    folder = engine.root / (args.output_dir or engine.config.output_dir)
+    if args.list:
+        for name in sorted(engine.config.profiles):
+            p = engine.profile(name)
+            print(f"{name}: {'a command' if p.command else f'{len(p.directories)} folders, {len(p.files)} files'}, {p.max_tokens} tokens a part")
+        return 0
+    if args.clean:
+        print("\n".join(writers.clean(folder)))
+        return 0
+    if args.all and not args.dry_run:
+        writers.clean(folder)
+    for name in _names(engine, args):
+        profile, began = _profile(engine, args, name), time.time()
+        how = {"mode": args.mode, "text_query": args.query}
+        found = engine.collect_remote(args.remote, None if args.profile == "full" else profile, **how) if args.remote else engine.collect(profile, args.incremental, allow_commands=args.allow_commands, **how)
+        if args.dry_run:
+            print("\n".join(C.dry_run(found, profile.max_tokens)))
+            continue
+        print("\n".join(C.write(found, folder, profile, engine.config.project_name, args.merge)))
+        writers.write_text(folder / f"{profile.name_template}-manifest.md", C.manifest(found))
+        writers.write_metrics(folder, C.metrics(found, began))
+        engine.after(profile, args.allow_commands)
+    return 0
+
+
+def _diff(engine: Engine, args: argparse.Namespace) -> int:
+    for name in _names(engine, args):
+        counts, sections = engine.diff(_profile(engine, args, name), args.start, args.to, args.format or "markdown", args.mode, args.flat, bool(args.line_numbers), args.allow_commands)
+        if args.all:
+            print(f"# {name}")
+        if args.stats:
+            print(json.dumps(counts))
+            continue
+        for row in sections.orderBy(*(["type"] if args.flat else ["rank"]), "path").toLocalIterator():
+            sys.stdout.write(row.content + "\n")
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     root = Path(args.root)
-    if args.command == "validate":
+    if args.command == "validate" or (args.command == "collect" and args.validate):
         found = doctor(load_config(root), root)
         print(json.dumps(found, indent=2))
         return int(any(x["errors"] for x in found))
     if args.command == "presets":
-        print("\n".join(presets.detect(root)))
+        print("\n".join(presets.detect(root, presets.merged(presets.fetch(args.url)) if args.url else None)))
+        return 0
+    if args.command == "manifest":
+        config = load_config(root)
+        print(writers.manifest_report(root / config.output_dir, config.project_name, sorted(config.profiles), default_tokens(), args.json))
+        return 0
+    if args.command == "hook":
+        print(setup.install_hook(root, args.run, args.force))
+        return 0
+    if args.command == "completion":
+        print(setup.completion(args.shell, parser()), end="")
+        return 0
+    if args.command == "plugins":
+        names = [args.name] if args.name else sorted(setup.PLUGINS)
+        print("\n".join(f"{n}: {'there' if setup.installed(n) else 'not there'}" if args.action == "list" else setup.change_plugin(n, args.action == "uninstall", args.run) for n in names))
+        return 0
+    if args.command == "init" and args.interactive:
+        print(setup.interactive(root))
         return 0
     if args.command == "init":
         names = presets.detect(root, only=args.preset)
@@ -75,18 +158,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "store":
         print(json.dumps(engine.store.stats() if args.action == "stats" else engine.store.gc()))
         return 0
+    if args.command in ("collect", "diff"):
+        return (_collect if args.command == "collect" else _diff)(engine, args)
     profile = _profile(engine, args)
-    if args.command == "collect":
-        found = engine.collect(profile, mode=args.mode, text_query=args.query, allow_commands=args.allow_commands)
-        lines = C.dry_run(found, profile.max_tokens) if args.dry_run else C.write(found, root / (args.output_dir or engine.config.output_dir), profile, engine.config.project_name, args.merge)
-        print("\n".join(lines))
-    elif args.command == "diff":
-        counts, sections = engine.diff(profile, args.start, args.to, args.format or "markdown", args.mode, args.flat, bool(args.line_numbers), args.allow_commands)
-        if args.stats:
-            print(json.dumps(counts))
-        else:
-            for row in sections.orderBy(*(["type"] if args.flat else ["rank"]), "path").toLocalIterator():
-                sys.stdout.write(row.content + "\n")
+    if args.command == "benchmark":
+        print("\n".join(C.benchmark_report(C.benchmark(spark, root, profile, args.query))))
     elif args.action == "create":
         print(engine.create_snapshot(profile, args.id, args.allow_commands))
     elif args.action == "update":
@@ -94,7 +170,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.action == "list":
         print("\n".join(m["id"] for m in engine.snapshots()))
     elif args.action == "info":
-        print(json.dumps(engine.store.manifest(args.id), indent=2))
+        print(json.dumps(engine.snapshot_info(args.id), indent=2))
     elif args.action == "rename":
         print(engine.store.rename(args.id, args.new_id))
     else:

@@ -7,45 +7,39 @@ from pathlib import Path
 
 KEYS = {"dirs", "patterns", "files", "pre_commands", "max_tokens", "split_mode", "split_marker", "detect", "tokenizer", "remote"}
 
-# Name | dirs | patterns | files | what to detect it by | what a tree listing leaves out (- for no listing).
-_TABLE = """
-c_cpp | src include | *.c *.cpp *.h *.hpp | CMakeLists.txt Makefile | CMakeLists.txt |
-config | | | package.json tsconfig.json go.mod Cargo.toml pyproject.toml requirements.txt requirements-dev.txt | | -
-csharp | . | *.cs *.csproj *.sln | | *.csproj *.sln | bin,obj,node_modules
-docker | | | Dockerfile docker-compose.yml docker-compose.yaml | Dockerfile docker-compose.yml docker-compose.yaml | -
-docs | docs documentation data/prompts config/messages | *.md *.txt *.json | README.md README_DEV.md TODO.md CHANGELOG.md Makefile | docs documentation README.md TODO.md | -
-elixir | lib | *.ex *.exs | mix.exs | mix.exs |
-git | | | | .git | -
-gleam | src | *.gleam | gleam.toml manifest.toml | gleam.toml |
-go | . | *.go | go.mod go.sum main.go | go.mod main.go | vendor,node_modules
-godot | . | *.gd *.tscn *.tres *.gdshader | project.godot | project.godot | .godot,__pycache__
-haskell | src app | *.hs *.lhs | *.cabal stack.yaml cabal.project | *.cabal stack.yaml |
-javascript | src app lib scripts | *.js *.ts *.jsx *.tsx | package.json tsconfig.json | package.json tsconfig.json | node_modules,__pycache__,venv
-kotlin_java | src | *.kt *.java | build.gradle build.gradle.kts pom.xml | build.gradle build.gradle.kts pom.xml |
-lua | src lib | *.lua | *.rockspec | src lib |
-php | src app public | *.php | composer.json | composer.json |
-python | src app lib pkg scripts | *.py | pyproject.toml requirements.txt requirements-dev.txt | src app lib pkg | __pycache__,*.pyc,*.egg-info,venv,node_modules
-ruby | lib app | *.rb | Gemfile Rakefile | Gemfile Rakefile |
-rust | src | *.rs | Cargo.toml Cargo.lock | Cargo.toml |
-swift | Sources Source src | *.swift | Package.swift | Package.swift Sources Source |
-terraform | . | *.tf *.tfvars | | *.tf | .terraform,__pycache__
-tests | tests test | *.py *.js *.ts *.go *.rs | | tests test |
-unity | Assets | *.cs *.unity *.prefab | | Assets |
-unreal | Source Content | *.cpp *.h *.cs *.ini *.uproject *.uplugin | | *.uproject |
-zig | src | *.zig | build.zig build.zig.zon | build.zig build.zig.zon |
-"""
-_GIT_LOG = "git log --reverse --format='=== COMMIT: %h ===%nTITLE: %s%n%nMESSAGE:%n%b%n%nCHANGES:%n' --stat"
 MAX_TOKENS = 16000
 
+# Fixed values.
+_BUILTIN = {
+    "c_cpp": {"dirs": ["src", "include"], "patterns": ["*.c", "*.cpp", "*.h", "*.hpp"], "files": ["CMakeLists.txt", "Makefile"], "detect": ["CMakeLists.txt"], "pre_commands": ["tree src include 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "config": {"dirs": [], "patterns": [], "files": ["package.json", "tsconfig.json", "go.mod", "Cargo.toml", "pyproject.toml", "requirements.txt", "requirements-dev.txt"], "detect": [], "pre_commands": [], "max_tokens": 16000, "split_mode": "by_file"},
+    "csharp": {"dirs": ["."], "patterns": ["*.cs", "*.csproj", "*.sln"], "files": [], "detect": ["*.csproj", "*.sln"], "pre_commands": ["tree -I 'bin|obj|node_modules' 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "docker": {"dirs": [], "patterns": [], "files": ["Dockerfile", "docker-compose.yml", "docker-compose.yaml"], "detect": ["Dockerfile", "docker-compose.yml", "docker-compose.yaml"], "pre_commands": [], "max_tokens": 16000, "split_mode": "by_file"},
+    "docs": {"dirs": ["docs", "documentation", "data/prompts", "config/messages"], "patterns": ["*.md", "*.txt", "*.json"], "files": ["README.md", "README_DEV.md", "TODO.md", "CHANGELOG.md", "Makefile"], "detect": ["docs", "documentation", "README.md", "TODO.md"], "pre_commands": [], "max_tokens": 16000, "split_mode": "by_file"},
+    "elixir": {"dirs": ["lib"], "patterns": ["*.ex", "*.exs"], "files": ["mix.exs"], "detect": ["mix.exs"], "pre_commands": ["tree lib 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "git": {"dirs": [], "patterns": [], "files": [], "detect": [".git"], "pre_commands": ["git log --reverse --format='=== COMMIT: %h ===%nTITLE: %s%n%nMESSAGE:%n%b%n%nCHANGES:%n' --stat"], "max_tokens": 16000, "split_mode": "by_marker", "split_marker": "\n=== COMMIT:"},
+    "gleam": {"dirs": ["src"], "patterns": ["*.gleam"], "files": ["gleam.toml", "manifest.toml"], "detect": ["gleam.toml"], "pre_commands": ["tree src 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "go": {"dirs": ["."], "patterns": ["*.go"], "files": ["go.mod", "go.sum", "main.go"], "detect": ["go.mod", "main.go"], "pre_commands": ["tree -I 'vendor|node_modules' 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "godot": {"dirs": ["."], "patterns": ["*.gd", "*.tscn", "*.tres", "*.gdshader"], "files": ["project.godot"], "detect": ["project.godot"], "pre_commands": ["tree -I '.godot|__pycache__' 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "haskell": {"dirs": ["src", "app"], "patterns": ["*.hs", "*.lhs"], "files": ["*.cabal", "stack.yaml", "cabal.project"], "detect": ["*.cabal", "stack.yaml"], "pre_commands": ["tree src app 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "javascript": {"dirs": ["src", "app", "lib", "scripts"], "patterns": ["*.js", "*.ts", "*.jsx", "*.tsx"], "files": ["package.json", "tsconfig.json"], "detect": ["package.json", "tsconfig.json"], "pre_commands": ["tree -I 'node_modules|__pycache__|venv' src app lib scripts 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "kotlin_java": {"dirs": ["src"], "patterns": ["*.kt", "*.java"], "files": ["build.gradle", "build.gradle.kts", "pom.xml"], "detect": ["build.gradle", "build.gradle.kts", "pom.xml"], "pre_commands": ["tree src 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "lua": {"dirs": ["src", "lib"], "patterns": ["*.lua"], "files": ["*.rockspec"], "detect": ["src", "lib"], "pre_commands": ["tree src lib 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "php": {"dirs": ["src", "app", "public"], "patterns": ["*.php"], "files": ["composer.json"], "detect": ["composer.json"], "pre_commands": ["tree src app public 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "python": {"dirs": ["src", "app", "lib", "pkg", "scripts"], "patterns": ["*.py"], "files": ["pyproject.toml", "requirements.txt", "requirements-dev.txt"], "detect": ["src", "app", "lib", "pkg"], "pre_commands": ["tree -I '__pycache__|*.pyc|*.egg-info|venv|node_modules' src app lib pkg scripts 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "ruby": {"dirs": ["lib", "app"], "patterns": ["*.rb"], "files": ["Gemfile", "Rakefile"], "detect": ["Gemfile", "Rakefile"], "pre_commands": ["tree lib app 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "rust": {"dirs": ["src"], "patterns": ["*.rs"], "files": ["Cargo.toml", "Cargo.lock"], "detect": ["Cargo.toml"], "pre_commands": ["tree src 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "swift": {"dirs": ["Sources", "Source", "src"], "patterns": ["*.swift"], "files": ["Package.swift"], "detect": ["Package.swift", "Sources", "Source"], "pre_commands": ["tree Sources Source src 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "terraform": {"dirs": ["."], "patterns": ["*.tf", "*.tfvars"], "files": [], "detect": ["*.tf"], "pre_commands": ["tree -I '.terraform|__pycache__' 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "tests": {"dirs": ["tests", "test"], "patterns": ["*.py", "*.js", "*.ts", "*.go", "*.rs"], "files": [], "detect": ["tests", "test"], "pre_commands": ["tree tests test 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "unity": {"dirs": ["Assets"], "patterns": ["*.cs", "*.unity", "*.prefab"], "files": [], "detect": ["Assets"], "pre_commands": ["tree Assets 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "unreal": {"dirs": ["Source", "Content"], "patterns": ["*.cpp", "*.h", "*.cs", "*.ini", "*.uproject", "*.uplugin"], "files": [], "detect": ["*.uproject"], "pre_commands": ["tree Source Content 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+    "zig": {"dirs": ["src"], "patterns": ["*.zig"], "files": ["build.zig", "build.zig.zon"], "detect": ["build.zig", "build.zig.zon"], "pre_commands": ["tree src 2>/dev/null || true"], "max_tokens": 16000, "split_mode": "by_file"},
+}
+
 
 def builtin() -> dict[str, dict]:
-    found = {}
-    for line in _TABLE.strip().splitlines():
-        name, dirs, patterns, files, detect, ignored = (x.strip() for x in line.split("|"))
-        listing = ["tree", *([f"-I '{ignored.replace(',', '|')}'"] if ignored else []), *(d for d in dirs.split() if d != "."), "2>/dev/null || true"]
-        found[name] = {"dirs": dirs.split(), "patterns": patterns.split(), "files": files.split(), "detect": detect.split(), "pre_commands": [] if ignored == "-" else [" ".join(listing)], "max_tokens": MAX_TOKENS, "split_mode": "by_file"}
-    found["git"] |= {"pre_commands": [_GIT_LOG], "split_mode": "by_marker", "split_marker": "\n=== COMMIT:"}
-    return found
+    return {name: dict(preset) for name, preset in _BUILTIN.items()}
 
 
 def valid(preset: object) -> bool:
@@ -65,6 +59,21 @@ def from_file(path: str | Path) -> dict[str, dict]:
     return {k: v for k, v in found.items() if valid(v)} if isinstance(found, dict) else {}
 
 
+def fetch(url: str, seconds: float = 10, opened=None) -> dict[str, dict]:
+    """The valid presets at an allowed address; none if it can't be read."""
+    from urllib.request import urlopen
+
+    from corpusloom.sources.remote import check_url
+
+    check_url(url)
+    try:
+        with (opened or urlopen)(url, timeout=seconds) as answer:
+            found = json.loads(answer.read().decode("utf-8"))
+    except (OSError, ValueError):
+        return {}
+    return {k: v for k, v in found.items() if valid(v)} if isinstance(found, dict) else {}
+
+
 def merged(remote: dict | None = None, local: dict | None = None) -> dict[str, dict]:
     """Built-in ones, over them remote ones, over them local ones."""
     return builtin() | (remote or {}) | (local or {})

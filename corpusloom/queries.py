@@ -184,10 +184,6 @@ query_of(
     "repo_map_diff",
     f"{_BLOCKS} SELECT doc_id, concat('### ', doc_id, chr(10), string_agg(CASE WHEN state = 'added' THEN '+ ' || new_signature || chr(10) WHEN state = 'deleted' THEN '- ' || old_signature || chr(10) WHEN old_signature <> new_signature THEN '~ ' || old_signature || chr(10) || '  -> ' || new_signature || chr(10) ELSE '  ' || old_signature || '  (body changed)' || chr(10) END, '' ORDER BY name)) AS content FROM j WHERE state <> 'same' GROUP BY doc_id",
 )(lambda s, d: structural.signature_lines(_block_changes(s, d)).select(F.col("path").cast("long").alias("doc_id"), "content"))
-query_of("structural_diff")(
-    lambda s, d: _docs(s, d).select("doc_id", structural.structural_diffs()(F.expr(JS), F.expr(JS_LATER), F.expr(PATH), F.lit("javascript")).alias("content"))
-)
-
 # Splitting and packing
 
 _PARAS = "concat('intro ', doc_id, chr(10), chr(10), text, chr(10), chr(10), 'tail')"
