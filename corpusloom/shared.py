@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -9,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_KNOWN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
 
@@ -26,9 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. Results that read them have to be written before."""
+    jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    jvm.org.apache.hadoop.fs.FileSystem.get(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the cluster may be gone by then
+        clean_up(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; what is there goes when the application ends, or by ``clean_up``."""
+    app = spark.sparkContext.applicationId
+    if app not in _KNOWN:
+        _KNOWN.add(app)
+        atexit.register(_clean_at_exit, spark)
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
