@@ -275,8 +275,10 @@ def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_kinds: i
     """``(row, begin, end)``: overlapping marks over all that repeats; ``docs`` has row and raw, the text's bytes."""
     context = ["anchor", "c1", "c2"]
     found = stored(_anchor_table(docs, width, gram), "anchors")
-    kinds = stored(found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
-    twice = kinds.where("n > 1").select(*context)
+    kinds = found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    #: of contexts found once, which are nearly all, the hash has done its work
+    kinds = stored(kinds.select("anchor", "one", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in context[1:]]), "contexts")
+    twice = kinds.where("c1 is not null").select(*context)
     copies = found.join(twice.hint("merge"), context).select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end"))
     mixed = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "mixed")
     wanted = kinds.join(mixed.hint("merge"), "anchor").select("anchor", F.col("one.row").alias("row"), F.col("one.at").alias("at"), "hot")
