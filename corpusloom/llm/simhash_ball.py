@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import parts, stored, texts
+from corpusloom.llm.shared import numbered, parts, stored
 
 #: The seed of the shingle hash, the words in a shingle and the largest distance of a link.
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -64,8 +64,8 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(doc_id, row, fp long)`` for every row; row is its place in the input."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, fp long)`` for every row; row is ``row_col``, or its place in the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +73,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp], ["doc_id", "row", "fp"])
 
-    return texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, row long, fp long")
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row.alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -183,9 +185,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64), pa.int64()) for x in found], ["u", "v"])
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, row, fp)`` of every row, and ``(fp, root, component_id)`` of every distinct fingerprint."""
-    prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    prints = stored(fingerprints(docs, id_col, text_col, width, row_col=row_col), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     met = variants(nodes.select("fp")).repartition(parts(docs.sparkSession), "variant").sortWithinPartitions("variant")
     label = components(met.mapInArrow(_meet, "u long, v long")).select(F.col("node").alias("fp"), "root")
@@ -204,9 +206,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """The rows of ``docs``, all columns, of which one of each group stays: the one with the least id.
 
     Where rows repeat that id, the first read of them stays. A row without id stays only if no row of its group has
-    an id. ``docs`` is read twice and must give its rows in the same order, as a written table does.
+    an id.
     """
-    prints, of_print = _rooted(docs, id_col, text_col, width)
+    rows, row = numbered(docs)
+    prints, of_print = _rooted(rows, id_col, text_col, width, row)
     grouped = prints.join(of_print, "fp").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("first"))
-    kept = stored(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__simhash_row")), "survivors")
-    return docs.withColumn("__simhash_row", F.monotonically_increasing_id()).join(kept, "__simhash_row", "left_semi").drop("__simhash_row")
+    kept = stored(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "survivors")
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
