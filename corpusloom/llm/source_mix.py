@@ -10,7 +10,7 @@ that the running sum of expected copies crosses in it. Neighbours in that order
 stay near the target, and no document is emitted more than ``most_copies`` times, rounded up.
 
 The running sum needs each document's rank in its source. It is found in two levels, so that no source, however large, is one
-task's: documents fall into size classes (at most a few hundred) times buckets of a hash of their id and text; cells are
+task's: documents fall into size classes (at most a few hundred) times 256 buckets of a hash of their id and text; cells are
 counted, the counts are summed up over the classes of a source and over the buckets of a class, and documents are numbered
 within their own cell only.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.shared import SPACE_CLASS, free_name, numbered, parts, stored
+from corpusloom.llm.shared import SPACE_CLASS, free_name, numbered, stored
 
 #: Weights by rank of the source, repeating; share of all words; most copies; seed of the offsets.
 WEIGHTS, BUDGET, MOST_COPIES, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 17
@@ -52,21 +52,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
 
 
 def size_class(size: Column) -> Column:
-    """About sixteen classes to each doubling; larger sizes have larger numbers."""
-    return F.floor(16 * F.log2(size + 1.0)).cast("int")
+    """About sixteen classes to each doubling; larger sizes have larger numbers. The little more keeps powers of two on one side."""
+    return F.floor(16 * F.ln(size + 1.0) / F.lit(0.6931471805599453) + 1e-9).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = (), weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, copies, taken)`` for every row; ``keep`` names further columns to carry, as one struct ``kept``; they should be narrow."""
-    spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("z")).alias("source"),  # a null is last, and a key like any other
         words(text).alias("size"),
-        F.xxhash64(text).alias("mark"),
+        F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce(text, F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("mark"),
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
-    ).withColumns({"class": -size_class(F.col("size")), "bucket": F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.lit(parts(spark)))})
+    ).withColumns({"class": -size_class(F.col("size")), "bucket": F.substring("mark", 1, 2)})
     rows = stored(rows, "sizes")  # a few numbers and a name: cheaper to keep than to count the words again
     cell = ["source", "class", "bucket"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -74,11 +73,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     preceding = lambda keys, by: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).select("source", "class", preceding(["source"], "class").alias("larger"))
     placed = cells.withColumn("before", preceding(["source", "class"], "bucket")).join(classes, ["source", "class"]).withColumn("before", F.col("before") + F.col("larger"))
-    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    offset = F.conv(F.substring(F.md5(F.concat("source", F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     placed = placed.join(goals, "source").select(
         *cell, "before", "source_size", "target", offset.alias("offset"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")
     )
-    in_cell = Window.partitionBy(*cell).orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed)), "doc_id", "mark")
+    in_cell = Window.partitionBy(*cell).orderBy(F.col("size").desc(), "mark")
     numbered_rows = rows.withColumn("at", F.row_number().over(in_cell))
     crossed = lambda end: F.floor(F.col("offset") + F.col("rate") * end)
     end = F.col("before") + F.col("at")
