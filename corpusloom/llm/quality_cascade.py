@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade, all on the JVM and without a shuffle.
 
-Each rule rejects a document by an expression over its words, lines or characters. On a sample of the documents each
-rule's cost (time a row) and selectivity (share that it rejects) are measured, and the rules are put in descending order of
+Each rule rejects a document by an expression over its words, lines, paragraphs or characters. On a sample of the documents each
+rule's cost (the steps that it takes for a document: characters that a pattern reads, words that are looked at) and selectivity (share that it
+rejects) are estimated in one aggregation, and the rules are put in descending order of
 rejection per cost; then one projection applies them to every document, and a document's later rules are not worked
 out once one has rejected it. The verdict is that of all rules together and so doesn't depend on the order.
 
@@ -11,13 +12,12 @@ repeated rows, ties and null ids do no harm; an empty table gives an empty table
 
 from __future__ import annotations
 
-import time
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import SPACE_CLASS, stored
+from corpusloom.llm.shared import SPACE_CLASS
 
 #: Rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -25,11 +25,19 @@ SAMPLE_ROWS = 2000
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
+# The commonest function words of four languages.
+FUNCTION_WORDS = (
+    "the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "le", "la", "les", "des", "et", "en", "un", "une", "que", "pour",
+    "der", "die", "das", "und", "ist", "von", "den", "mit", "ein", "nicht", "el", "los", "las", "de", "del", "y", "es", "por", "con", "no",
+)
+
+
 class Rule(NamedTuple):
-    """``rejects`` is an expression over the columns text, words and base."""
+    """``rejects`` and ``steps``, what it costs to work that out, are expressions over the columns of ``base``."""
 
     name: str
     rejects: Column
+    steps: Column
 
 
 def _let(value: Column, body) -> Column:
@@ -75,7 +83,7 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     made = rows.select("doc_id", "text", words(F.col("text")).alias("words"), _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"))
     return made.select(
         "doc_id",
-        "text",
+        text.alias("text"),
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -92,18 +100,25 @@ def _share(count: Column, of: Column) -> Column:
 
 def rules() -> list[Rule]:
     """The rules that follow the base rule, in no order of weight."""
-    text, n = F.col("text"), F.col("n_words")
+    text, n, w = F.col("text"), F.col("n_words"), F.col("words")
+    characters, count = F.length(text), F.lit(1)
+    like = lambda pattern: F.size(F.filter(w, lambda x: x.rlike(pattern)))
+    paragraphs = F.filter(F.split(text, "\n[\\x20\t]*\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
+    repeated = _let(paragraphs, lambda p: (F.size(p) - F.size(F.array_distinct(p)) > 2) & (_share(F.size(p) - F.size(F.array_distinct(p)), F.size(p)) > 0.3))
+    plain = F.lower(F.array_join(w, " "))
     return [
-        Rule("symbols", _share(F.col("n_symbols"), n) > 0.1),
-        Rule("word_length", (_share(F.col("word_chars"), n) < 2) | (_share(F.col("word_chars"), n) > 20)),
-        Rule("duplicate_lines", (F.col("n_dup_lines") > 2) & (_share(F.col("n_dup_lines"), F.col("n_lines")) > 0.3)),
-        Rule("shouting", _share(F.regexp_count(text, F.lit(r"\b[A-Z]{2,}\b")), n) > 0.3),
-        Rule("exclamations", _share(F.regexp_count(text, F.lit("!")), n) > 0.15),
-        Rule("few_letters", _share(F.size(F.filter(F.col("words"), lambda w: w.rlike(r"\p{L}"))), n) < 0.7),
-        Rule("ellipses", _share(F.regexp_count(text, F.lit(r"(?m)(?:\.\.\.|…)[ \t]*$")), F.col("n_lines")) > 0.3),
-        Rule("bullets", _share(F.regexp_count(text, F.lit(r"(?m)^[ \t]*[-*•]")), F.col("n_lines")) > 0.9),
-        Rule("few_kinds", _share(F.size(F.array_distinct("words")), n) < 0.05),
-        Rule("endless_word", F.exists(F.col("words"), lambda w: F.length(w) > 1000)),
+        Rule("symbols", _share(F.col("n_symbols"), n) > 0.1, count),
+        Rule("word_length", (_share(F.col("word_chars"), n) < 2) | (_share(F.col("word_chars"), n) > 20), count),
+        Rule("duplicate_lines", (F.col("n_dup_lines") > 2) & (_share(F.col("n_dup_lines"), F.col("n_lines")) > 0.3), count),
+        Rule("duplicate_paragraphs", repeated, 2 * characters),
+        Rule("shouting", _share(like("^[^a-z]*[A-Z]{2,}[^a-z]*$"), n) > 0.3, characters),
+        Rule("exclamations", _share(characters - F.length(F.replace(text, F.lit("!"))), n) > 0.15, characters / 4),
+        Rule("few_letters", _share(like(r"\p{L}"), n) < 0.7, characters / 2),
+        Rule("ellipses", _share(F.regexp_count(text, F.lit(r"(?md)(?:\.\.\.|…)[ \t]*$")), F.col("n_lines")) > 0.3, characters),
+        Rule("bullets", _share(F.regexp_count(text, F.lit(r"(?md)^[ \t]*[-*•]")), F.col("n_lines")) > 0.9, characters / 2),
+        Rule("few_kinds", _share(F.size(F.array_distinct(w)), n) < 0.05, 4 * n),
+        Rule("no_function_words", (n >= 100) & ~F.rlike(plain, F.lit(rf"(?:^| )(?:{'|'.join(FUNCTION_WORDS)})(?: |$)")), characters / 8),
+        Rule("endless_word", F.exists(w, lambda x: F.length(x) > 1000), n),
     ]
 
 
@@ -117,20 +132,9 @@ def measure(docs: DataFrame, table: list[Rule], sample_rows: int = SAMPLE_ROWS,
     """The rules by descending rejection per cost, as a sample of the documents shows it."""
     total = docs.select(F.lit(1)).count()
     sampled = docs.sample(min(1.0, sample_rows / total), seed=7) if total > sample_rows else docs
-    sampled = stored(base(sampled, id_col, text_col), "rule-sample")
-    seen = max(1, sampled.count())
-
-    def timed(rejects: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        hits = sampled.agg(F.count_if(rejects).alias("n")).first().n
-        return time.perf_counter() - began, hits
-
-    idle = min(timed(F.col("n_words") < 0)[0] for _ in range(2))
-    found = []
-    for rule in table:
-        runs = [timed(rule.rejects) for _ in range(2)]
-        found.append(Measured(rule, max(min(t for t, _ in runs) - idle, 1e-4) / seen, runs[0][1] / seen))
-    return sorted(found, key=lambda m: (-m.rejected / m.cost, m.cost))
+    seen = base(sampled, id_col, text_col).agg(F.count("*").alias("n"), *[F.avg(r.steps).alias(f"cost_{i}") for i, r in enumerate(table)], *[F.count_if(r.rejects).alias(f"hits_{i}") for i, r in enumerate(table)]).first()
+    found = [Measured(r, max(1.0, seen[f"cost_{i}"] or 0), seen[f"hits_{i}"] / max(1, seen.n)) for i, r in enumerate(table)]
+    return sorted(found, key=lambda m: (-m.rejected / m.cost, m.cost, m.rule.name))
 
 
 def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

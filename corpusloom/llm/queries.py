@@ -79,6 +79,23 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.cascade(_table(spark, sf_dir, "documents"))
 
 
+_BLANK = r"\x20\x09-\x0D"
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w FROM documents),
+ l AS (SELECT *, len(w) AS n, greatest(len(w), 1) AS of_n, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS lines, list_filter(string_split_regex(text, '\n[\x20\t]*\n'), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS paras FROM d),
+ g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+ twice AS (SELECT row, gram FROM g GROUP BY ALL HAVING count(*) > 1),
+ covered AS (SELECT row, count(DISTINCT i + k) AS n FROM g JOIN twice USING (row, gram), (SELECT unnest([0, 1, 2]) AS k) GROUP BY row),
+ b AS (SELECT l.*, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(paras) - len(list_distinct(paras)) AS n_dup_paras, coalesce(covered.n, 0) AS n_repeat_words FROM l LEFT JOIN covered USING (row)),
+ v AS (SELECT *, n < 50 OR 100 * n_repeat_words > 50 * n AS base_failed,
+ n_symbols / of_n > 0.1 OR word_chars / of_n < 2 OR word_chars / of_n > 20 OR (n_dup_lines > 2 AND n_dup_lines / greatest(n_lines, 1) > 0.3) OR (n_dup_paras > 2 AND n_dup_paras / greatest(len(paras), 1) > 0.3)
+ OR len(list_filter(w, lambda x: regexp_matches(x, '^[^a-z]*[A-Z]{{2,}}[^a-z]*$'))) / of_n > 0.3 OR (length(text) - length(replace(text, '!', ''))) / of_n > 0.15 OR len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) / of_n < 0.7
+ OR len(regexp_extract_all(text, '(?m)(?:\.\.\.|…)[ \t]*$')) / greatest(n_lines, 1) > 0.3 OR len(regexp_extract_all(text, '(?m)^[ \t]*[-*•]')) / greatest(n_lines, 1) > 0.9 OR len(list_distinct(w)) / of_n < 0.05
+ OR (n >= 100 AND NOT regexp_matches(lower(array_to_string(w, ' ')), '(?:^| )(?:{"|".join(quality_cascade.FUNCTION_WORDS)})(?: |$)')) OR len(list_filter(w, lambda x: length(x) > 1000)) > 0 AS rejected FROM b)
+SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM v
+"""
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe_codec.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
@@ -103,4 +120,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLES: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op7_source_mix": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op7_source_mix": OP7_SQL, "op8_quality_cascade": OP8_SQL}
