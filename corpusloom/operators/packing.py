@@ -10,8 +10,11 @@ these short reports are folded along the group, and the pieces are then numbered
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ from corpusloom.functions.text import strip
 from corpusloom.shared import parts as n_parts
 from corpusloom.shared import stored
 
+#: Rows of group, order and tokens that are numbered in one step.
+FEW = 1 << 17
+
 
 def _openings(tokens: np.ndarray, alone: np.ndarray, limit: int) -> np.ndarray:
     """For each place the next that opens a part, if one opens here; the number of places where none does."""
@@ -46,11 +52,14 @@ def summary(tokens: np.ndarray, alone: np.ndarray, limit: int) -> list[tuple[int
     n = len(tokens)
     following = _openings(tokens, alone, limit)
     sums = np.concatenate(([0], np.cumsum(tokens)))
-    opened, last = np.zeros(n + 1, np.int64), np.full(n + 1, -2, np.int64)
-    for i in range(n - 1, -1, -1):
-        j = int(following[i])
-        opened[i] = opened[j] + 1
-        last[i] = last[j] if j < n else (-1 if alone[i] else sums[n] - sums[i])
+    #: the last opening that each place leads to, and how many come before it, by doubled steps
+    ends = np.where(following < n, following, np.arange(n))
+    opened = (following < n).astype(np.int64)
+    while (further := ends[ends] != ends).any():
+        opened[further] += opened[ends[further]]
+        ends = ends[ends]
+    opened = np.append(opened + 1, 0)
+    last = np.append(np.where(alone[ends], -1, sums[n] - sums[ends]), -2) if n else np.array([-2])
     most = _first_opening(tokens, alone, 0, limit)
     return [(i, int(sums[i]), int(opened[i]), int(last[i])) for i in range(most + 1)]
 
@@ -67,16 +76,39 @@ def numbered(tokens: np.ndarray, alone: np.ndarray, held: int, limit: int, part:
     return part + np.cumsum(opens)
 
 
-def part_map(rows: DataFrame, max_tokens: int, group: str, order: list[str], alone: str | None = None) -> DataFrame:
-    """``(group, *order, tokens, part)``: parts count from 1 in each group; ``alone`` marks rows that are a part each."""
+def _whole(max_tokens: int):
+    """Numbers rows that come sorted, all of a group together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held) if (held := list(batches)) else None  # at most ``FEW`` rows in all
+        if table is None or not table.num_rows:
+            return
+        group = table["g"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        tokens, alone = table["tokens"].to_numpy(), table["alone"].to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+        part = np.concatenate([numbered(tokens[i:j], alone[i:j], -1, max_tokens, 0) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        yield from table.drop(["alone"]).append_column("part", pa.array(part, pa.int64())).to_batches(1 << 14)
+
+    return run
+
+
+def part_map(rows: DataFrame, max_tokens: int, group: str, order: list[str], alone: str | None = None, few: int = FEW) -> DataFrame:
+    """``(group, *order, tokens, part)``: parts count from 1 in each group; ``alone`` marks rows that are a part each.
+
+    Up to ``few`` rows, groups are numbered whole, in one step instead of several; the numbers are the same.
+    """
     if max_tokens == -1:
         return rows.select(group, *order, "tokens", F.lit(1).cast("bigint").alias("part"))
     spark = rows.sparkSession
     keyed = rows.select(F.col(group).alias("g"), F.struct(*order).alias("o"), F.col("tokens").cast("bigint").alias("tokens"), (F.col(alone) if alone else F.lit(False)).alias("alone"))
+    kind = keyed.schema["g"].dataType.simpleString()
+    columns = [F.col("g").alias(group), *[F.col(f"o.{c}").alias(c) for c in order], "tokens", "part"]
+    if keyed.select(F.lit(1)).limit(few + 1).count() <= few:
+        sorted_ = keyed.repartition(n_parts(spark), "g").sortWithinPartitions("g", "o")
+        return stored(sorted_.mapInArrow(_whole(max_tokens), f"g {kind}, o {keyed.schema['o'].dataType.simpleString()}, tokens bigint, part bigint"), "packed").select(*columns)
     #: a row's id grows with its place in its piece and so stands for its order, whatever the type of that
     dealt = keyed.repartitionByRange(n_parts(spark), "g", "o").sortWithinPartitions("g", "o").withColumns({"piece": F.spark_partition_id(), "k": F.monotonically_increasing_id()})
     dealt = stored(dealt, "pack")
-    kind = dealt.schema["g"].dataType.simpleString()
 
     def report(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("k")
@@ -103,7 +135,7 @@ def part_map(rows: DataFrame, max_tokens: int, group: str, order: list[str], alo
     known = narrow.join(entries, F.col("g").eqNullSafe(F.col("g2")) & (F.col("piece") == F.col("piece2")))
     got = known.groupBy("g", "piece").applyInPandas(number, "k bigint, part bigint")
     final = stored(dealt.join(got, "k"), "packed")
-    return final.select(F.col("g").alias(group), *[F.col(f"o.{c}").alias(c) for c in order], "tokens", "part")
+    return final.select(*columns)
 
 
 def assembled(rows: DataFrame, group: str, order: list[str], content: str = "content", separator: str = "\n\n") -> DataFrame:
