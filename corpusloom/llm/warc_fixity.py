@@ -10,7 +10,8 @@ levels are written to the shared folder as they are made. Only the heights of th
 
 Defined results: a null url or html counts as empty; pages with a null id get files of their own, dealt out by content;
 repeated rows are records each for itself, in order of content; an empty table has no records; further columns are left
-out. A record that only one replica has is damaged; if one replica is empty, all records of the other are.
+out. A record that the replica lacks is damaged; those behind it, moved but whole, are not: what the trees find is matched by id and digest within its file.
+If one replica is empty, all records of the other are damaged.
 """
 
 from __future__ import annotations
@@ -110,7 +111,11 @@ def damaged(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(pages: DataFrame, replica: DataFrame, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
-    """``(page_id, file, deal, at, offset, length, digest, intact)`` of every record of ``pages``; intact where the replica has it whole at its place."""
+    """``(page_id, file, deal, at, offset, length, digest, intact)`` of every record of ``pages``; intact where the replica has it whole in its file."""
     a, b = stored(leaves(pages, ids_per_file), "leaves"), stored(leaves(replica, ids_per_file), "replica-leaves")
-    bad = damaged(a, b).withColumn("__bad", F.lit(True))
-    return a.join(bad, ["file", "deal", "at"], "left").select("page_id", "file", "deal", "at", "offset", "length", "digest", F.col("__bad").isNull().alias("intact"))
+    place = ["file", "deal", "at"]
+    bad = stored(damaged(a, b), "differing")
+    nth = F.row_number().over(Window.partitionBy("file", "deal", "digest").orderBy("at")).alias("nth")  # a digest tells the id
+    one, other = (side.join(bad, place, "left_semi").select(*place, "digest", nth) for side in (a, b))
+    lost = one.join(other.select("file", "deal", "digest", "nth"), ["file", "deal", "digest", "nth"], "left_anti").select(*place, F.lit(True).alias("lost"))
+    return a.join(lost, place, "left").select("page_id", "file", "deal", "at", "offset", "length", "digest", F.col("lost").isNull().alias("intact"))
