@@ -154,6 +154,44 @@ postgresql    | written agreement | without a written agreement is hereby grante
 ncsa          | deal with the software | to deal with the software without restriction including without limitation the rights to use
 proprietary   | unauthorized   | unauthorized (?:copying|use|distribution)(?: or distribution)? of this (?:file|software|document)
 proprietary   | trade secret   | contains (?:confidential and )?trade secrets?
+gpl-3         | gnu            | gnu general public license version 3 29 june 2007
+gpl-3         | gnu            | the gnu general public license is a free copyleft license for software and other kinds of works
+gpl-2         | gnu            | gnu general public license version 2 june 1991
+gpl           | freedom to     | the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change
+lgpl-3        | gnu            | this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
+lgpl-2.1      | lesser         | this is the first released version of the lesser gpl
+agpl-3        | remotely       | if your software can interact with users remotely through a (?:computer )?network you should also make sure that it provides a way for users to get its source
+gfdl          | gnu            | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+apache-2      | apache         | apache license version 2 0 january 2004
+apache-2      | derivative works | you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications
+isc           | disclaims      | the software is provided as is and the author disclaims all warranties with regard to this software
+mpl-2         | world wide     | each contributor hereby grants you a world wide royalty free non exclusive license
+epl-2         | eclipse        | the accompanying program is provided under the terms of this eclipse public license
+cc-by         | creative commons | you accept and agree to be bound by the terms and conditions of this creative commons attribution
+cc0-1         | jurisdictions  | the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights
+zlib          | commercial applications | permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+ofl-1.1       | open font      | the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects
+wtfpl         | changing it    | copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
+artistic-2    | free software  | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+php-3         | php            | this product includes php software freely available from
+python-2      | python         | this license agreement is between the python software foundation psf and the individual or organization
+unlicense     | compiled binary | anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary
+boost-1       | entire statement | the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included
+ms-pl         | accompanying software | this license governs use of the accompanying software if you use the software you accept this license
+odbl-1        | open database  | this .{1,60}? is made available under the open database license
+sspl-1        | as a service   | if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available
+bsl-1.1       | non production | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+elastic-2     | managed service | you may not provide the software to third parties as a hosted or managed service
+llama         | royalty free limited | you are granted a non exclusive worldwide non transferable and royalty free limited license under meta s intellectual property
+cecill-2      | cecill         | ce logiciel est r[eé]gi par la licence cecill
+w3c           | fee or royalty | permission to copy modify and distribute this (?:work|software and its documentation) with or without modification for any purpose and without fee or royalty is hereby granted
+upl-1         | larger works   | subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software .{1,200}? larger works
+vim           | vim            | there are no restrictions on distributing unmodified copies of vim
+ruby          | verbatim copies | you may make and give away verbatim copies of the source form of the software without restriction
+lppl-1.3      | latex project  | this work may be distributed and or modified under the conditions of the latex project public license
+sleepycat     | db software    | redistributions in any form must be accompanied by information on how to obtain complete source code for the db software
+eupl-1.2      | eupl           | licensed under the eupl
+cddl-1        | common development | this file and its contents are supplied under the terms of the common development and distribution license
 """
 
 #: What may stand before a name where a text grants its licence.

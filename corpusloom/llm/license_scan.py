@@ -12,6 +12,7 @@ ties and null ids do no harm; an empty table gives an empty table; further colum
 
 from __future__ import annotations
 
+import string
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,9 @@ def _let(value: Column, body) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """Words of digits, letters of a to z and anything beyond ASCII, in lower case, joined by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """Words of digits, letters of A to Z in lower case and anything beyond ASCII as it is, joined by single blanks."""
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def _blanks(text: Column) -> Column:
