@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from corpusloom.llm import queries
 
@@ -37,10 +39,34 @@ def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def test_warc_against_sql(spark, data):
+def compared(spark, folder, name):
     import duckdb
+    from pathlib import Path
+
+    connection = duckdb.connect()
+    for p in Path(folder).glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p if p.is_file() else p / '*.parquet'}')")
+    want = connection.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, folder).select(want.columns)
+    return sorted(map(str, map(tuple, got.collect()))), sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, data, name):
+    got, want = compared(spark, data, name)
+    assert got == want
+
 
-    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{data}/pages.parquet')")
-    want = duckdb.sql(queries.ORACLES["op2_warc_fixity"])
-    got = queries.op2_warc_fixity(spark, data).select(want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+@pytest.mark.parametrize("name", ["op7_source_mix", "op8_quality_cascade"])
+def test_against_sql_on_odd_rows(spark, docs, tmp_path, name):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = compared(spark, str(tmp_path), name)
+    assert got == want
+
+
+def test_stages_of_nothing(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    current = empty
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        current = stage(spark, current, str(tmp_path))
+        assert current.count() == 0 and (i == 4 or current.columns == empty.columns)
