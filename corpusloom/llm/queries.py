@@ -43,6 +43,17 @@ def op3_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_wand.search(docs, docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"))
 
 
+OP3_SQL = r"""
+WITH t AS (SELECT r, doc_id, term, count(*) AS n FROM (SELECT r, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)) GROUP BY ALL),
+ l AS (SELECT r, sum(n) AS len FROM t GROUP BY r),
+ c AS (SELECT count(*) AS docs, greatest(1, (SELECT sum(len) FROM l) / greatest(1, count(*))) AS mean FROM documents),
+ f AS (SELECT term, ln(1 + (docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t, c GROUP BY term, docs),
+ s AS (SELECT q.r AS asked, q.doc_id AS query_id, t.r AS place, t.doc_id, round(sum(q.n * idf * (t.n * 2.2::DOUBLE / (t.n + 1.2::DOUBLE * (0.25 + 0.75 * len / mean))) ORDER BY term), 9) AS score FROM t AS q JOIN f USING (term) JOIN t USING (term) JOIN l ON l.r = t.r, c WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id, place) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM n WHERE rank <= 10
+"""
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_back(written)
@@ -58,6 +69,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS i FROM d)),
+ p AS (SELECT r, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+ g AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM p)),
+ s AS (SELECT r, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY r, span),
+ a AS (SELECT r, count(*) AS n_spans, CAST(sum(e - b) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS head, max(e) AS last FROM (SELECT s.*, h, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before FROM s JOIN d USING (r)) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN a USING (r)
+"""
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -120,4 +142,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLES: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op7_source_mix": OP7_SQL, "op8_quality_cascade": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op3_bm25_search": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_quality_cascade": OP8_SQL}
