@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.shared import parts, scratch_path, shared_dir, stored
 
-__all__ = ["SPACE_CLASS", "free_name", "numbered", "parts", "scratch_path", "shared_dir", "stored", "texts"]
+__all__ = ["SPACE_CLASS", "discard", "free_name", "numbered", "parts", "scratch_path", "shared_dir", "stored", "stored_at", "texts"]
 
 #: Code points that part words in the contracts that speak of white space.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -18,6 +18,20 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, for a table that goes before the end."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more: what was made of it is written."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.fs.FileSystem.get(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A name like ``wanted`` that no column of ``df`` has, in whatever case."""
     taken = {c.lower() for c in df.columns}

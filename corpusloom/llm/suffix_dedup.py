@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import free_name, numbered, parts, stored
+from corpusloom.llm.shared import discard, free_name, numbered, parts, stored, stored_at
 from corpusloom.llm.suffix_runs import repeated_spans
 
 #: Length of a repeat, of an anchor's gram; contexts of an anchor beyond which it is hot; bytes indexed at a time.
@@ -273,13 +273,15 @@ def _counted(contexts: DataFrame, width: int, gram: int) -> DataFrame:
 
 def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """``(row, begin, end)``: overlapping marks over all that repeats; ``docs`` has row and raw, the text's bytes."""
-    context = ["anchor", "c1", "c2"]
-    found = stored(_anchor_table(docs, width, gram), "anchors")
-    kinds = found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    context = ["c1", "c2"]  # equal contexts have one anchor
+    found, path = stored_at(_anchor_table(docs, width, gram), "anchors")
+    kinds = found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"), F.min("anchor").alias("anchor"))
     #: of contexts found once, which are nearly all, the hash has done its work
-    kinds = stored(kinds.select("anchor", "one", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in context[1:]]), "contexts")
+    kinds = stored(kinds.select("anchor", "one", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in context]), "contexts")
     twice = kinds.where("c1 is not null").select(*context)
-    copies = found.join(twice.hint("merge"), context).select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end"))
+    copies = found.select("row", "at", *context).join(twice.hint("merge"), context)
+    copies = stored(copies.select("row", F.greatest(F.lit(0), F.col("at") - (width - gram)).alias("begin"), (F.col("at") + width).alias("end")), "copies")
+    discard(docs.sparkSession, path)
     mixed = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "mixed")
     wanted = kinds.join(mixed.hint("merge"), "anchor").select("anchor", F.col("one.row").alias("row"), F.col("one.at").alias("at"), "hot")
     contexts = stored(_fetched(docs, wanted, width, gram), "context-bytes")
