@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bm25_wand, bpe_codec, license_scan, quality_cascade, quality_qda, simhash_ball, source_mix, suffix_dedup, token_files, warc_fixity
+from corpusloom.llm import bm25_wand, bpe_codec, fill_middle, license_scan, media_sniff, quality_cascade, quality_qda, simhash_ball, source_divergence, source_mix, suffix_dedup, token_files, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,84 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+') AS units, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+ h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, [CAST('0x' || substr(mark, 8 * i + 1, 8) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS h FROM d),
+ r AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS first, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS second,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, coalesce(array_to_string(units[1:first], ''), '') AS prefix, coalesce(array_to_string(units[first + 1:second], ''), '') AS middle, coalesce(array_to_string(units[second + 1:], ''), '') AS suffix FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_sniff.features(media_sniff.store(_table(spark, sf_dir, "documents")))
+
+
+def _little(x: str, size: int = 4) -> str:
+    """Hexadecimal digits of a number, lowest byte first."""
+    return "concat(" + ", ".join(f"printf('%02X', (({x}) >> {8 * i}) & 255)" for i in range(size)) + ")"
+
+
+def _big(x: str) -> str:
+    return f"printf('%08X', {x})"
+
+
+def _hex(x: str) -> str:
+    return f"hex(encode({x}))"
+
+
+_WAV = f"concat({_hex(repr('RIFF'))}, {_little('36 + n')}, {_hex(repr('WAVEfmt '))}, '10000000', '01000100', {_little('8000')}, {_little('8000')}, '01000800', {_hex(repr('data'))}, {_little('n')}, body)"
+_BMP = f"concat('424D', {_little('1078 + n')}, '00000000', {_little('1078')}, '28000000', '18000000', {_little('(4294967296 - n // 24)')}, '0100', '0800', '00000000', {_little('n')}, '0000000000000000', '00010000', '00000000', array_to_string([printf('%02X%02X%02X00', i, i, i) FOR i IN range(256)], ''), body)"
+_PNM = "concat(hex(encode(concat('P5', chr(10), '24 ', n // 24, chr(10), '255', chr(10)))), body)"
+_AU = f"concat({_hex(repr('.snd'))}, '00000018', {_big('n')}, '00000002', '00001F40', '00000001', body)"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+ p AS (SELECT row, doc_id, length(raw) // 2 AS n_bytes, raw || repeat('FF', CASE WHEN raw = '' THEN 576 ELSE (576 - length(raw) // 2 % 576) % 576 END) AS body FROM d),
+ s AS (SELECT *, length(body) // 2 AS n, sha256(unhex(body)) AS sha FROM p),
+ k AS (SELECT *, ['audio/wav', 'image/bmp', 'image/x-portable-anymap', 'audio/basic'] AS kinds, CAST('0x' || substr(sha, 1, 2) AS INTEGER) % 4 + 1 AS which, CAST('0x' || substr(sha, 3, 2) AS INTEGER) % 4 AS how FROM s),
+ m AS (SELECT *, CASE which WHEN 1 THEN {_WAV} WHEN 2 THEN {_BMP} WHEN 3 THEN {_PNM} ELSE {_AU} END AS media FROM k),
+ b AS (SELECT *, length(media) // 2 AS size, CASE WHEN how = 3 THEN hex(encode(concat('DUMP ', length(media) // 2, chr(13), chr(10), chr(13), chr(10)))) ELSE '' END AS lead FROM m),
+ f AS (SELECT *, CASE WHEN how = 3 THEN lead || media || hex(encode(concat(chr(13), chr(10), 'END', chr(13), chr(10)))) ELSE media END AS blob,
+ [CAST('0x' || x AS UBIGINT) FOR x IN regexp_extract_all(body, '..')] AS bytes FROM b),
+ t AS (SELECT [list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) FOR i IN range(256)] AS crc)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha AS payload_sha256, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes[n - 31:]), lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS tail_crc32,
+ length(blob) // 2 AS media_bytes, sha256(unhex(blob)) AS media_sha256,
+ concat(CASE how WHEN 0 THEN kinds[which] WHEN 1 THEN kinds[which % 4 + 1] WHEN 2 THEN '-' ELSE 'application/octet-stream' END, ' > ', CASE how WHEN 3 THEN 'application/octet-stream' ELSE kinds[which] END, ': ', kinds[which], ' ', length(lead) // 2, '+', size, ' ',
+ CASE WHEN which IN (2, 3) THEN concat('24x', n // 24) ELSE concat('1x', n) END, ' ', list_sum(bytes)::BIGINT) AS feature
+FROM f, t
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+ k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+ v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+ s AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+ p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM s JOIN v USING (lang)),
+ q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n)::HUGEINT + 5) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v))::HUGEINT AS q FROM s JOIN v USING (lang) GROUP BY lang, term),
+ a AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+ r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM n WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_warc_fixity": op2_warc_fixity,
@@ -140,6 +218,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_media_sniff": op12_media_sniff,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op3_bm25_search": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_quality_cascade": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op2_warc_fixity": OP2_SQL, "op3_bm25_search": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_quality_cascade": OP8_SQL,
+    "op11_fill_middle": OP11_SQL, "op12_media_sniff": OP12_SQL, "op13_source_divergence": OP13_SQL,
+}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.shared import parts, scratch_path, shared_dir, stored
 
-__all__ = ["SPACE_CLASS", "discard", "free_name", "numbered", "parts", "scratch_path", "shared_dir", "stored", "stored_at", "texts"]
+__all__ = ["SPACE_CLASS", "discard", "free_name", "numbered", "parts", "scratch_path", "shared_dir", "slices", "stored", "stored_at", "texts"]
 
 #: Code points that part words in the contracts that speak of white space.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -44,3 +49,16 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a number for each row, written once, so that every later read sees the same numbers; and the number's name."""
     row = free_name(docs, "row")
     return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about ``most`` bytes of a column of strings or bytes, or of one row if that is longer, for what is made Python objects at once."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
