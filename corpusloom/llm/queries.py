@@ -89,7 +89,7 @@ WITH d AS (SELECT doc_id, coalesce('a' || source, 'z') AS src, len(regexp_extrac
  s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
  r AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
  f AS (SELECT *, cap / w AS full_at, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM r),
- l AS (SELECT coalesce(arg_min(rest / open, full_at) FILTER (full_at >= rest / open), 'inf'::DOUBLE) AS level FROM f),
+ l AS (SELECT coalesce(arg_min(rest / open, {'full_at': full_at, 'src': src}) FILTER (full_at >= rest / open), 'inf'::DOUBLE) AS level FROM f),
  t AS (SELECT src, source_size, least(cap, level * w) AS target, CAST('0x' || substr(md5(src || ':17'), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE AS shift FROM f, l),
  n AS (SELECT d.*, row_number() OVER (PARTITION BY src ORDER BY floor(16 * ln(size + 1.0::DOUBLE) / 0.6931471805599453::DOUBLE + 1e-9::DOUBLE) DESC, substr(mark, 1, 2), size DESC, mark) AS pos FROM d),
  c AS (SELECT n.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(shift + target / source_size * pos) - floor(shift + target / source_size * (pos - 1)) AS BIGINT) ELSE 0 END AS copies FROM n JOIN t USING (src))

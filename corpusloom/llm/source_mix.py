@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     so_far, rest = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
     budgeted = ranked.withColumn("left", budget * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(so_far), F.lit(0.0)))
     levelled = budgeted.withColumn("level", F.col("left") / F.sum("w").over(rest))
-    #: the level at which the first source isn't full holds for all from there on; below it sources are full
-    first = F.min(F.when(F.col("full_at") >= F.col("level"), F.struct("full_at", "level"))).over(everything)
+    #: the level at which the first source isn't full holds for all from there on; below it sources are full. First is by the order of filling, also among equals
+    first = F.min(F.when(F.col("full_at") >= F.col("level"), F.struct("full_at", "source", "level"))).over(everything)
     level = F.coalesce(first["level"], F.lit(float("inf")))
     return levelled.select("source", "source_size", F.least("cap", level * F.col("w")).alias("target"))
 

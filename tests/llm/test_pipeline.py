@@ -36,7 +36,7 @@ def test_run(spark, data):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def compared(spark, folder, name):
@@ -57,7 +57,7 @@ def test_against_sql(spark, data, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["op7_source_mix", "op8_quality_cascade"])
+@pytest.mark.parametrize("name", ["op7_source_mix", "op8_quality_cascade", "op11_fill_middle", "op12_media_sniff", "op13_source_divergence"])
 def test_against_sql_on_odd_rows(spark, docs, tmp_path, name):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got, want = compared(spark, str(tmp_path), name)

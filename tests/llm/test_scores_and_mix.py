@@ -7,10 +7,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm.queries import OP7_SQL
 from corpusloom.llm import bm25_wand, quality_qda, source_mix, warc_fixity
 
 
@@ -89,6 +91,17 @@ def test_mix_comes_near(spark):
         assert abs(r.taken - r.target) / r.target < 0.01
 
 
+@pytest.mark.parametrize("sizes", [[100] * 6, [100] * 3, [7, 7, 7, 30, 30, 30, 7], [50, 20, 10, 50, 20, 10], [0, 0, 5, 5]])
+def test_equal_sources_share_the_whole_budget(spark, sizes):
+    rows = [(i, "w " * n, f"s{i}") for i, n in enumerate(sizes)]
+    found = {r.source: r.target for r in source_mix.targets(spark.createDataFrame([(r[2], n) for r, n in zip(rows, sizes, strict=True)], "source string, source_size long")).collect()}
+    want = level({r[2]: n for r, n in zip(rows, sizes, strict=True)}, 1.5)
+    assert all(math.isclose(found[s], want[s], abs_tol=1e-9) for s in want) and math.isclose(sum(found.values()), 1.5 * sum(sizes), abs_tol=1e-6)
+    got, by_sql = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")), duckdb.connect()
+    by_sql.execute("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{s}')" for i, t, s in rows) + ") AS t(doc_id, text, source)")
+    assert sorted((r.doc_id, round(r.target, 6), r.copies) for r in got.collect()) == sorted((r[0], round(r[3], 6), r[5]) for r in by_sql.sql(OP7_SQL).fetchall())
+
+
 def test_mix_of_nothing(spark, empty):
     assert source_mix.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
