@@ -15,7 +15,7 @@ def test_stages(spark, docs, rows, tmp_path, data):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality classifier", "simhash near-dedup", "suffix-array dedup", "source mix", "byte-level bpe"]
+    assert names == ["quality classifier", "near-dedup by shingle similarity", "suffix-array dedup", "source mix", "byte-level bpe"]
     current, counts = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, current, str(tmp_path))
