@@ -25,7 +25,7 @@ BLOCK_TYPE = "array<struct<name:string,signature:string,body:string>>"
 
 @cache
 def _compiled(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.MULTILINE)
+    return re.compile(P.bounded(pattern), re.MULTILINE)
 
 
 def _tree(text: str) -> ast.Module | None:
@@ -109,37 +109,89 @@ def python_blocks(text: str) -> dict[str, tuple[str, str]] | None:
 
 # Braces and scripts
 
-_QUIET = tuple(re.compile(p, re.DOTALL) for p in (r'"[^"]*"|\'[^\']*\'|`[^`]*`', r"//[^\n]*", r"/\*.*?\*/"))
-
-
-def _closing(text: str) -> int | None:
-    """The place behind the brace that closes the first one."""
-    depth = 0
-    for m in re.finditer(r"[{}]", text):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return None
-
-
-def braced(text: str, start: int) -> str:
-    """The block that opens at ``start``; all the rest where, strings and comments aside, it never closes."""
-    rest = text[start:]
-    if not rest.startswith("{"):
-        return ""
-    quiet = rest
-    for pattern in _QUIET:
-        quiet = pattern.sub(" ", quiet)
-    return rest if _closing(quiet) is None else rest[: _closing(rest)]
+# What is quoted, in which a brace is none.
+_QUOTED = r'"[^"]*"|\'[^\']*\'|`[^`]*`'
+_BRACE, _IN_LINE = re.compile(r"[{}]"), re.compile(rf"{_QUOTED}|\n")
+_IN_CODE, _IN_COMMENT = re.compile(rf"{_QUOTED}|//|/\*|[{{}}]"), re.compile(rf"{_QUOTED}|//|\*/(?!/)")
+
+
+class Braces:
+    """Which braces of a text belong together, once with and once without regard to strings and comments.
+
+    Strings are found first, then line comments, then block comments in what is left of the text from a place on. Behind a brace that
+    is in none of them all three begin anew, so the next such brace depends on the place only and is looked for once, whichever blocks it lies in.
+    """
+
+    def __init__(self, text: str):
+        self.text, self._last_end = text, text.rfind("*/")
+        self._ends: dict[int, int | None] = {}
+        self._next: dict[int, int | None] = {}
+        self._closing: dict[int, int | None] = {}
+        self._plain: dict[int, int] = {}
+        opened = []
+        for m in _BRACE.finditer(text):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                self._plain[opened.pop()] = m.end()
+
+    def _behind(self, quiet: re.Match) -> int:
+        """Where to go on behind a string, or at the end of the line behind ``//``. Strings are found first, also in a comment: a newline in one doesn't end it."""
+        if quiet[0] != "//":
+            return quiet.end()
+        at = quiet.end()
+        while (m := _IN_LINE.search(self.text, at)) is not None and m[0] != "\n":
+            at = m.end()
+        return len(self.text) if m is None else m.start()
+
+    def _comment_end(self, start: int) -> int | None:
+        """The end of the block comment that opens at ``start``; None if nothing closes it, and it is none."""
+        if start not in self._ends:
+            at = start + 2 if start + 2 <= self._last_end else len(self.text)
+            while (m := _IN_COMMENT.search(self.text, at)) is not None and m[0] != "*/":
+                at = self._behind(m)
+            self._ends[start] = None if m is None else m.end()
+        return self._ends[start]
+
+    def _following(self, start: int) -> int | None:
+        """The next brace behind ``start`` that is in no string and no comment."""
+        if start not in self._next:
+            at = start + 1
+            while (m := _IN_CODE.search(self.text, at)) is not None and m[0] not in "{}":
+                at = (self._comment_end(m.start()) or m.end()) if m[0] == "/*" else self._behind(m)
+            self._next[start] = None if m is None else m.start()
+        return self._next[start]
+
+    def _closed(self, start: int) -> bool:
+        """Whether the brace at ``start`` closes, strings and comments aside. What is found for the braces within is kept."""
+        waiting = [(start, self._following(start))]
+        while waiting:
+            opening, at = waiting.pop()
+            while at is not None and self.text[at] == "{":
+                if at not in self._closing:
+                    break
+                at = None if self._closing[at] is None else self._following(self._closing[at])
+            if at is not None and self.text[at] == "{":
+                waiting += [(opening, at), (at, self._following(at))]
+            else:
+                self._closing[opening] = at
+        return self._closing[start] is not None
+
+    def block(self, start: int) -> str:
+        """The block that opens at ``start``; all the rest where, strings and comments aside, it never closes."""
+        if not self.text.startswith("{", start):
+            return ""
+        return self.text[start : self._plain.get(start) if self._closed(start) else None]
 
 
 def c_like_blocks(text: str) -> dict[str, tuple[str, str]]:
     """Head and braced body of each definition; of equal names the first, in order of the patterns."""
     found: dict[str, tuple[str, str]] = {}
+    braces = Braces(text)
     for pattern in P.BLOCKS:
         for m in _compiled(pattern).finditer(text):
             if m[1] not in found:
-                found[m[1]] = (m[0].strip(), braced(text, m.end()))
+                found[m[1]] = (m[0].strip(), braces.block(m.end()))
     return found
 
 

@@ -17,7 +17,7 @@ def count_tokens(text: Column, chars_per_token: int | None = None) -> Column:
 
 def compress(text: Column) -> Column:
     """Runs of newlines become two at most, then blanks and tabs at the ends of lines go."""
-    return F.regexp_replace(F.regexp_replace(text, "\n{2,}", "\n\n"), r"(?md)[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(text, "\n{2,}", "\n\n"), r"(?md)(?<![ \t])[ \t]++$", "")
 
 
 def savings(before: Column, after: Column, chars_per_token: int | None = None) -> tuple[Column, Column, Column]:
@@ -38,8 +38,8 @@ def line_numbers(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any script at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at either end. A run within the text is passed once, not from each of its places."""
+    return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def universal_newlines(text: Column) -> Column:

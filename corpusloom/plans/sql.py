@@ -13,8 +13,8 @@ from corpusloom.operators.splitting import chunks_of, default_tokens
 #: Name, parameters, type and body of each.
 FUNCTIONS = (
     ("count_tokens", "t STRING", "BIGINT", f"greatest(1, CAST(floor(length(t) / {CHARS_PER_TOKEN}) AS BIGINT))"),
-    ("compress_text", "t STRING", "STRING", r"regexp_replace(regexp_replace(t, '\n{2,}', '\n\n'), r'(?md)[ \t]+$', '')"),
-    ("strip_text", "t STRING", "STRING", r"regexp_replace(t, r'(?U)^\s+|\s+$', '')"),
+    ("compress_text", "t STRING", "STRING", r"regexp_replace(regexp_replace(t, '\n{2,}', '\n\n'), r'(?md)(?<![ \t])[ \t]++$', '')"),
+    ("strip_text", "t STRING", "STRING", r"regexp_replace(t, r'(?U)\A\s++|(?<!\s)\s++\z', '')"),
     ("path_name", "p STRING", "STRING", "substring_index(p, '/', -1)"),
     ("path_suffix", "p STRING", "STRING", r"regexp_extract(substring_index(p, '/', -1), r'^.+?(\.[^.]+)$', 1)"),
     ("content_hash", "t STRING", "STRING", "sha2(t, 256)"),
