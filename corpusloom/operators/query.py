@@ -73,8 +73,9 @@ def filtered(sections: DataFrame, query: str | None, deps: str = "deps", include
     pre = F.startswith(F.col(path), F.lit(PRE))
     files = sections.where(~pre)
     line = declared(F.col(content), "deps")
-    scored = files.withColumn("__deps", F.when(line.isNotNull(), dependency_list(line)).otherwise(F.col(deps)))
-    hits = scored.where(score(F.col(path), F.col(content), F.col("__deps"), query) > 0).select(F.col(path).alias("path"))
-    reached = expand(hits, scored.select(F.col(path).alias("path"), F.explode("__deps").alias("dep")), depth)
+    listed = F.when(line.isNotNull(), dependency_list(line)).otherwise(F.col(deps))
+    scored = files.select(F.col(path).alias("path"), F.col(content).alias("__content"), listed.alias("deps")).withColumn("hit", score(F.col("path"), F.col("__content"), F.col("deps"), query) > 0)
+    scored = stored(scored.select("path", "deps", "hit"), "scored")
+    reached = expand(scored.where("hit"), scored.select("path", F.explode("deps").alias("dep")), depth)
     kept = files.join(reached.withColumnRenamed("path", "__path"), F.col(path) == F.col("__path"), "left_semi")
     return kept.unionByName(sections.where(pre)) if include_pre else kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import time
 from pathlib import Path
 
@@ -14,13 +15,13 @@ from corpusloom.functions.text import decoded
 from corpusloom.functions.tokenizers import load
 from corpusloom.operators import diff as D
 from corpusloom.operators import structural
-from corpusloom.operators.incremental import updated
+from corpusloom.operators.incremental import stat_changes
 from corpusloom.plans import collect as C
 from corpusloom.plans import presets
 from corpusloom.plans.profiles import Profile, get_profile, load_config
 from corpusloom.shared import stored
 from corpusloom.sources import commands, files
-from corpusloom.streaming.incremental import load_cache, save_cache
+from corpusloom.streaming.incremental import append_cache, load_cache
 from corpusloom.sources.store import SnapshotNotFound, SnapshotStore, StoreError
 
 STORE = ".corpusloom"
@@ -43,11 +44,19 @@ class Engine:
             return C.collect(self.spark, self.root, profile, **how)
         folder = self.root / STORE / "cache"
         cache = load_cache(self.spark, folder)
-        scanned = stored(C.scanned(self.spark, self.root, profile), "scanned")
-        found = C.collect(self.spark, self.root, profile, cache=cache, corpus=scanned, **how)
-        save_cache(updated(scanned, cache), folder, int(time.time()))
+        due = stored(self.due(profile, cache), "due")
+        found = C.collect(self.spark, self.root, profile, cache=cache, corpus=due, **how)
+        if not due.isEmpty():
+            append_cache(due.select("path", "mtime_ns", "size", "sha256"), folder, time.time_ns())
         return found
 
+    def due(self, profile: Profile, cache: DataFrame) -> DataFrame:
+        """The files that may have changed since the cache was written, with contents and hashes. Names, sizes and times of all are compared first; no other file is opened."""
+        own = dataclasses.replace(profile, exclude_patterns=tuple([*C.excludes(profile, self.root), STORE, f"{STORE}/*"]))
+        listed = C.listed(self.spark, self.root, own)
+        unsettled = stat_changes(listed, cache).where("state in ('new', 'unsure')").select("path")
+        return C.read(listed.join(unsettled, "path", "left_semi"), self.root)
+
     def write_diff(self, sections: DataFrame, folder: str | Path, profile: Profile) -> list[str]:
         """Sections of a comparison as numbered files, each headed by what it holds."""
         order = ["rank", "path"] if "rank" in sections.columns else ["type", "path"]
@@ -94,7 +103,7 @@ class Engine:
     def live(self, profile: Profile, allow_commands: bool = False) -> DataFrame:
         """``(kind, label, content)`` of the tree as it is: files as text, outputs of commands."""
         skip = [*C.excludes(profile, self.root), STORE, f"{STORE}/*"]
-        scanned = files.scan(self.spark, self.root, list(profile.directories), list(profile.patterns), list(profile.files))
+        scanned = files.scan(self.spark, self.root, list(profile.directories), list(profile.patterns), list(profile.files), exclude=skip, max_file_bytes=profile.max_file_bytes)
         rows = scanned.where(~excluded(F.col("path"), skip)).select(F.lit("file").alias("kind"), F.col("path").alias("label"), decoded(F.col("content")).alias("content")).where("content is not null")
         if allow_commands:
             made = [("pre", label, out) for label, out in commands.run_all(list(profile.pre_commands), self.root, allow_file_args=True)]

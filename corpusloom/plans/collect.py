@@ -72,8 +72,8 @@ def corpus_sections(corpus: DataFrame, profile: Profile, order: list[Column], mo
     asked = bool(query.query_words(text_query or ""))
     rows = corpus.where(~predicates.excluded(F.col("path"), list(profile.exclude_patterns)))
     made = formatted(rows, profile, mode, with_header=asked)
-    if asked:
-        made = query.filtered(made, text_query)
+    if asked:  # hits, imports and what is kept are all read from what was formatted once
+        made = query.filtered(stored(made, "formatted"), text_query)
     kind = "struct<kind:int,dir_no:int,pattern_no:int,components:array<string>>"
     made = made.select("path", "content", F.struct(F.lit(1), *order).cast(kind).alias("seq"))
     if pre and (include_pre or not asked):
@@ -83,10 +83,31 @@ def corpus_sections(corpus: DataFrame, profile: Profile, order: list[Column], mo
     return made.withColumn("content", compress(F.col("content"))) if profile.compress else made
 
 
+def listed(spark: SparkSession, root: str | Path, profile: Profile) -> DataFrame:
+    """Names and sizes of a profile's files; folders that it excludes are never opened. ``exclude_patterns`` are taken as they are."""
+    return files.listing(spark, root, list(profile.directories), list(profile.patterns), list(profile.files), list(profile.exclude_patterns), max_file_bytes=profile.max_file_bytes)
+
+
+def read(rows: DataFrame, root: str | Path) -> DataFrame:
+    """Listed files with their contents and hashes."""
+    return files.contents(rows, root).withColumn("sha256", incremental.file_hash(F.col("content"), F.col("size")))
+
+
 def scanned(spark: SparkSession, root: str | Path, profile: Profile) -> DataFrame:
     """The files of a profile, with their hashes."""
-    rows = files.scan(spark, root, list(profile.directories), list(profile.patterns), list(profile.files))
-    return rows.withColumn("sha256", incremental.file_hash(F.col("content"), F.col("size")))
+    return read(listed(spark, root, profile), root)
+
+
+def left_out(corpus: DataFrame, profile: Profile) -> DataFrame:
+    """``(path, reason)`` of the files of a corpus that a collection leaves out: too large, unreadable, binary, or no text."""
+    p, path, size, raw = profile, F.col("path"), F.col("size"), F.col("content")
+    binary = predicates.skip_binary(path, size, raw, p.include_binary, p.binary_extensions, p.binary_max_mb)
+    shown = F.lit(p.include_binary) & predicates.binary_allowed(path, size, p.binary_extensions, p.binary_max_mb)
+    reason = (
+        F.when(F.col("error") == "too large", "too large").when(F.col("error").isNotNull() | raw.isNull(), F.concat(F.lit("unreadable: "), F.coalesce("error", F.lit("no content"))))
+        .when(binary, predicates.skip_reason(path, size, p.include_binary, p.binary_extensions, p.binary_max_mb)).when(decoded(raw).isNull() & ~shown, "no text")
+    )
+    return corpus.where(~predicates.excluded(path, list(p.exclude_patterns))).select("path", reason.alias("reason")).where("reason is not null")
 
 
 def collect(spark: SparkSession, root: str | Path, profile: Profile, mode: str = "full", text_query: str | None = None, cache: DataFrame | None = None, allow_commands: bool = False, include_pre: bool = False, strict: bool = False, corpus: DataFrame | None = None) -> Collected:

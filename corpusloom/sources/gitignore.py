@@ -35,7 +35,7 @@ def load(root: str | Path) -> list[str]:
     root = Path(root)
     found = []
     for folder, folders, names in os.walk(root):
-        folders.sort()
+        folders[:] = sorted(x for x in folders if not x.startswith(".") and x not in COMMON_EXCLUDED)  # an ignore file in those counts for nothing
         path = Path(folder, ".gitignore")
         if ".gitignore" in names and eligible(path, root):
             base = path.parent.relative_to(root).as_posix()
