@@ -7,11 +7,14 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _KNOWN: set[str] = set()
+#: Paths of the tables that go when what is being made of them is done, innermost last.
+_PASSING: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +56,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if app not in _KNOWN:
         _KNOWN.add(app)
         atexit.register(_clean_at_exit, spark)
-    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _PASSING:
+        _PASSING[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more: what was made of it is written."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.fs.FileSystem.get(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is stored within goes at the end, but for what is stored by the function that this gives."""
+    _PASSING.append([])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        own = _PASSING.pop()
+        try:
+            return stored(df, name)
+        finally:
+            _PASSING.append(own)
+
+    try:
+        yield kept
+    finally:
+        for path in _PASSING.pop():
+            discard(spark, path)
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
