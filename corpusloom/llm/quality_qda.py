@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import numbered, stored
+from corpusloom.llm.shared import stored
 
 #: Shares of the pooled covariance and of the sphere in each class's covariance.
 TO_POOLED, TO_SPHERE = 0.3, 0.02
@@ -164,16 +164,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _known(labels: DataFrame, label_col: str) -> DataFrame:
+    """``(doc_id, label)`` of what trains."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    return known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """``(doc_id, row, score)`` of every row of ``docs``; the model learns from ``labels`` outside the held-out rows."""
     rows = stored(features(docs, id_col, text_col, row_col), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    return score(rows, fit(moments(rows.join(known, "doc_id").select("label", "x"))))
+    return score(rows, fit(moments(rows.join(_known(labels, label_col), "doc_id").select("label", "x"))))
+
+
+def text_score(text: Column, model: Model) -> Column:
+    """The score of a text, as a column beside it."""
+
+    @F.arrow_udf("double")
+    def run(text: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in text]).reshape(-1, len(FEATURES))
+        return pa.array(model.score(x), pa.float64())
+
+    return run(text)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``keep_at`` or more."""
-    rows, row = numbered(docs)
-    good = quality_scores(rows, labels, row_col=row).where(F.col("score") >= keep_at).select(F.col("row").alias(row))
-    return rows.join(good, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``keep_at`` or more. Texts are read twice and moved never: once for the moments, once for the scores."""
+    learnt = features(docs, id_col, text_col).join(_known(labels, label_col), "doc_id").select("label", "x")
+    return docs.where(text_score(F.col(f"`{text_col}`").cast("string"), fit(moments(learnt))) >= keep_at)

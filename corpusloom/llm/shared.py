@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.shared import parts, scratch_path, shared_dir, stored
+from corpusloom.shared import discard, parts, passing, scratch_path, shared_dir, stored
 
-__all__ = ["SPACE_CLASS", "discard", "free_name", "numbered", "parts", "scratch_path", "shared_dir", "slices", "stored", "stored_at", "texts"]
+__all__ = ["SPACE_CLASS", "discard", "free_name", "numbered", "parts", "passing", "scratch_path", "shared_dir", "slices", "stored", "stored_at", "texts"]
 
 #: Code points that part words in the contracts that speak of white space.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -30,13 +30,6 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a table that nothing reads any more: what was made of it is written."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    jvm.org.apache.hadoop.fs.FileSystem.get(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A name like ``wanted`` that no column of ``df`` has, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import discard, free_name, numbered, parts, stored, stored_at
+from corpusloom.llm.shared import discard, free_name, numbered, parts, passing, stored, stored_at
 from corpusloom.llm.suffix_runs import repeated_spans
 
 #: Length of a repeat, of an anchor's gram; contexts of an anchor beyond which it is hot; bytes indexed at a time.
@@ -320,7 +320,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     A column ``n_chars``, if there is one, is set to the length of what is left.
     """
     rows, row = numbered(docs)
-    of_row = _by_row(stored(repeated(_keyed(rows, row, id_col, text_col), width, gram, hot_kinds), "marks"))
+    with passing(docs.sparkSession) as keep:
+        of_row = _by_row(keep(repeated(_keyed(rows, row, id_col, text_col), width, gram, hot_kinds), "marks"))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, marks: pa.Array) -> pa.Array:
@@ -350,7 +351,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """``(doc_id, row, n_bytes, removed array<struct<begin, end>>, kept binary)`` of every row."""
     rows, row = numbered(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     keyed = _keyed(rows, row, "doc_id", "text")
-    marks = stored(repeated(keyed, width, gram, hot_kinds), "marks")
+    with passing(docs.sparkSession) as keep:
+        marks = keep(repeated(keyed, width, gram, hot_kinds), "marks")
     spans = "array<struct<begin:bigint,end:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
