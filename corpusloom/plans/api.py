@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions.languages import lang_for_path
 from corpusloom.functions.predicates import covered, excluded
@@ -63,13 +64,9 @@ class Engine:
         rows = stored(sections.select("type", F.col("path").alias("name"), "content", F.struct(*order).alias("seq")), "diff-sections")
         packed = C.pack(rows.select("seq", F.col("name").alias("path"), "content"), profile, load(profile.tokenizer, self.root, profile.chars_per_token))
         placed = packed.sections.select("seq", "part").distinct().join(rows, "seq")
-        counts = {r.part: r.asDict() for r in D.stats(placed, ["part"]).toLocalIterator()}
-        total = len(counts)
-        headers = []
-        for part in sorted(counts):
-            told = ", ".join(f"{counts[part][t]} {t}" for t in D.TYPES if counts[part][t]) or "no changes"
-            headers.append(f"Part {part} of {total}. Changes: {told}\n\n")
-        return C.write(packed, folder, profile, self.config.project_name, headers=headers)
+        counts = D.stats(placed, ["part"])
+        header = D.part_header(*[F.col(t) for t in D.TYPES], F.col("part"), F.max("part").over(Window.partitionBy(F.lit(1))))
+        return C.write(packed, folder, profile, self.config.project_name, headers=counts.select("part", header.alias("header")))
 
     def collect_remote(self, url: str, profile: Profile | None = None, **how) -> C.Collected:
         """A clone's parts; its commands are never run. Without a profile, the clone's own first one that allows it, or what its presets say."""

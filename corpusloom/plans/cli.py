@@ -99,10 +99,11 @@ def _collect(engine: Engine, args: argparse.Namespace) -> int:
         how = {"mode": args.mode, "text_query": args.query}
         found = engine.collect_remote(args.remote, None if args.profile == "full" else profile, **how) if args.remote else engine.collect(profile, args.incremental, allow_commands=args.allow_commands, **how)
         if args.dry_run:
-            print("\n".join(C.dry_run(found, profile.max_tokens)))
+            for line in C.in_line(C.dry_run(found, profile.max_tokens)):
+                print(line)
             continue
         print("\n".join(C.write(found, folder, profile, engine.config.project_name, args.merge)))
-        writers.write_text(folder / f"{profile.name_template}-manifest.md", C.manifest(found))
+        writers.write_lines(folder / f"{profile.name_template}-manifest.md", C.manifest_lines(found))
         writers.write_metrics(folder, C.metrics(found, began))
         engine.after(profile, args.allow_commands)
     return 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import time
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from corpusloom.functions.tokenizers import load
 from corpusloom.operators import incremental, packing, query, splitting
 from corpusloom.plans.profiles import Profile
 from corpusloom.shared import stored
-from corpusloom.sources import commands, files, gitignore, writers
+from corpusloom.sources import commands, files, gitignore, part_files
 
 GROUP = "profile"
 
@@ -135,18 +136,24 @@ def toc_entries(collected: Collected) -> DataFrame:
     return joined.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "n"))).alias("entries"))
 
 
-def write(collected: Collected, folder: str | Path, profile: Profile, project: str = "Project", merge: bool = False, headers: list[str] | None = None) -> list[str]:
-    """The parts as numbered files. Parts come to the driver a partition at a time, each with its table of contents, and are written as they come."""
-    parts = stored(collected.parts.join(toc_entries(collected), "part", "left"), "parts")
-    total = parts.count()
-    rows = ((r.content, [writers.toc_entry(e.path, e.n) for e in r.entries or ()]) for r in parts.orderBy("part").toLocalIterator())
-    return writers.write_parts(rows, total, Path(folder), profile.name_template, profile.title_template, project, merge, headers)
+def write(collected: Collected, folder: str | Path, profile: Profile, project: str = "Project", merge: bool = False, headers: DataFrame | None = None) -> list[str]:
+    """The parts as numbered files, each with its table of contents and, of ``headers`` (part, header), its header. Executors write them; all are there or none is."""
+    count = collected.sections.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    rows = collected.parts.join(toc_entries(collected), "part", "left")
+    rows = rows.withColumn("header", F.lit(None).cast("string")) if headers is None else rows.join(headers, "part", "left")
+    return part_files.write(rows, count, folder, profile.name_template, profile.title_template, project, merge)
 
 
-def manifest(collected: Collected) -> str:
-    """A summary in Markdown: sections in order of path with their tokens."""
-    rows = collected.sections.groupBy("path").agg(F.sum("tokens").alias("tokens")).orderBy("path")
-    return "# Files\n\n" + "".join(f"- {r.path}: {r.tokens} tokens\n" for r in rows.toLocalIterator())
+def summary(collected: Collected) -> DataFrame:
+    """``(path, tokens)`` of the sections, in order of path."""
+    return collected.sections.groupBy("path").agg(F.sum("tokens").alias("tokens")).orderBy("path")
+
+
+def manifest_lines(collected: Collected) -> Iterator[str]:
+    """A summary in Markdown, a line at a time."""
+    yield "# Files\n\n"
+    for r in summary(collected).toLocalIterator():
+        yield f"- {r.path}: {r.tokens} tokens\n"
 
 
 def benchmark(spark: SparkSession, root: str | Path, profile: Profile, text_query: str | None = None) -> dict[str, dict]:
@@ -173,11 +180,16 @@ def metrics(collected: Collected, started: float | None = None) -> dict:
     }
 
 
-def dry_run(collected: Collected, limit: int) -> list[str]:
-    """A line for each section and each part."""
-    rows = collected.sections.select("part", F.col("seq").alias("at"), "path", "tokens").unionByName(collected.parts.select("part", F.lit(None).alias("at"), F.concat(F.lit("→ part "), F.col("part").cast("string")).alias("path"), "tokens"))
-    lines = rows.select("part", "at", F.format_string("  %5d tokens | %5s | %s", "tokens", percent(F.col("tokens"), F.lit(limit)), "path").alias("line"))
-    return [r.line for r in lines.orderBy("part", F.col("at").asc_nulls_last()).toLocalIterator()]
+def dry_run(collected: Collected, limit: int) -> DataFrame:
+    """``(part, at, line)``: a line for each section and, behind those, for each part; in order by part and at, nulls last."""
+    rows = collected.sections.select("part", F.col("seq").alias("at"), "path", "tokens")
+    whole = rows.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    rows = rows.unionByName(whole.select("part", F.lit(None).cast(rows.schema["at"].dataType).alias("at"), F.concat(F.lit("→ part "), F.col("part").cast("string")).alias("path"), "tokens"))
+    return rows.select("part", "at", F.format_string("  %5d tokens | %5s | %s", "tokens", percent(F.col("tokens"), F.lit(limit)), "path").alias("line"))
+
+
+def in_line(lines: DataFrame) -> Iterator[str]:
+    return (r.line for r in lines.orderBy("part", F.col("at").asc_nulls_last()).toLocalIterator())
 
 
 def benchmark_report(found: dict[str, dict]) -> list[str]:

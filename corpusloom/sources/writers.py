@@ -1,4 +1,4 @@
-"""Output files of the driver: parts, tables of contents, manifests, metrics; each written whole or not at all."""
+"""Output files: names, tables of contents, manifests, metrics; each written whole or not at all. Parts themselves are written by ``part_files``."""
 
 from __future__ import annotations
 
@@ -81,20 +81,23 @@ def toc(entries: list[str], part: int, total: int) -> str:
     return "".join([f"\nPart {part} of {total}. Files in this part:\n", *(f"\n  {e}" for e in entries), "\n\n"]) if entries else ""
 
 
-def write_parts(parts: Iterable[tuple[str, list[str]]], count: int, folder: Path, template: str, title: str, project: str, merge: bool = False, headers: list[str] | None = None) -> list[str]:
-    """Write ``count`` parts, ``(content, table of contents entries)``, as numbered files, one after the other; the names."""
-    names = []
-    with merge_lock(folder):
-        start = next_number(folder, template) if merge else 1
-        if not merge:
-            clean(folder, template)
-        for i, (content, entries) in enumerate(parts):
-            number, total = start + i, start + count - 1
-            head = title.format(project_name=project, part=number, total=count) + (headers[i] if headers else "")
-            names.append(f"{template}_{number}.md")
-            write_text(folder / names[-1], head + toc(entries, number, total) + content)
-        save_manifest(folder, list(dict.fromkeys([*load_manifest(folder), *names])))
-    return names
+def part_name(template: str, number: int) -> str:
+    return f"{template}_{number}.md"
+
+
+def write_lines(path: str | Path, lines: Iterable[str]) -> None:
+    """As ``write_text``, but a line at a time."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.writelines(lines)
+        os.replace(temporary, path)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            os.unlink(temporary)
+        raise
 
 
 def write_metrics(folder: Path, metrics: dict) -> None:

@@ -70,7 +70,7 @@ query_of("pipeline_metrics", f"SELECT count(*) AS files_read, CAST(sum(greatest(
 query_of(
     "dry_run",
     f"{PARTS}, l AS (SELECT part, tokens, path AS name FROM f UNION ALL SELECT part, CAST(sum(tokens) AS BIGINT), '→ part ' || part FROM f GROUP BY part) SELECT printf('  %5d tokens | %5s | %s', tokens, CASE WHEN tokens / {LIMIT} * 100 < 0.05 THEN '<0.1%' ELSE printf('%.1f%%', tokens / {LIMIT} * 100) END, name) AS line FROM l",
-)(lambda s, d: s.createDataFrame([(x,) for x in C.dry_run(_collected(s, d), LIMIT)], "line string"))
+)(lambda s, d: C.dry_run(_collected(s, d), LIMIT).select("line"))
 query_of("format_pct", "SELECT doc_id, CASE WHEN length(text) / 20000 * 100 < 0.05 THEN '<0.1%' ELSE printf('%.1f%%', length(text) / 20000 * 100) END AS pct FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", percent(F.length("text"), F.lit(20000)).alias("pct"))
 )

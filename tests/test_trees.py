@@ -66,7 +66,7 @@ def test_collect(spark, tree, tmp_path):
     assert C.write(found, tmp_path / "out", PROFILE, "P", merge=True) == ["chat_2.md"]
     assert writers.clean(tmp_path / "out", "chat") == ["chat_1.md", "chat_2.md"]
     assert C.metrics(found)["files_read"] == len(paths)
-    assert any("auth.py" in line for line in C.dry_run(found, 1000))
+    assert any("auth.py" in line for line in C.in_line(C.dry_run(found, 1000)))
 
 
 def test_modes_and_queries(spark, tree):
@@ -276,7 +276,7 @@ def test_command_outputs(spark):
 def test_benchmark_and_manifest(spark, tree):
     found = C.benchmark(spark, tree, PROFILE, "login")
     assert set(found) == {"full", "compress", "repo-map", "headers", "query"} and found["query"]["tokens"] < found["full"]["tokens"]
-    assert "- src/auth.py: " in C.manifest(C.collect(spark, tree, PROFILE))
+    assert "- src/auth.py: " in "".join(C.manifest_lines(C.collect(spark, tree, PROFILE)))
 
 
 def test_sql(spark):
