@@ -144,10 +144,10 @@ def grouped(sections: DataFrame, header: str) -> DataFrame:
     return first.unionByName(headings).unionByName(rows.select(*headings.columns))
 
 
-def command_sections(old: DataFrame, new: DataFrame, fmt: str = "markdown") -> DataFrame:
-    """Sections of ``(label, content)`` of commands' outputs, joined on the label."""
+def command_sections(old: DataFrame, new: DataFrame, fmt: str = "markdown", commands: dict[str, str] | None = None) -> DataFrame:
+    """Sections of ``(label, content)`` of commands' outputs, joined on the label; ``commands`` as ``command_diffs`` takes them."""
     both = old.select("label", F.col("content").alias("old")).join(new.select("label", F.col("content").alias("new")), "label", "full_outer")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified")
-    told = command_diffs(fmt)("old", "new", "label")
+    told = command_diffs(fmt, commands)("old", "new", "label")
     made = both.where(~F.col("old").eqNullSafe(F.col("new"))).select(kind.alias("type"), F.col("label").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("double").alias("similarity"), told.alias("content"))
     return made.where("content <> ''")

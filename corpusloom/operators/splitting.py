@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from corpusloom.functions.text import CHARS_PER_TOKEN, count_tokens, single, strip
 
@@ -114,6 +115,25 @@ def oversized_chunks(max_tokens: int, tokens: Callable[[str], int] | None = None
     return run
 
 
+def _chunked(others: list[str], max_tokens: int, tokens: Callable[[str], int] | None, strict: bool):
+    """A row for each chunk of the last column; a few texts at a time."""
+    count = tokens or default_tokens()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                few = whole.slice(i, 64)
+                found = [chunks_of(t, max_tokens, count, strict) for t in few.column(len(others)).to_pylist()]
+                rows = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
+                sizes, numbers, texts = zip(*[(len(own), n, x) for own in found for n, x in enumerate(own)], strict=True) if len(rows) else ((), (), ())
+                taken = few.take(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(taken.column(k) for k in range(len(others))), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], [*others, "n_chunks", "chunk_no", few.schema.names[-1]]
+                )
+
+    return run
+
+
 def char_chunks(text: Column, max_tokens: int, chars_per_token: int = CHARS_PER_TOKEN) -> Column:
     """The chunks by characters alone in closed form: each the longest that default tokens allow."""
     width = max_tokens * chars_per_token + chars_per_token - 1
@@ -128,7 +148,8 @@ def exploded(rows: DataFrame, max_tokens: int, content: str = "content", tokens:
         return rows.withColumns({"chunk_no": F.lit(0), "n_chunks": F.lit(1)})
     large = F.col("tokens") > max_tokens
     whole = rows.where(~large).withColumns({"chunk_no": F.lit(0), "n_chunks": F.lit(1)})
-    pieces = rows.where(large).withColumn("__chunks", oversized_chunks(max_tokens, plain, strict)(F.col(content)))
-    pieces = pieces.select(*[c for c in rows.columns if c not in (content, "tokens")], F.size("__chunks").alias("n_chunks"), F.posexplode("__chunks").alias("chunk_no", content))
+    others = [c for c in rows.columns if c not in (content, "tokens")]
+    kinds = rows.select(*others).schema.add("n_chunks", IntegerType()).add("chunk_no", IntegerType()).add(content, StringType())
+    pieces = rows.where(large).select(*others, content).mapInArrow(_chunked(others, max_tokens, plain, strict), kinds)
     pieces = pieces.withColumn("tokens", tokens(F.col(content))).withColumn("oversized", F.lit(True))
     return whole.withColumn("oversized", F.lit(False)).unionByName(pieces)

@@ -25,7 +25,7 @@ from corpusloom.sources import commands, files
 from corpusloom.streaming.incremental import append_cache, load_cache
 from corpusloom.sources.store import SnapshotNotFound, SnapshotStore, StoreError
 
-STORE = ".corpusloom"
+STORE = C.STORE
 
 
 class Engine:
@@ -53,7 +53,7 @@ class Engine:
 
     def due(self, profile: Profile, cache: DataFrame) -> DataFrame:
         """The files that may have changed since the cache was written, with contents and hashes. Names, sizes and times of all are compared first; no other file is opened."""
-        own = dataclasses.replace(profile, exclude_patterns=tuple([*C.excludes(profile, self.root), STORE, f"{STORE}/*"]))
+        own = dataclasses.replace(profile, exclude_patterns=tuple(C.excludes(profile, self.root)))
         listed = C.listed(self.spark, self.root, own)
         unsettled = stat_changes(listed, cache).where("state in ('new', 'unsure')").select("path")
         return C.read(listed.join(unsettled, "path", "left_semi"), self.root)
@@ -99,13 +99,13 @@ class Engine:
 
     def live(self, profile: Profile, allow_commands: bool = False) -> DataFrame:
         """``(kind, label, content)`` of the tree as it is: files as text, outputs of commands."""
-        skip = [*C.excludes(profile, self.root), STORE, f"{STORE}/*"]
+        skip = C.excludes(profile, self.root)
         scanned = files.scan(self.spark, self.root, list(profile.directories), list(profile.patterns), list(profile.files), exclude=skip, max_file_bytes=profile.max_file_bytes)
         rows = scanned.where(~excluded(F.col("path"), skip)).select(F.lit("file").alias("kind"), F.col("path").alias("label"), decoded(F.col("content")).alias("content")).where("content is not null")
         if allow_commands:
-            made = [("pre", label, out) for label, out in commands.run_all(list(profile.pre_commands), self.root, allow_file_args=True)]
+            made = [("pre", label, out) for label, out in commands.run_all(list(profile.pre_commands), self.root, allow_file_args=True, log=self.root / STORE / commands.AUDIT)]
             if profile.command is not None:
-                made.append(("command", "command", commands.run(profile.command, self.root, allow_file_args=True)))
+                made.append(("command", "command", commands.run(profile.command, self.root, allow_file_args=True, log=self.root / STORE / commands.AUDIT)))
             if made:
                 rows = rows.unionByName(self.spark.createDataFrame(made, "kind string, label string, content string"))
         return rows
@@ -155,7 +155,7 @@ class Engine:
             sections = self._by_blocks(sections, old_files, new_files, contents, fmt, mode)
         outputs = lambda df: df.where("kind <> 'file'").join(contents, "sha256").select("label", "content")
         if to is not None or allow_commands:
-            sections = sections.unionByName(D.command_sections(outputs(old), outputs(new), fmt))
+            sections = sections.unionByName(D.command_sections(outputs(old), outputs(new), fmt, {commands.label(c): c for c in profile.pre_commands}))
         sections = stored(sections, "sections")
         counts = D.stats(sections).first().asDict()
         return counts, sections if flat else D.grouped(sections, D.summary(counts, old_id, to))

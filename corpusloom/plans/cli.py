@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--list", action="store_true")
     one.add_argument("--validate", action="store_true")
     one.add_argument("--remote")
+    one.add_argument("--verbose", action="store_true")
     one = commands.add_parser("diff", parents=[profiled])
     one.add_argument("--from", dest="start")
     one.add_argument("--to")
@@ -48,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--flat", action="store_true")
     one.add_argument("--stats", action="store_true")
     one.add_argument("--all", action="store_true")
+    one.add_argument("--query")
+    one.add_argument("--compress", action="store_true", default=None)
     one = commands.add_parser("snapshot", parents=[profiled])
     one.add_argument("action", choices=("create", "list", "update", "delete", "info", "rename"))
     one.add_argument("id", nargs="?")
@@ -92,12 +95,20 @@ def _collect(engine: Engine, args: argparse.Namespace) -> int:
     if args.clean:
         print("\n".join(writers.clean(folder)))
         return 0
+    names, how = _names(engine, args), {"mode": args.mode, "text_query": args.query}
+    profiles = {name: _profile(engine, args, name) for name in names}
+    together = {name: p for name, p in profiles.items() if p.command is None} if args.all and not args.incremental and not args.remote else {}
+    whole = C.collect_all(engine.spark, engine.root, together, allow_commands=args.allow_commands, **how) if len(together) > 1 else None
     if args.all and not args.dry_run:
         writers.clean(folder)
-    for name in _names(engine, args):
-        profile, began = _profile(engine, args, name), time.time()
-        how = {"mode": args.mode, "text_query": args.query}
-        found = engine.collect_remote(args.remote, None if args.profile == "full" else profile, **how) if args.remote else engine.collect(profile, args.incremental, allow_commands=args.allow_commands, **how)
+    for name, profile in profiles.items():
+        began = time.time()
+        if whole is not None and name in together:
+            found = C.of_profile(whole, name)
+        elif args.remote:
+            found = engine.collect_remote(args.remote, None if args.profile == "full" else profile, **how)
+        else:
+            found = engine.collect(profile, args.incremental, allow_commands=args.allow_commands, **how)
         if args.dry_run:
             for line in C.in_line(C.dry_run(found, profile.max_tokens)):
                 print(line)
@@ -106,19 +117,38 @@ def _collect(engine: Engine, args: argparse.Namespace) -> int:
         writers.write_lines(folder / f"{profile.name_template}-manifest.md", C.manifest_lines(found))
         writers.write_metrics(folder, C.metrics(found, began))
         engine.after(profile, args.allow_commands)
+    if args.verbose:
+        for name, profile in profiles.items():
+            if profile.command is None and not args.remote:
+                for r in C.left_out(C.scanned(engine.spark, engine.root, dataclasses.replace(profile, exclude_patterns=tuple(C.excludes(profile, engine.root)))), profile).orderBy("path").toLocalIterator():
+                    print(f"left out of {name}: {r.path} ({r.reason})", file=sys.stderr)
+    return 0
+
+
+#: What the parts of a collection of the whole project are called.
+WHOLE = "chat-diff-all"
+
+
+def _whole(engine: Engine, args: argparse.Namespace) -> int:
+    """``diff --all``: the whole project as it is, in parts of their own."""
+    if args.start:
+        print("--all takes no --from: it collects the whole project", file=sys.stderr)
+        return 1
+    profile = dataclasses.replace(_profile(engine, args), name_template=WHOLE)
+    found = engine.collect(profile, mode=args.mode if args.mode in MODES else "full", text_query=args.query)
+    print("\n".join(C.write(found, engine.root / engine.config.output_dir, profile, engine.config.project_name)) or "nothing to collect")
     return 0
 
 
 def _diff(engine: Engine, args: argparse.Namespace) -> int:
-    for name in _names(engine, args):
-        counts, sections = engine.diff(_profile(engine, args, name), args.start, args.to, args.format or "markdown", args.mode, args.flat, bool(args.line_numbers), args.allow_commands)
-        if args.all:
-            print(f"# {name}")
-        if args.stats:
-            print(json.dumps(counts))
-            continue
-        for row in sections.orderBy(*(["type"] if args.flat else ["rank"]), "path").toLocalIterator():
-            sys.stdout.write(row.content + "\n")
+    if args.all:
+        return _whole(engine, args)
+    counts, sections = engine.diff(_profile(engine, args), args.start, args.to, args.format or "markdown", args.mode, args.flat, bool(args.line_numbers), args.allow_commands)
+    if args.stats:
+        print(json.dumps(counts))
+        return 0
+    for row in sections.orderBy(*(["type"] if args.flat else ["rank"]), "path").toLocalIterator():
+        sys.stdout.write(row.content + "\n")
     return 0
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 import time
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +22,18 @@ from corpusloom.operators import incremental, packing, query, splitting
 from corpusloom.plans.profiles import Profile
 from corpusloom.shared import stored
 from corpusloom.sources import commands, files, gitignore, part_files
+from corpusloom.sources.walk import Walk
 
 GROUP = "profile"
 
 
+#: The folder below a tree's root for its store, its cache and the log of its commands.
+STORE = ".corpusloom"
+
+
 def excludes(profile: Profile, root: Path) -> list[str]:
-    return [*profile.exclude_patterns, *(gitignore.load(root) if profile.use_gitignore else [])]
+    """What a profile and the tree's ignore files leave out, and what this library keeps beside the tree."""
+    return [*profile.exclude_patterns, STORE, f"{STORE}/*", *(gitignore.load(root) if profile.use_gitignore else [])]
 
 
 def formatted(corpus: DataFrame, profile: Profile, mode: str = "full", with_header: bool = False) -> DataFrame:
@@ -57,15 +65,22 @@ class Collected:
     parts: DataFrame
 
 
+def _packed(sections: DataFrame, max_tokens: int, tokens, strict: bool) -> Collected:
+    """Sections ``(GROUP, seq, path, content, raw_tokens)`` as parts that count from 1 in each group."""
+    chunks = splitting.exploded(sections, max_tokens, "content", tokens, strict=strict)
+    chunks = stored(chunks, "chunks") if max_tokens != -1 else chunks.withColumn("oversized", F.lit(False))
+    mapped = packing.part_map(chunks, max_tokens, GROUP, ["seq", "chunk_no"], "oversized")
+    placed = chunks.drop("tokens").join(mapped, [GROUP, "seq", "chunk_no"])
+    marked = placed.withColumn("content", packing.continuation(F.col("content"), F.col("chunk_no"), F.col("n_chunks"), F.col("part")))
+    return Collected(placed, packing.assembled(marked, GROUP, ["seq", "chunk_no"]))
+
+
 def pack(sections: DataFrame, profile: Profile, tokens, strict: bool = False) -> Collected:
     """Sections ``(seq, path, content)`` as parts; ``raw_tokens``, if they have it, is carried along."""
     if "raw_tokens" not in sections.columns:
         sections = sections.withColumn("raw_tokens", count_tokens(F.col("content"), profile.chars_per_token))
-    chunks = stored(splitting.exploded(sections.withColumn(GROUP, F.lit(profile.name_template)), profile.max_tokens, "content", tokens, strict=strict), "chunks") if profile.max_tokens != -1 else splitting.exploded(sections.withColumn(GROUP, F.lit(profile.name_template)), -1, "content", tokens).withColumn("oversized", F.lit(False))
-    mapped = packing.part_map(chunks, profile.max_tokens, GROUP, ["seq", "chunk_no"], "oversized")
-    placed = chunks.drop("tokens").join(mapped, [GROUP, "seq", "chunk_no"])
-    marked = placed.withColumn("content", packing.continuation(F.col("content"), F.col("chunk_no"), F.col("n_chunks"), F.col("part")))
-    return Collected(placed, packing.assembled(marked, GROUP, ["seq", "chunk_no"]).drop(GROUP))
+    found = _packed(sections.withColumn(GROUP, F.lit(profile.name_template)), profile.max_tokens, tokens, strict)
+    return Collected(found.sections, found.parts.drop(GROUP))
 
 
 def corpus_sections(corpus: DataFrame, profile: Profile, order: list[Column], mode: str = "full", text_query: str | None = None, pre: list[tuple[str, str]] = (), include_pre: bool = False) -> DataFrame:
@@ -115,9 +130,10 @@ def collect(spark: SparkSession, root: str | Path, profile: Profile, mode: str =
     """The parts of a tree, or of a ``corpus`` that was scanned before. With a ``cache``, of its new and changed files only; a command takes the place of files."""
     root = Path(root)
     tokens = load(profile.tokenizer, root, profile.chars_per_token, spark=spark)
-    pre = commands.run_all(list(profile.pre_commands), root, allow_file_args=True) if allow_commands else []
+    log = root / STORE / commands.AUDIT
+    pre = commands.run_all(list(profile.pre_commands), root, allow_file_args=True, log=log) if allow_commands else []
     if profile.command is not None:
-        out = commands.run(profile.command, root, allow_file_args=True) if allow_commands else ""
+        out = commands.run(profile.command, root, allow_file_args=True, log=log) if allow_commands else ""
         one = spark.createDataFrame([(out,)], "text string")
         split = one.select(F.posexplode(splitting.split_text(F.col("text"), profile.max_tokens, profile.split_mode, profile.split_marker)).alias("seq", "content"))
         return pack(split.select(F.col("seq").cast("bigint").alias("seq"), F.lit(profile.command[:50]).alias("path"), "content"), profile, tokens, strict)
@@ -129,6 +145,62 @@ def collect(spark: SparkSession, root: str | Path, profile: Profile, mode: str =
     return pack(corpus_sections(corpus, profile, files.in_order(), mode, text_query, pre, include_pre), profile, tokens, strict)
 
 
+def _place(walk: Walk, profile: Profile) -> Column:
+    """The directory and pattern for which a profile takes a path, as ``Walk`` finds them; null if it doesn't."""
+    path = F.col("path")
+    glob = lambda x, p: x.rlike(rf"(?s)\A(?:{predicates.glob_regex(p)})\z")
+    at = lambda d, p: F.struct(F.lit(d).alias("dir_no"), F.lit(p).alias("pattern_no"))
+    found = F.lit(None).cast("struct<dir_no:int,pattern_no:int>")
+    places = []
+    for d, top in sorted(walk.tops.items()):
+        below = F.lit(True) if top == "." else path.startswith(f"{top}/")
+        within = path if top == "." else F.substring(path, len(top) + 2, 1 << 30)
+        places += [(below & (glob(within, p) | glob(predicates.basename(path), p)), at(d, i)) for i, p in enumerate(profile.patterns) if ".." not in p]
+    places += [(path == f, at(len(profile.directories), i)) for i, f in enumerate(profile.files)]
+    for test, place in reversed(places):
+        found = F.when(test, place).otherwise(found)
+    return F.when(~predicates.excluded(path, list(profile.exclude_patterns)), found)
+
+
+def tagged(spark: SparkSession, root: str | Path, profiles: dict[str, Profile]) -> DataFrame:
+    """The files that any of some profiles takes, each read once: ``(path, size, mtime_ns, content, error, taken)``; ``taken`` has, by a profile's name, the place of order that the file has in it."""
+    several = lambda key: list(dict.fromkeys(x for p in profiles.values() for x in getattr(p, key)))
+    common = set.intersection(*(set(p.exclude_patterns) for p in profiles.values()))
+    largest = max(p.max_file_bytes for p in profiles.values())
+    listed = files.listing(spark, root, several("directories"), several("patterns"), several("files"), sorted(common), max_file_bytes=largest)
+    of = {name: _place(Walk(str(root), p.directories, p.patterns), p) for name, p in profiles.items()}
+    entry = [F.when(place.isNotNull(), F.struct(F.lit(name).alias("key"), place.alias("value"))) for name, place in of.items()]
+    taken = listed.select("path", "size", "mtime_ns", "error", F.map_from_entries(F.array_compact(F.array(*entry))).alias("taken")).where(F.size("taken") > 0)
+    return stored(files.contents(taken, root), "tagged")
+
+
+def collect_all(spark: SparkSession, root: str | Path, profiles: dict[str, Profile], mode: str = "full", text_query: str | None = None, allow_commands: bool = False, include_pre: bool = False, strict: bool = False) -> Collected:
+    """All profiles' parts, told apart by the column ``profile``: one scan of the tree, and one packing for all profiles of the same limit and tokenizer.
+
+    Each profile's parts are those that ``collect`` gives. Profiles whose source is a command aren't taken; ``collect`` runs them.
+    """
+    root = Path(root)
+    own = {name: dataclasses.replace(p, exclude_patterns=tuple(excludes(p, root))) for name, p in profiles.items() if p.command is None}
+    if not own:
+        raise ValueError("no profile collects files")
+    log, corpus, alike = root / STORE / commands.AUDIT, tagged(spark, root, own), defaultdict(list)
+    for name, p in own.items():
+        pre = commands.run_all(list(p.pre_commands), root, allow_file_args=True, log=log) if allow_commands else []
+        rows = corpus.withColumn("place", F.col("taken")[name]).where("place is not null")
+        rows = rows.select("path", "size", "mtime_ns", F.when(F.col("size") <= p.max_file_bytes, F.col("content")).alias("content"), "place.dir_no", "place.pattern_no")
+        made = corpus_sections(rows, p, files.in_order(), mode, text_query, pre, include_pre)
+        made = stored(made.select("seq", "path", "content", "raw_tokens"), "sections")  # Spark doesn't take Python functions out of the branches of a union
+        alike[p.max_tokens, p.tokenizer, p.chars_per_token].append(made.withColumn(GROUP, F.lit(name)))
+    found = [_packed(reduce(DataFrame.unionByName, rows), limit, load(tokenizer, root, per, spark=spark), strict) for (limit, tokenizer, per), rows in alike.items()]
+    union = lambda dfs: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    return Collected(union([f.sections for f in found]), union([f.parts for f in found]))
+
+
+def of_profile(collected: Collected, name: str) -> Collected:
+    """One profile's share of what ``collect_all`` gives."""
+    return Collected(*(df.where(F.col(GROUP) == name).drop(GROUP) for df in (collected.sections, collected.parts)))
+
+
 def toc_entries(collected: Collected) -> DataFrame:
     """``(part, entries)``: the names of each part's sections, each once, in order."""
     spread = collected.sections.groupBy("seq").agg(F.count_distinct("part").alias("n"))

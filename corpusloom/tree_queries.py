@@ -17,7 +17,7 @@ from corpusloom.plans.api import Engine
 from corpusloom.plans.profiles import Profile
 from corpusloom.registry import PATH, corpus, docs, fold, query_of
 from corpusloom.shared import scratch_path
-from corpusloom.sources import files, writers
+from corpusloom.sources import commands, files, writers
 from corpusloom.sources.store import SnapshotStore
 
 LIMIT = 30_000
@@ -185,8 +185,24 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OLD, _NEW = "concat('a', doc_id, chr(10), 'same', chr(10), 'x', doc_id % 3)", "concat('a', doc_id, chr(10), 'same', chr(10), 'x', doc_id % 4)"
 query_of(
     "command_diff_lines",
-    f"SELECT doc_id, concat('### pre: tree .', chr(10), chr(10), '- x', doc_id % 3, chr(10), '+ x', doc_id % 4, chr(10)) AS content FROM documents WHERE doc_id % 3 <> doc_id % 4",
+    f"SELECT doc_id, concat('### pre: tree .', chr(10), '- x', doc_id % 3, chr(10), '+ x', doc_id % 4, chr(10)) AS content FROM documents WHERE doc_id % 3 <> doc_id % 4",
 )(lambda s, d: docs(s, d).select("doc_id", textdiff.command_diffs()(F.expr(_OLD), F.expr(_NEW), F.lit("pre: tree .")).alias("content")).where("content <> ''"))
+_LOG = "concat('head ', doc_id, chr(10), '=== COMMIT: a', chr(10), 'one', chr(10), '=== COMMIT: b', chr(10), {0})"
+_LOG_OLD, _LOG_NEW = _LOG.format("text"), _LOG.format("CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE text END") + ", CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '=== COMMIT: c', chr(10), doc_id) ELSE '' END"
+query_of(
+    "command_diff_log",
+    """WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, text FROM documents WHERE NOT contains(text, '=== COMMIT:') AND text <> 'other'),
+ s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('### pre: git log section 3', chr(10), chr(10), 'REMOVED lines 3', CASE WHEN n > 1 THEN concat('-', n + 2) ELSE '' END, ':', chr(10), '    ', replace(rtrim(text, chr(10)), chr(10), chr(10) || '    '), chr(10), chr(10), 'ADDED lines 3:', chr(10), '    other', chr(10)) END AS changed,
+ CASE WHEN doc_id % 2 = 0 THEN concat('### pre: git log section 4', chr(10), chr(10), 'ADDED (new file):', chr(10), chr(10), '```', chr(10), chr(10), '=== COMMIT: c', chr(10), doc_id, chr(10), '```', chr(10)) ELSE concat('### pre: git log section 4', chr(10), chr(10), '[DELETED]', chr(10)) END AS last FROM d)
+ SELECT doc_id, concat_ws(chr(10), changed, last) AS content FROM s""",
+)(
+    lambda s, d: docs(s, d)
+    .where("NOT contains(text, '=== COMMIT:') AND text <> 'other'")
+    .select("doc_id", textdiff.command_diffs()(F.expr(f"concat({_LOG_OLD}, CASE WHEN doc_id % 2 = 1 THEN concat(chr(10), '=== COMMIT: lost', chr(10)) ELSE '' END)"), F.expr(f"concat({_LOG_NEW})"), F.lit("pre: git log")).alias("content"))
+)
+query_of("command_labels", "SELECT doc_id, 'pre: ' || CASE WHEN length(text) <= 50 THEN text ELSE substr(text, 1, 47) || '...' END AS label FROM documents")(
+    lambda s, d: docs(s, d).select("doc_id", commands.label_of(F.col("text")).alias("label"))
+)
 query_of(
     "diff_xml",
     "SELECT doc_id, concat('<file path=\"', doc_id, '.txt\">', chr(10), '  <removed>', chr(10), '        x', doc_id % 3, chr(10), '  </removed>', chr(10), '  <added>', chr(10), '        x', doc_id % 4, chr(10), '  </added>', chr(10), '</file>', chr(10)) AS content FROM documents WHERE doc_id % 3 <> doc_id % 4",

@@ -151,3 +151,20 @@ def test_percent(of):
     assert of(text.percent(F.col("a"), F.col("b")), a=1, b=10000) == "<0.1%"
     assert of(text.percent(F.col("a"), F.col("b")), a=1, b=8) == "12.5%"
     assert of(text.percent(F.col("a"), F.col("b")), a=1, b=0) == "0.0%"
+
+
+@pytest.mark.parametrize(("command", "items"), [("a; b", ["a", "b"]), ("a && b || c | d & e\nf", ["a", "b", "c", "d", "e", "f"]), ("a ';' \"&\" \\; b", ["a ';' \"&\" \\; b"]), ("a 2>&1 &> f", ["a 2>&1 &> f"])])
+def test_list_items(command, items):
+    from corpusloom.sources import commands
+
+    assert commands.list_items(command) == items
+
+
+def test_every_item_of_a_list_is_checked():
+    from corpusloom.sources import commands
+
+    for bad in ("cat x; touch y", "cat x && touch y", "cat x | touch y", "cat x\ntouch y", "cat x & touch y"):
+        assert commands.objection(bad, allow_file_args=True) == "'touch' is not on the list"
+    for good in ("cat x; wc y", "cat x > y", "cat x 2>&1 | sort"):
+        assert commands.objection(good, allow_file_args=True) is None
+    assert commands.label("a" * 50) == "pre: " + "a" * 50 and commands.label("a" * 51) == "pre: " + "a" * 47 + "..."

@@ -125,3 +125,19 @@ def test_files_left_out(spark, tree):
     profile = Profile(patterns=("*.py", "*.xyz"), use_gitignore=False, max_file_mb=0.002, files=("gone.py",))
     found = {r.path: r.reason for r in C.left_out(C.scanned(spark, tree, profile), profile).collect()}
     assert found == {"large.py": "too large", "bad.py": "no text", "nul.xyz": "binary", "gone.py": "unreadable: FileNotFoundError"}
+
+
+def test_all_profiles_in_one_plan(spark, tree):
+    many = {
+        "a": Profile(directories=("a", "."), patterns=("*.md", "*.py"), max_tokens=12, use_gitignore=False),
+        "b": Profile(directories=("b", "link", "gone"), patterns=("*",), max_tokens=12, files=("n.md", "gone.py"), exclude_patterns=("*.pyc",), line_numbers=True, use_gitignore=False),
+        "c": Profile(patterns=("*.py",), max_tokens=500, section_format="xml", compress=True, use_gitignore=False),
+        "none": Profile(directories=("gone",), use_gitignore=False),
+    }
+    found = C.collect_all(spark, tree, many)
+    for name, profile in many.items():
+        one, own = C.collect(spark, tree, profile), C.of_profile(found, name)
+        assert sorted(map(tuple, own.parts.select("part", "content", "tokens").collect())) == sorted(map(tuple, one.parts.select("part", "content", "tokens").collect())), name
+        assert sorted(map(tuple, own.sections.select("seq", "path", "part", "tokens").collect())) == sorted(map(tuple, one.sections.select("seq", "path", "part", "tokens").collect()))
+    with pytest.raises(ValueError):
+        C.collect_all(spark, tree, {"x": Profile(command="ls")})

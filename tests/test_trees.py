@@ -192,7 +192,7 @@ def test_restricted_commands(command, ok):
 def test_allowed_commands(tmp_path):
     assert commands.objection("cat x | sort | uniq", True) is None
     assert list(commands.objections("cat x | python y", True)) == ["'python' is not on the list"]
-    assert list(commands.objections("cat `x`; wget y", True)) == ["'wget' is never run", "a command inside of the command"]
+    assert list(commands.objections("cat `x`; wget y", True)) == ["'wget' is never run", "a command inside of the command", "'wget' is not on the list"]
     assert commands.objection("dd if=x") == "'dd if=' is never run"
     assert commands.pipe_parts("a '|' b | c \"|\" \\| d || e") == ["a '|' b", 'c "|" | d || e']
     log = tmp_path / "log"
@@ -265,8 +265,13 @@ def test_written_diff(spark, tree, tmp_path):
 def test_command_outputs(spark):
     from corpusloom.operators.textdiff import command_diff
 
-    assert command_diff("a\nb", "a\nc", "pre: tree x", "tree x") == "### pre: tree x\n\n- b\n+ c\n"
-    assert "[1]" in command_diff("=== COMMIT: 1\nx=== COMMIT: 2", "=== COMMIT: 9\nx=== COMMIT: 2", "pre: git log", "git log")
+    assert command_diff("a\nb", "a\nc", "pre: tree x", "tree x") == "### pre: tree x\n- b\n+ c\n"
+    assert command_diff("a\n", "a", "pre: tree x", "/usr/bin/tree x") == "" and "REMOVED" in command_diff("a\nb", "a\nc", "pre: treeview", "treeview")
+    history = "\n=== COMMIT: 1\nx\n=== COMMIT: 2\ny"
+    told = command_diff(history, history.replace("y", "z"), "pre: git log", "git log")
+    assert told.startswith("### pre: git log section 2\n\nREMOVED") and "section 1" not in told
+    assert command_diff(history, "\n=== COMMIT: 1\nx", "pre: git log", "git log") == "### pre: git log section 2\n\n[DELETED]\n"
+    assert command_diff("a\nb\n", "", "pre: x", "x") == "### pre: x\n\n[DELETED]\n\n- a\n- b\n"
     assert command_diff("", "new", "pre: x", "x").startswith("### pre: x\n\nADDED")
     schema = "label string, content string"
     rows = D.command_sections(spark.createDataFrame([("pre: a", "1"), ("pre: b", "x"), ("pre: s", "s")], schema), spark.createDataFrame([("pre: a", "2"), ("pre: c", "y"), ("pre: s", "s")], schema)).collect()
