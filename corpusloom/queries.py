@@ -362,4 +362,4 @@ query_of(
  SELECT source, part, count(*) AS sections, CAST(sum(n) AS BIGINT) AS tokens FROM f GROUP BY source, part""",
 )(flagship)
 
-from corpusloom import code_queries, scan_queries, tree_queries  # noqa: E402, F401  they register theirs
+from corpusloom import code_queries, mode_queries, scan_queries, tree_queries  # noqa: E402, F401  they register theirs
