@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +42,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, written once, so that every later read sees the same numbers; and the number's name."""
-    row = free_name(docs, "row")
-    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    """``docs`` with a number for each row, written once, so that every later read sees the same numbers; and the number's name.
+
+    The table is bucketed by the number: texts are dealt out here once, and what is later asked for by number is brought to them, not they to it.
+    """
+    spark, row = docs.sparkSession, free_name(docs, "row")
+    path, name = scratch_path(spark, "numbered"), f"corpusloom_numbered_{uuid.uuid4().hex}"
+    n = parts(spark)
+    dealt = docs.withColumn(row, F.monotonically_increasing_id()).repartition(n, row)
+    dealt.write.option("compression", "zstd").option("path", path).bucketBy(n, row).sortBy(row).saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name), row
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the cluster may be gone by then
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import discard, free_name, numbered, parts, passing, stored, stored_at
+from corpusloom.llm.shared import discard, free_name, numbered, parts, passing, slices, stored, stored_at
 from corpusloom.llm.suffix_runs import repeated_spans
 
 #: Length of a repeat, of an anchor's gram; contexts of an anchor beyond which it is hot; bytes indexed at a time.
 WIDTH, GRAM, HOT_KINDS, INDEX_BYTES = 200, 64, 4096, 1 << 19
-#: Bytes of documents whose grams are hashed together; a document is cut at the larger figure.
-BLOCK, CHUNK = 1 << 18, 1 << 22
+#: Bytes of documents whose grams are hashed together; a document is cut at the larger figure. Bytes of documents that are Python objects at once.
+BLOCK, CHUNK, TOGETHER = 1 << 18, 1 << 22, 1 << 22
 _AT_BITS = np.uint64(24)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -127,8 +127,7 @@ def _anchor_table(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for part in slices(batch, 1, TOGETHER):
                 raws = [x or b"" for x in part.column(1).to_pylist()]
                 rows = part.column(0).to_numpy()
                 for own, place, h in _places(raws, width, gram):
@@ -148,8 +147,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int, gram: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for part in slices(batch, 2, TOGETHER):
                 lists = part.column(1)
                 asked = lists.flatten()
                 counts = np.diff(lists.offsets.to_numpy())
