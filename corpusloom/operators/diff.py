@@ -5,18 +5,23 @@ Contents are joined in by hash, for changed paths only.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.languages import basename, dirname, suffix
 from corpusloom.functions.text import count_tokens
-from corpusloom.operators.textdiff import command_diffs, similar_over, text_diffs
-from corpusloom.shared import stored
+from corpusloom.operators.textdiff import alike_pairs, command_diffs, text_diffs
+from corpusloom.shared import parts, stored
 
 #: Types in the order in which a grouped report has them.
 TYPES = ("renamed", "moved", "modified", "added", "deleted")
 SIMILAR, MAX_SIMILAR_BYTES = 0.7, 1_048_576
+#: Files and bytes of a piece of old or new files that are compared in one task; rounds in which pairs are matched side by side.
+TILE, TILE_BYTES, ROUNDS = 128, 1 << 23, 4
 SECTION = "type string, path string, old_path string, similarity double, content string"
 
 
@@ -57,41 +62,86 @@ def unmatched(changes: DataFrame, groups: DataFrame) -> DataFrame:
     return sided.join(groups.select("sha256"), "sha256", "left_anti").select("path", "sha256", "state")
 
 
+def _pieces(text: DataFrame) -> DataFrame:
+    """``(ext, class, state, pieces)``: into how many pieces of ``TILE`` files, or of so many bytes, the files of a class fall."""
+    sizes = text.groupBy("ext", "class", "state").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return sizes.select("ext", "class", "state", F.greatest(F.ceil(F.col("files") / TILE), F.ceil(F.col("bytes") / TILE_BYTES), F.lit(1)).cast("int").alias("pieces"))
+
+
 def similar_pairs(rest: DataFrame, contents: DataFrame, least: float = SIMILAR, max_bytes: int = MAX_SIMILAR_BYTES) -> DataFrame:
     """``(old_path, new_path, ratio)`` of unmatched files of one extension that are alike enough.
 
-    Joined on the extension and a class of length: the ratio of texts of lengths a and b is 2 min(a, b) / (a + b) at most, so
-    only lengths within a factor of (2 - least) / least can pass, and those are in neighbouring classes of that factor.
+    The ratio of texts of lengths a and b is 2 min(a, b) / (a + b) at most, so only lengths within a factor of (2 - least) / least can pass, and those are in neighbouring
+    classes of that factor. Each class is cut into pieces, and every piece of old files meets every piece of new ones in a task of its own: a text is sent once for
+    each piece of the other side, not for each file, and no task holds more than two pieces. Within it lengths and counts of characters are compared before texts.
     """
     factor = (2 - least) / least
-    text = rest.join(contents, "sha256").where((F.instr("content", "\0") == 0) & (F.octet_length("content") <= max_bytes)).select("path", "state", "content", suffix(F.col("path")).alias("ext"), F.length("content").alias("n"))
-    text = text.withColumn("class", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(factor))).cast("int"))
-    old = text.where("state = 'deleted'").select(F.col("path").alias("old_path"), F.col("content").alias("old"), "ext", F.col("n").alias("a"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
-    new = text.where("state = 'added'").select(F.col("path").alias("new_path"), F.col("content").alias("new"), "ext", F.col("n").alias("b"), "class")
-    near = old.join(new, ["ext", "class"]).where(2 * F.least("a", "b") > least * (F.col("a") + F.col("b")))
-    return near.withColumn("ratio", similar_over(least)("old", "new")).where("ratio is not null").select("ext", "old_path", "new_path", "ratio")
-
-
-def greedy(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches: old paths in order each take the first new path in order that is free. Extensions are apart."""
-
-    def match(df: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        done: set[str] = set()
-        rows = []
-        for r in df.sort_values(["old_path", "new_path"]).itertuples(index=False):
-            if r.old_path not in done and r.new_path not in taken:
-                done.add(r.old_path)
-                taken.add(r.new_path)
-                rows.append((r.old_path, r.new_path, r.ratio))
-        return pd.DataFrame(rows, columns=["old_path", "new_path", "ratio"])
-
-    return pairs.groupBy("ext").applyInPandas(match, "old_path string, new_path string, ratio double")
+    found = rest.join(contents, "sha256").where((F.instr("content", "\0") == 0) & (F.octet_length("content") <= max_bytes))
+    text = found.select("path", "state", "content", suffix(F.col("path")).alias("ext"), F.length("content").alias("n"), F.octet_length("content").alias("bytes"))
+    text = stored(text.withColumn("class", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(factor))).cast("int")), "unmatched-texts")
+    pieces = _pieces(text)
+
+    def side(state: str, other: str, own: str, theirs: str) -> DataFrame:
+        """The files of one state, dealt into their pieces, for each piece of the neighbouring classes of the other state."""
+        of_own = pieces.where(F.col("state") == state).select("ext", "class", F.col("pieces").alias("own_pieces"))
+        of_other = pieces.where(F.col("state") == other).select("ext", F.col("class").alias("near"), F.col("pieces").alias("near_pieces"))
+        rows = text.where(F.col("state") == state).join(of_own, ["ext", "class"])
+        rows = rows.withColumn(f"{own}_piece", F.pmod(F.xxhash64("path"), F.col("own_pieces")).cast("int"))
+        rows = rows.withColumn("near", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))).join(of_other, ["ext", "near"])
+        rows = rows.withColumn(f"{theirs}_piece", F.explode(F.sequence(F.lit(0), F.col("near_pieces") - 1)))
+        key = [F.col("ext").alias("kind"), F.col("class").alias(f"{own}_class"), F.col("near").alias(f"{theirs}_class"), f"{own}_piece", f"{theirs}_piece"]
+        return rows.select(*key, F.col("path").alias(f"{own}_path"), F.col("content").alias(f"{own}_content"))
+
+    tile = ["kind", "old_class", "new_class", "old_piece", "new_piece"]
+    old, new = side("deleted", "added", "old", "new").groupBy(*tile), side("added", "deleted", "new", "old").groupBy(*tile)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        return alike_pairs(a["old_path"].to_pylist(), a["old_content"].to_pylist(), b["new_path"].to_pylist(), b["new_content"].to_pylist(), least)
+
+    return old.cogroup(new).applyInArrow(compare, "old_path string, new_path string, ratio double")
+
+
+def _mutual(edges: DataFrame) -> DataFrame:
+    """The pairs that are the first both of their old and of their new path."""
+    first = lambda key, value: edges.groupBy(key).agg(F.min(value).alias(value))
+    return edges.join(first("old_path", "new_path"), ["old_path", "new_path"], "left_semi").join(first("new_path", "old_path"), ["old_path", "new_path"], "left_semi")
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that come in order: each is taken whose paths are both free."""
+    done: set[str] = set()
+    taken: set[str] = set()
+    for batch in batches:
+        kept = []
+        for i, (old, new) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if old not in done and new not in taken:
+                done.add(old)
+                taken.add(new)
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def greedy(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """One-to-one matches: old paths in order each take the first new path in order that is free.
+
+    That is the matching which takes pairs in order and leaves out those with a path that is taken. A pair that is the first of both of its paths is in it whatever else is, so all such pairs are
+    taken at once and all others of their paths dropped, round by round. What a few rounds leave over, crowds in which all resemble all, is taken in order by extension; a task holds the
+    matched paths only.
+    """
+    left, matched = stored(pairs.select("old_path", "new_path", "ratio"), "pairs"), []
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        matched.append(stored(_mutual(left), "matched"))
+        free = left.join(matched[-1].select("old_path"), "old_path", "left_anti").join(matched[-1].select("new_path"), "new_path", "left_anti")
+        left = stored(free.select("old_path", "new_path", "ratio"), "pairs")
+    by_extension = left.repartition(parts(left.sparkSession), suffix(F.col("old_path"))).sortWithinPartitions("old_path", "new_path")
+    return reduce(DataFrame.unionByName, matched, by_extension.mapInArrow(_in_order, left.schema))
 
 
 def similar_renames(rest: DataFrame, contents: DataFrame, fmt: str = "markdown", number: bool = False) -> DataFrame:
     """Sections of similar renames, with their text difference."""
-    matched = greedy(similar_pairs(rest, contents))
+    matched = stored(greedy(similar_pairs(rest, contents)), "matches")
     by_path = rest.join(contents, "sha256").select("path", "state", "content")
     side = lambda state, path, name: by_path.where(F.col("state") == state).select(F.col("path").alias(path), F.col("content").alias(name))
     both = matched.join(side("deleted", "old_path", "old"), "old_path").join(side("added", "new_path", "new"), "new_path")

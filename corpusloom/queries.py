@@ -288,6 +288,31 @@ def _rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.unmatched(changes, D.hash_groups(changes))
 
 
+#: Files whose texts begin alike and end in a character of their own: the shorter beginning is what two have in common.
+_BEGUN = "".join(chr(0x4E00 + i) for i in range(200))
+_OWN = "20 + (doc_id * 37) % 170"
+_PLANTED = f"""p AS (SELECT doc_id % 2 AS new, concat('f/', doc_id, '.x', (doc_id // 2) % 40) AS path, (doc_id // 2) % 40 AS ext, {_OWN} AS m, md5(concat(substr('{_BEGUN}', 1, {_OWN}), chr(CAST(24576 + doc_id % 12000 AS INTEGER)))) AS k FROM documents),
+ u AS (SELECT * FROM p WHERE k NOT IN (SELECT k FROM p GROUP BY k HAVING count(DISTINCT new) > 1)),
+ e AS (SELECT o.ext, o.path AS old_path, n.path AS new_path, 2 * least(o.m, n.m) / CAST(o.m + n.m + 2 AS DOUBLE) AS ratio FROM u AS o JOIN u AS n ON o.ext = n.ext AND o.new = 0 AND n.new = 1 WHERE 2 * least(o.m, n.m) > 0.7 * (o.m + n.m + 2)),
+ c AS (SELECT ext, old_path, list(new_path ORDER BY new_path) AS near, row_number() OVER (PARTITION BY ext ORDER BY old_path) AS rn FROM e GROUP BY ext, old_path)"""
+
+
+@query_of(
+    "rename_greedy",
+    f"""WITH RECURSIVE {_PLANTED}, f AS (SELECT ext, rn, old_path, near[1] AS new_path, [near[1]] AS taken FROM c WHERE rn = 1 UNION ALL
+ SELECT ext, rn, old_path, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM (SELECT c.ext, c.rn, c.old_path, f.taken, list_filter(c.near, lambda x: NOT list_contains(f.taken, x))[1] AS pick FROM f JOIN c ON c.ext = f.ext AND c.rn = f.rn + 1))
+ SELECT f.old_path, f.new_path, round(ratio, 9) AS ratio FROM f JOIN e ON e.old_path = f.old_path AND e.new_path = f.new_path""",
+)
+def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crowds of files of an extension that resemble each other, matched in order."""
+    own = F.concat(F.expr(f"substring('{_BEGUN}', 1, CAST({_OWN} AS INT))"), F.expr("decode(unhex(hex(24576 + doc_id % 12000)), 'UTF-16BE')"))
+    rows = _docs(spark, sf_dir).select(F.expr("concat('f/', doc_id, '.x', doc_id div 2 % 40)").alias("path"), own.alias("content"), F.when(F.col("doc_id") % 2 == 0, "old").otherwise("new").alias("side")).withColumn("sha256", F.sha2("content", 256))
+    of = lambda side: rows.where(F.col("side") == side).select("path", "sha256")
+    changes = stored(D.classified(of("old"), of("new")), "classified")
+    rest = D.unmatched(changes, D.hash_groups(changes))
+    return D.greedy(D.similar_pairs(rest, rows.select("sha256", "content").dropDuplicates(["sha256"]))).select("old_path", "new_path", F.round("ratio", 9).alias("ratio"))
+
+
 query_of("rename_similar")(lambda s, d: D.similar_renames(_rest(s, d), _contents(s, d)))
 #: only the last line of a modified document differs
 _LAST = "(len(string_split(o.text, chr(10))))"

@@ -160,6 +160,36 @@ def test_similar_renames_are_greedy_in_order(spark):
     assert got == want and got
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3, 9])
+def test_greedy_in_rounds_is_greedy_in_order(spark, rounds):
+    import random
+
+    rng = random.Random(rounds)
+    edges = {(f"o{rng.randrange(30):02}.a", f"n{rng.randrange(30):02}.a") for _ in range(120)} | {(f"p{i}.b", f"m{j}.b") for i in range(9) for j in range(7)} | {(f"q{i}.c", f"r{i + k}.c") for i in range(9) for k in (0, 1)}
+    taken, want = set(), set()
+    for old, new in sorted(edges):
+        if old not in taken and new not in taken:
+            taken |= {old, new}
+            want.add((old, new))
+    found = D.greedy(spark.createDataFrame([(*e, 0.8) for e in edges], "old_path string, new_path string, ratio double"), rounds)
+    assert {(r.old_path, r.new_path) for r in found.collect()} == want
+    assert D.greedy(found.limit(0), rounds).count() == 0
+
+
+def test_pieces_find_every_similar_pair(spark, monkeypatch):
+    import difflib
+    import random
+
+    monkeypatch.setattr(D, "TILE", 3)
+    rng = random.Random(5)
+    texts = {f"{'dn'[i % 2]}{i:02}{rng.choice(['.py', '.md', ''])}": "".join(rng.choice("abc \né漢") for _ in range(rng.choice([0, 1, 2, 5, 30, 60, 199, 250]))) for i in range(60)}
+    rest = spark.createDataFrame([(p, p, "deleted" if p[0] == "d" else "added") for p in texts], "path string, sha256 string, state string")
+    got = {(r.old_path, r.new_path): r.ratio for r in D.similar_pairs(rest, spark.createDataFrame(list(texts.items()), "sha256 string, content string")).collect()}
+    want = {(a, b): r for a in texts for b in texts if a[0] == "d" and b[0] == "n" and a[3:] == b[3:] and (r := difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()) > 0.7 and len(texts[a]) + len(texts[b])}
+    both_empty = {(a, b) for a, b in got if not texts[a] and not texts[b]}
+    assert {k: v for k, v in got.items() if k not in both_empty} == want and len(want) > 5
+
+
 def test_incremental(spark):
     schema = "path string, mtime_ns bigint, size bigint, sha256 string"
     cache = spark.createDataFrame([("a", 10**9, 1, "x"), ("b", 10**9, 1, "x"), ("c", 10**9, 1, "x"), ("gone", 1, 1, "x"), ("big", 1, 9, None)], schema)
