@@ -1,7 +1,7 @@
 """Licence scans: ordered signature rules behind a keyword prefilter, overlaps resolved by containment and priority.
 
 All on the JVM, one projection over the documents, no shuffle. A text becomes its words in lower case, joined by single
-blanks. A rule is tried only where a word of the text, or several, begin with its keyword; most texts are done there.
+blanks. A rule is tried only where a word of the text, or several, begin with its keyword and where the one pattern of all rules of that keyword hits; most texts are done there.
 Each rule that is tried gives the character spans of its matches. Spans are sorted by start, longest first: a
 span inside an earlier one is suppressed, of equal spans the rule of the smaller priority stays, and where two
 spans overlap in part the smaller priority stays, or else the earlier.
@@ -12,6 +12,7 @@ ties and null ids do no harm; an empty table gives an empty table; further colum
 
 from __future__ import annotations
 
+import json
 import string
 from collections import defaultdict
 
@@ -41,9 +42,15 @@ def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _literal(table: list[Rule]) -> Column:
-    whole = lambda p: f"(?<![^ ])(?:{p})(?![^ ])"
-    return F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(whole(r.pattern)).alias("pattern"), F.lit(r.confidence).alias("confidence")) for r in table])
+def _whole(pattern: str) -> str:
+    """A pattern for whole words."""
+    return f"(?<![^ ])(?:{pattern})(?![^ ])"
+
+
+def _literal(groups: list[list[Rule]]) -> Column:
+    """Groups of rules as one literal: thousands of expressions would take the planner longer than the scan takes."""
+    rows = [[{"priority": r.priority, "label": r.label, "pattern": _whole(r.pattern), "confidence": r.confidence} for r in own] for own in groups]
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<struct<priority:int,label:string,pattern:string,confidence:double>>>")
 
 
 def _spans(norm: Column, rule: Column) -> Column:
@@ -83,12 +90,15 @@ def detections(norm: Column, table: list[Rule] | None = None) -> Column:
     by_keyword: dict[str, list[Rule]] = defaultdict(list)
     for rule in rules() if table is None else table:
         by_keyword[rule.keyword].append(rule)
-    families = F.array(*[F.struct(F.lit(f" {k}").alias("keyword"), _literal(own).alias("rules")) for k, own in sorted(by_keyword.items())])
+    groups = sorted(by_keyword.items())
+    families = _literal([own for _, own in groups])
     padded = F.concat(F.lit(" "), norm)
 
     def of_text(whole: Column) -> Column:
-        near = F.filter(families, lambda f: F.contains(whole, f["keyword"]))
-        return F.flatten(F.transform(F.flatten(F.transform(near, lambda f: f["rules"])), lambda r: _spans(norm, r)))
+        # a group's one pattern is a literal, compiled once for all rows; rules are tried one by one only where it hits
+        opened = [F.when(F.contains(whole, F.lit(f" {k}")) & F.rlike(whole, F.lit(_whole("|".join(f"(?:{r.pattern})" for r in own)))), F.lit(i)) for i, (k, own) in enumerate(groups)]
+        near = F.array_compact(F.array(*opened))
+        return F.flatten(F.transform(F.flatten(F.transform(near, lambda i: F.get(families, i))), lambda r: _spans(norm, r)))
 
     return _resolved(_let(padded, of_text))
 
