@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 KEYS = {"dirs", "patterns", "files", "pre_commands", "max_tokens", "split_mode", "split_marker", "detect", "tokenizer", "remote"}
 
 MAX_TOKENS = 16000
@@ -95,6 +100,22 @@ def detect(root: str | Path, presets: dict[str, dict] | None = None, only: str |
     return [name for name, p in presets.items() if any(_there(x, root) for x in p.get("detect", []))]
 
 
+def _shown(entry: str, path: Column) -> Column:
+    """Whether a file's path shows that an entry to detect is there: the file itself, a folder around it, or a name that matches level by level."""
+    if "*" in entry or "?" in entry:
+        level = re.escape(entry).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        return path.rlike(rf"\A{level}(?:/|\z)")
+    return (path == entry) | path.startswith(f"{entry}/")
+
+
+def detected(files: DataFrame, presets: dict[str, dict] | None = None) -> DataFrame:
+    """``(project, preset)`` of many projects at once, from ``(project, path)`` of their files, paths from the project's root. A folder counts if it holds a file."""
+    path = F.col("path")
+    tests = {name: [_shown(x, path) for x in p["detect"]] for name, p in (presets if presets is not None else builtin()).items() if p.get("detect")}
+    shown = [F.when(reduce(Column.__or__, any_of), F.lit(name)) for name, any_of in tests.items()]
+    return files.select("project", F.explode(F.array_compact(F.array(*shown))).alias("preset")).distinct()
+
+
 def to_profile(name: str, root: str | Path, presets: dict[str, dict] | None = None) -> dict | None:
     """A profile's settings: folders and files that exist; the history of git is a command of its own."""
     root, preset = Path(root), (presets if presets is not None else builtin()).get(name)

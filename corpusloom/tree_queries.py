@@ -247,5 +247,5 @@ def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is a project, known by the names of its files."""
     names = "CASE doc_id % 40 WHEN 7 THEN 'README.md' WHEN 9 THEN 'go.mod' WHEN 11 THEN 'app.csproj' ELSE 'other.bin' END"
     root = tree(spark, sf_dir, "lang", f"concat(source, '/', {names})")
-    found = [(p.name, name) for p in sorted(root.iterdir()) if p.is_dir() for name in presets.detect(p)]
-    return spark.createDataFrame(found, "source string, preset string")
+    listed = files.listing(spark, root).where("contains(path, '/')")
+    return presets.detected(listed.select(F.substring_index("path", "/", 1).alias("project"), F.expr("substring(path, locate('/', path) + 1)").alias("path"))).withColumnRenamed("project", "source")

@@ -141,3 +141,16 @@ def test_all_profiles_in_one_plan(spark, tree):
         assert sorted(map(tuple, own.sections.select("seq", "path", "part", "tokens").collect())) == sorted(map(tuple, one.sections.select("seq", "path", "part", "tokens").collect()))
     with pytest.raises(ValueError):
         C.collect_all(spark, tree, {"x": Profile(command="ls")})
+
+
+def test_presets_of_many_projects(spark, tmp_path):
+    from corpusloom.plans import presets
+
+    shown = {"one": ["go.mod", "x/y.txt"], "two": ["docs/a.md", "src/app.csproj"], "three": ["app.csproj", "Cargo.toml.bak"], "four": ["sub/package.json"], "five": ["package.json", "README.md", "pyproject.toml"]}
+    for project, names in shown.items():
+        for name in names:
+            (tmp_path / project / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / project / name).write_text("x")
+    rows = [(project, name) for project, names in shown.items() for name in names]
+    got = {(r.project, r.preset) for r in presets.detected(spark.createDataFrame(rows, "project string, path string")).collect()}
+    assert got == {(project, name) for project in shown for name in presets.detect(tmp_path / project)} and len(got) > 4
