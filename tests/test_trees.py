@@ -182,10 +182,10 @@ def test_pieces_find_every_similar_pair(spark, monkeypatch):
 
     monkeypatch.setattr(D, "TILE", 3)
     rng = random.Random(5)
-    texts = {f"{'dn'[i % 2]}{i:02}{rng.choice(['.py', '.md', ''])}": "".join(rng.choice("abc \né漢") for _ in range(rng.choice([0, 1, 2, 5, 30, 60, 199, 250]))) for i in range(60)}
+    texts = {f"{'dn'[i % 2]}{i:03}{rng.choice(['.py', '.md', ''])}": "".join(rng.choice("aaaab\né漢") for _ in range(rng.choice([0, 1, 2, 3, 5, 30, 31, 34]))) for i in range(200)}
     rest = spark.createDataFrame([(p, p, "deleted" if p[0] == "d" else "added") for p in texts], "path string, sha256 string, state string")
     got = {(r.old_path, r.new_path): r.ratio for r in D.similar_pairs(rest, spark.createDataFrame(list(texts.items()), "sha256 string, content string")).collect()}
-    want = {(a, b): r for a in texts for b in texts if a[0] == "d" and b[0] == "n" and a[3:] == b[3:] and (r := difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()) > 0.7 and len(texts[a]) + len(texts[b])}
+    want = {(a, b): r for a in texts for b in texts if a[0] == "d" and b[0] == "n" and a[4:] == b[4:] and (r := difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()) > 0.7 and len(texts[a]) + len(texts[b])}
     both_empty = {(a, b) for a, b in got if not texts[a] and not texts[b]}
     assert {k: v for k, v in got.items() if k not in both_empty} == want and len(want) > 5
 
