@@ -155,3 +155,57 @@ query_of(
 query_of("structural_diff", f"SELECT doc_id, concat('### ', doc_id, chr(10), {_sql([x.changes for x in SAMPLES])}) AS content FROM documents")(
     lambda s, d: _code(s, d).select("doc_id", structural.structural_diffs()(F.col("text"), F.col("later"), F.col("doc_id").cast("string"), F.col("lang")).alias("content"))
 )
+
+
+class Scoped(NamedTuple):
+    """A text of a language that is read by its scopes, and its blocks by name: head, body."""
+
+    lang: str
+    text: str
+    blocks: tuple[tuple[str, str, str], ...]
+
+
+SCOPES = (
+    Scoped(
+        "javascript",
+        "import x from 'y';\n// don't { count\nexport async function run_NNN(a, {b} = {}) {\n  function inner() { return '}' }\n  return /[{}/]\\/\"/.test(a) ? `t ${ {z: 1}.z } }` : a / b / NNN\n}\nclass C extends B {\n  static go(x = {}) { for (const y of x) { w(y) } }\n  on = (e) => { this.go(e) }\n}\nconst arrow = async (a) => {\n  return a\n};\n",
+        (
+            ("run_NNN", "export async function run_NNN(a, {b} = {})", "{\n  function inner() { return '}' }\n  return /[{}/]\\/\"/.test(a) ? `t ${ {z: 1}.z } }` : a / b / NNN\n}"),
+            ("run_NNN.inner", "function inner()", "{ return '}' }"),
+            ("C", "class C extends B", "{\n  static go(x = {}) { for (const y of x) { w(y) } }\n  on = (e) => { this.go(e) }\n}"),
+            ("C.go", "static go(x = {})", "{ for (const y of x) { w(y) } }"),
+            ("C.on", "on = (e) =>", "{ this.go(e) }"),
+            ("arrow", "const arrow = async (a) =>", "{\n  return a\n}"),
+        ),
+    ),
+    Scoped(
+        "typescript",
+        "interface I_NNN<T> { a: string; b(): void }\ntype A = { x: number }\nnamespace N { export function f<T>(a: T): T { return a /* } */ } }\nabstract class K { private m<U>(a: U): Promise<U> { return x } }\n",
+        (
+            ("I_NNN", "interface I_NNN<T>", "{ a: string; b(): void }"),
+            ("A", "type A =", "{ x: number }"),
+            ("N", "namespace N", "{ export function f<T>(a: T): T { return a /* } */ } }"),
+            ("N.f", "export function f<T>(a: T): T", "{ return a /* } */ }"),
+            ("K", "abstract class K", "{ private m<U>(a: U): Promise<U> { return x } }"),
+            ("K.m", "private m<U>(a: U): Promise<U>", "{ return x }"),
+        ),
+    ),
+    Scoped(
+        "go",
+        "package p\n// }\nfunc main_NNN(a int) (int, error) {\n\tif a > 0 { return \"{\", nil }\n\tf := func() { x := `}` ; _ = x }\n\treturn '}', nil\n}\ntype T struct {\n\tx int\n}\nfunc (t *T) Get() int { return t.x }\nfunc broken() {\n",
+        (
+            ("main_NNN", "func main_NNN(a int) (int, error)", "{\n\tif a > 0 { return \"{\", nil }\n\tf := func() { x := `}` ; _ = x }\n\treturn '}', nil\n}"),
+            ("T", "type T struct", "{\n\tx int\n}"),
+            ("T.Get", "func (t *T) Get() int", "{ return t.x }"),
+            ("broken", "func broken()", "{\n"),
+        ),
+    ),
+)
+
+
+@query_of("code_scopes", " UNION ALL ".join(f"SELECT doc_id, {', '.join(f'{_quoted(v)} AS {k}' for k, v in zip(('name', 'signature', 'body'), b, strict=True))} FROM documents WHERE doc_id % {len(SCOPES)} = {i}" for i, x in enumerate(SCOPES) for b in x.blocks))
+def _by_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods, arrow functions, nested functions and types with their exact ends."""
+    chosen = lambda values: F.replace(F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(SCOPES) + 1).cast("int")), F.lit("NNN"), F.col("doc_id").cast("string"))
+    rows = docs(spark, sf_dir).select("doc_id", chosen([x.lang for x in SCOPES]).alias("lang"), chosen([x.text for x in SCOPES]).alias("text"))
+    return rows.select("doc_id", F.explode(parsers.blocks(F.col("text"), F.col("lang"), scoped=True)).alias("b")).select("doc_id", "b.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable
-from functools import cache
+from functools import cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.functions.languages import C_LIKE_READ, SCRIPT
+from corpusloom.functions.scopes import SCOPED, scoped_blocks
 from corpusloom.functions.text import strip
 
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -200,10 +201,12 @@ def script_blocks(text: str) -> dict[str, tuple[str, str]]:
     return {m[2]: (m[1].strip(), text[m.end() :].strip()) for pattern in P.SCRIPT_BLOCKS for m in _compiled(pattern).finditer(text)}
 
 
-def blocks_of(text: str | None, lang: str | None) -> dict[str, tuple[str, str]] | None:
-    """The blocks of a text; None for a language that isn't read and for Python with errors."""
+def blocks_of(text: str | None, lang: str | None, scoped: bool = False) -> dict[str, tuple[str, str]] | None:
+    """The blocks of a text; None for a language that isn't read and for Python with errors. ``scoped`` reads the languages of ``scopes`` by their scopes and not by patterns."""
     if text is None:
         return None
+    if scoped and lang in SCOPED:
+        return scoped_blocks(text, lang)
     if lang == "python":
         return python_blocks(text)
     if lang in C_LIKE_READ:
@@ -239,8 +242,8 @@ def _signature_row(text: str, lang: str) -> str | None:
     return python_signatures(text) if lang == "python" else None
 
 
-def _block_row(text: str, lang: str) -> list[dict] | None:
-    found = blocks_of(text, lang)
+def _block_row(text: str, lang: str, scoped: bool = False) -> list[dict] | None:
+    found = blocks_of(text, lang, scoped)
     return None if found is None else [{"name": n, "signature": s, "body": b} for n, (s, b) in found.items()]
 
 
@@ -276,6 +279,6 @@ def signatures(text: Column, lang: Column, python: bool = True) -> Column:
     return F.coalesce(found, text)
 
 
-def blocks(text: Column, lang: Column) -> Column:
+def blocks(text: Column, lang: Column, scoped: bool = False) -> Column:
     """Name, signature and body of each block; null where ``blocks_of`` has none."""
-    return _by_batch(BLOCK_TYPE, _block_row)(text, lang)
+    return _by_batch(BLOCK_TYPE, partial(_block_row, scoped=scoped))(text, lang)

@@ -47,9 +47,9 @@ def _label(name: str, signature: str) -> str:
     return f"class {name}" if kind in ("class", "interface") else f"function {name}" if kind in ("def", "function", "func", "fn") else name
 
 
-def structural_text(old: str, new: str, path: str, lang: str, fmt: str = "markdown") -> str:
-    """The difference by blocks; by lines for languages without blocks and texts with errors."""
-    before, after = blocks_of(old, lang), blocks_of(new, lang)
+def structural_text(old: str, new: str, path: str, lang: str, fmt: str = "markdown", scoped: bool = False) -> str:
+    """The difference by blocks, ``scoped`` as ``blocks_of`` takes it; by lines for languages without blocks and texts with errors."""
+    before, after = blocks_of(old, lang, scoped), blocks_of(new, lang, scoped)
     if before is None or after is None:
         return text_diff(old, new, path, fmt)
     out = [f"### {path}\n"]
@@ -71,12 +71,12 @@ def structural_text(old: str, new: str, path: str, lang: str, fmt: str = "markdo
     return "".join(out)
 
 
-def structural_diffs(fmt: str = "markdown"):
+def structural_diffs(fmt: str = "markdown", scoped: bool = False):
     """``structural_text`` as an Arrow function of old text, new text, path and language."""
 
     @F.arrow_udf("string")
     def run(old: pa.Array, new: pa.Array, path: pa.Array, lang: pa.Array) -> pa.Array:
         rows = zip(old.to_pylist(), new.to_pylist(), path.to_pylist(), lang.to_pylist(), strict=True)
-        return pa.array([structural_text(a or "", b or "", p, x or "", fmt) for a, b, p, x in rows], pa.string())
+        return pa.array([structural_text(a or "", b or "", p, x or "", fmt, scoped) for a, b, p, x in rows], pa.string())
 
     return run

@@ -135,7 +135,7 @@ class Engine:
         """``(statistics, sections)`` from a snapshot to another, or to the tree as it is.
 
         Against the tree, what the snapshot has and the tree's profile neither gives nor covers is left out; two snapshots are compared whole.
-        Statistics are of sections before grouping. Modes: ``full``; ``structural``, modified files by blocks; ``repo-map``, by signatures.
+        Statistics are of sections before grouping. Modes: ``full``; ``structural``, modified files by blocks; ``scopes``, the same with JavaScript, TypeScript and Go read by their scopes; ``repo-map``, by signatures.
         """
         old_id = self.resolve(snapshot_id)
         old = self.store.entries(old_id)
@@ -163,8 +163,8 @@ class Engine:
     def _by_blocks(self, sections: DataFrame, old: DataFrame, new: DataFrame, contents: DataFrame, fmt: str, mode: str) -> DataFrame:
         side = lambda df, name: df.join(contents, "sha256").select("path", F.col("content").alias(name))
         joined = sections.join(side(old, "old"), "path", "left").join(side(new, "new"), "path", "left").withColumn("lang", lang_for_path(F.col("path")))
-        if mode == "structural":
-            told = F.when(F.col("type") == "modified", structural.structural_diffs(fmt)("old", "new", "path", "lang"))
+        if mode in ("structural", "scopes"):
+            told = F.when(F.col("type") == "modified", structural.structural_diffs(fmt, mode == "scopes")("old", "new", "path", "lang"))
         else:
             read = lambda name: structural.exploded_blocks(joined.where(F.col("type").isin("modified", "added", "deleted") & F.col(name).isNotNull()).select("path", "lang", F.col(name).alias("content")))
             lines = structural.signature_lines(structural.block_changes(read("old"), read("new"))).select("path", F.col("content").alias("lines"))

@@ -45,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     one = commands.add_parser("diff", parents=[profiled])
     one.add_argument("--from", dest="start")
     one.add_argument("--to")
-    one.add_argument("--mode", choices=("full", "structural", "repo-map"), default="full")
+    one.add_argument("--mode", choices=("full", "structural", "scopes", "repo-map"), default="full")
     one.add_argument("--flat", action="store_true")
     one.add_argument("--stats", action="store_true")
     one.add_argument("--all", action="store_true")

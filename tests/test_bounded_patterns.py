@@ -93,3 +93,21 @@ def test_strip_and_compress_are_the_same(spark):
     df = spark.createDataFrame(rows, "t string")
     got = df.select(text.strip(F.col("t")).alias("s"), text.compress(F.col("t")).alias("c"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("s2"), F.regexp_replace(F.regexp_replace("t", "\n{2,}", "\n\n"), r"(?md)[ \t]+$", "").alias("c2"))
     assert got.where("s <> s2 OR c <> c2").count() == 0
+
+
+def test_scopes():
+    from corpusloom.functions.scopes import scoped_blocks
+
+    assert scoped_blocks("", "go") == {} and scoped_blocks("}{ ) ]", "javascript") == {}
+    nested = scoped_blocks("function a() { class B { c() { const d = () => { } } } }", "javascript")
+    assert list(nested) == ["a", "a.B", "a.B.c", "a.B.c.d"] and nested["a.B.c"] == ("c()", "{ const d = () => { } }")
+    assert scoped_blocks("/* a */ function f() { '", "javascript") == {"f": ("function f()", "{ '")}
+    rng = random.Random(7)
+    for _ in range(3000):  # whatever the text, a block is a piece of it that starts with a brace
+        t = random_text(rng, [*WORDS, "=>", "`", "${", "class A", "=", "/"])
+        for lang in ("javascript", "typescript", "go"):
+            assert all(body.startswith("{") and head + body[:1] and body in t for head, body in scoped_blocks(t, lang).values())
+    began = time.time()
+    scoped_blocks("\n" * 1_000_000 + "x `${ " * 5_000 + "import {\n" * 20_000, "javascript")
+    scoped_blocks("".join(f"function f{i}() {{ if (x) {{ return '}}' }} }}\n" for i in range(20_000)), "typescript")
+    assert time.time() - began < 60
