@@ -40,13 +40,16 @@ def split_text(text: Column, max_tokens: int, mode: str = "by_file", marker: str
     return sections(text, {"by_paragraph": PARAGRAPH, "by_marker": marker}.get(mode, FILE_MARKER))
 
 
-def _packed(items: list[str], separator: str, limit: int, tokens: Callable[[str], int]) -> list[str]:
-    """Neighbours joined as long as they are within the limit; one that is over it stands alone."""
+def _packed(items: list[str], separator: str, limit: int, tokens: Callable[[str], int], joint: bool = False) -> list[str]:
+    """Neighbours joined as long as they are within the limit; one that is over it stands alone.
+
+    They are within it by the sum of their own tokens, or, if ``joint``, by the tokens of what they make together.
+    """
     chunks: list[str] = []
     open_, used = "", 0
     for item in items:
         n = tokens(item)
-        if open_ and (n > limit or used + n > limit):
+        if open_ and (n > limit or (tokens(open_ + separator + item) if joint else used + n) > limit):
             chunks.append(open_)
             open_, used = "", 0
         if n > limit:
@@ -68,14 +71,15 @@ def _longest_prefix(text: str, at: int, limit: int, tokens: Callable[[str], int]
     return max(low, 1)
 
 
-def chunks_of(text: str, limit: int, tokens: Callable[[str], int], strict: bool = False) -> list[str]:
+def chunks_of(text: str, limit: int, tokens: Callable[[str], int], strict: bool = False, joint: bool = False) -> list[str]:
     """An oversized section by paragraphs, else by lines, else by characters.
 
     The first way that gives several chunks holds; a chunk may still be over the limit, unless ``strict``, which goes on.
+    Tokens are rounded, so the pieces of an oversized section may sum up to the limit and not part; with ``joint`` they do.
     """
     for separator in ("\n\n", "\n"):
-        if separator in text and len(found := _packed(text.split(separator), separator, limit, tokens)) > 1:
-            return [c for x in found for c in (chunks_of(x, limit, tokens, True) if tokens(x) > limit else [x])] if strict else found
+        if separator in text and len(found := _packed(text.split(separator), separator, limit, tokens, joint)) > 1:
+            return [c for x in found for c in (chunks_of(x, limit, tokens, True, joint) if tokens(x) > limit else [x])] if strict else found
     if isinstance(tokens, DefaultTokens):
         return [text[i : i + tokens.longest(limit)] for i in range(0, len(text), tokens.longest(limit))]
     found, at = [], 0
@@ -115,7 +119,7 @@ def oversized_chunks(max_tokens: int, tokens: Callable[[str], int] | None = None
     return run
 
 
-def _chunked(others: list[str], max_tokens: int, tokens: Callable[[str], int] | None, strict: bool):
+def _chunked(others: list[str], max_tokens: int, tokens: Callable[[str], int] | None, strict: bool, joint: bool):
     """A row for each chunk of the last column; a few texts at a time."""
     count = tokens or default_tokens()
 
@@ -123,7 +127,7 @@ def _chunked(others: list[str], max_tokens: int, tokens: Callable[[str], int] |
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
                 few = whole.slice(i, 64)
-                found = [chunks_of(t, max_tokens, count, strict) for t in few.column(len(others)).to_pylist()]
+                found = [chunks_of(t, max_tokens, count, strict, joint) for t in few.column(len(others)).to_pylist()]
                 rows = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
                 sizes, numbers, texts = zip(*[(len(own), n, x) for own in found for n, x in enumerate(own)], strict=True) if len(rows) else ((), (), ())
                 taken = few.take(rows)
@@ -141,7 +145,7 @@ def char_chunks(text: Column, max_tokens: int, chars_per_token: int = CHARS_PER_
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(width))))
 
 
-def exploded(rows: DataFrame, max_tokens: int, content: str = "content", tokens: Callable[[Column], Column] = count_tokens, plain: Callable[[str], int] | None = None, strict: bool = False) -> DataFrame:
+def exploded(rows: DataFrame, max_tokens: int, content: str = "content", tokens: Callable[[Column], Column] = count_tokens, plain: Callable[[str], int] | None = None, strict: bool = False, joint: bool = False) -> DataFrame:
     """Trimmed, non-blank rows as chunks: adds ``chunk_no``, ``n_chunks`` and ``tokens``; only oversized ones leave the JVM."""
     rows = rows.withColumn(content, strip(F.col(content))).where(F.col(content) != "").withColumn("tokens", tokens(F.col(content)))
     if max_tokens == -1:
@@ -150,6 +154,6 @@ def exploded(rows: DataFrame, max_tokens: int, content: str = "content", tokens:
     whole = rows.where(~large).withColumns({"chunk_no": F.lit(0), "n_chunks": F.lit(1)})
     others = [c for c in rows.columns if c not in (content, "tokens")]
     kinds = rows.select(*others).schema.add("n_chunks", IntegerType()).add("chunk_no", IntegerType()).add(content, StringType())
-    pieces = rows.where(large).select(*others, content).mapInArrow(_chunked(others, max_tokens, plain, strict), kinds)
+    pieces = rows.where(large).select(*others, content).mapInArrow(_chunked(others, max_tokens, plain, strict, joint), kinds)
     pieces = pieces.withColumn("tokens", tokens(F.col(content))).withColumn("oversized", F.lit(True))
     return whole.withColumn("oversized", F.lit(False)).unionByName(pieces)

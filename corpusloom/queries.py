@@ -368,9 +368,12 @@ query_of("cache_update", f"SELECT {PATH} AS path, doc_id % 8 <> 0 AS fresh FROM
 )
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a corpus: formatted, compressed, packed by source; sections and tokens of each part."""
+    """Documents as a corpus: formatted, compressed, packed by source; sections and tokens of each part.
+
+    The heading and the body of an oversized section are parts of their own also where their rounded tokens sum up to the limit.
+    """
     content = text.compress(formatting.section(_c("path"), languages.resolve_lang(_c("path"), _c()), _c()))
-    chunks = splitting.exploded(_corpus(spark, sf_dir).select("source", "doc_id", content.alias("content")), 2000)
+    chunks = splitting.exploded(_corpus(spark, sf_dir).select("source", "doc_id", content.alias("content")), 2000, joint=True)
     chunks = stored(chunks.select("source", "doc_id", "chunk_no", "tokens", "oversized"), "chunks")
     mapped = packing.part_map(chunks, 2000, "source", ["doc_id", "chunk_no"], "oversized")
     return mapped.groupBy("source", "part").agg(F.count("*").alias("sections"), F.sum("tokens").alias("tokens"))
