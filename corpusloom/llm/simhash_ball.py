@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.components import components
+from corpusloom.llm.components import components, stars
 from corpusloom.llm.shared import numbered, parts, stored
 
 #: The seed of the shingle hash, the words in a shingle and the largest distance of a link.
@@ -95,25 +95,6 @@ def variants(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.concat(*balls)).alias("variant"), "fp")
 
 
-def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same groups from fewer edges: each node but the least of its group, with that least one."""
-    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        now = label.copy()
-        np.minimum.at(now, label[a], low)
-        np.minimum.at(now, label[b], low)
-        while (up := now[now] != now).any():
-            now[up] = now[now[up]]
-        if (now == label).all():
-            break
-        label = now
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _near(key: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of equal key within the radius; rows are sorted by key. Each row meets those after it in its run."""
     end = np.searchsorted(key, key, side="right")
@@ -185,13 +166,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64), pa.int64()) for x in found], ["u", "v"])
 
 
+def linked(distinct: DataFrame) -> DataFrame:
+    """``(fp, root)`` of every distinct fingerprint that has a link; root is one of its group's."""
+    met = variants(distinct).repartition(parts(distinct.sparkSession), "variant").sortWithinPartitions("variant")
+    return components(met.mapInArrow(_meet, "u long, v long")).select(F.col("node").alias("fp"), "root")
+
+
 def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, row, fp)`` of every row, and ``(fp, root, component_id)`` of every distinct fingerprint."""
     prints = stored(fingerprints(docs, id_col, text_col, width, row_col=row_col), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    met = variants(nodes.select("fp")).repartition(parts(docs.sparkSession), "variant").sortWithinPartitions("variant")
-    label = components(met.mapInArrow(_meet, "u long, v long")).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(label, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(linked(nodes.select("fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints, rooted.join(of_root, "root").select("fp", "root", "component_id")
 
@@ -202,6 +187,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def candidates(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``(u, v)``: each row whose fingerprint is linked to others, or is another's too, with the first row of its group; rows by their number ``row_col``."""
+    prints = stored(fingerprints(rows, id_col, text_col, width, row_col=row_col).select("row", "fp"), "fingerprints")
+    rooted = prints.join(linked(prints.select("fp").distinct()), "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("row").alias("u"))
+    return rooted.join(first, "root").where("u <> row").select("u", F.col("row").alias("v"))
+
+
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each group stays: the one with the least id.
 

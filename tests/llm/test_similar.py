@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import shingle_links
+from corpusloom.llm import components, shingle_links, simhash_ball
 
 
 def shingles(text):
@@ -68,3 +68,30 @@ def test_stage(spark, docs, rows):
 
 def test_nothing(empty):
     assert shingle_links.survivors(empty).count() == 0
+
+
+def test_fingerprints_link_first(spark, tmp_path, monkeypatch):
+    """The stage gets links from SimHash balls over five-word shingles, of which the verified ones hold, and no false one."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(1500)]
+    rows = [(i, edited(rng, base, 0.001) if i else " ".join(base)) for i in range(12)] + [(100 + i, " ".join(rng.choices(words, k=300))) for i in range(6)]
+    path = str(tmp_path / "linked")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = simhash_ball.candidates(docs, "doc_id", width=5).collect()
+    assert {r.v for r in found} == set(range(1, 12)) and {r.u for r in found} == {0}
+    asked = []
+    monkeypatch.setattr(shingle_links, "candidates", lambda rows, row, **how: asked.append(how) or simhash_ball.candidates(rows, row, **how))
+    monkeypatch.setattr(shingle_links, "_met", lambda large: lambda batches: (b.schema.empty_table().to_batches()[0] for b in ()))  # shingles find nothing
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, *range(100, 106)]
+    assert asked == [{"width": 5}]
+
+
+def test_components_in_one_step_and_in_several(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
+    table = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    once, steps = (sorted(map(tuple, components.components(table, few).collect())) for few in (1 << 20, 0))
+    assert once == steps and (1040, 1000) in once
+    assert components.components(table.where("u > 5000")).count() == 0
