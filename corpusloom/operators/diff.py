@@ -11,17 +11,20 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions.languages import basename, dirname, suffix
 from corpusloom.functions.text import count_tokens
-from corpusloom.operators.textdiff import alike_pairs, command_diffs, text_diffs
-from corpusloom.shared import parts, stored
+from corpusloom.operators.textdiff import alike_pairs, command_diffs, first_alike, text_diffs
+from corpusloom.shared import parts, passing, stored
 
 #: Types in the order in which a grouped report has them.
 TYPES = ("renamed", "moved", "modified", "added", "deleted")
 SIMILAR, MAX_SIMILAR_BYTES = 0.7, 1_048_576
 #: Files and bytes of a piece of old or new files that are compared in one task; rounds in which pairs are matched side by side.
 TILE, TILE_BYTES, ROUNDS = 128, 1 << 23, 4
+#: Pairs of an extension up to which all that are alike are listed; files of a side that are tried; alike pairs for each file from which on an extension is a crowd; files of its blocks.
+FEW_PAIRS, TRIED, CROWD, BLOCK = 1 << 16, 64, 16, 512
 SECTION = "type string, path string, old_path string, similarity double, content string"
 
 
@@ -139,9 +142,68 @@ def greedy(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return reduce(DataFrame.unionByName, matched, by_extension.mapInArrow(_in_order, left.schema))
 
 
+def _crowds(text: DataFrame, least: float) -> DataFrame:
+    """Extensions of so many alike pairs, as some files tell, that these aren't to be listed. It decides how they are matched, not what."""
+    old = F.col("state") == "deleted"
+    sizes = text.groupBy("ext").agg(F.count_if(old).alias("n_old"), F.count_if(~old).alias("n_new")).where(F.col("n_old") * F.col("n_new") > FEW_PAIRS)
+    share = F.ceil(F.when(old, F.col("n_old")).otherwise(F.col("n_new")) / TRIED)
+    some = stored(text.join(sizes, "ext").where(F.pmod(F.xxhash64("path"), share) == 0), "tried")
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = alike_pairs(a["path"].to_pylist(), a["content"].to_pylist(), b["path"].to_pylist(), b["content"].to_pylist(), least).num_rows
+        kind = (a if a.num_rows else b)["ext"][0].as_py()
+        return pa.table({"ext": pa.array([kind], pa.string()), "alike": pa.array([found], pa.int64()), "tried": pa.array([a.num_rows * b.num_rows], pa.int64())})
+
+    told = some.where(old).groupBy("ext").cogroup(some.where(~old).groupBy("ext")).applyInArrow(count, "ext string, alike long, tried long")
+    n, m = F.col("n_old").cast("double"), F.col("n_new").cast("double")
+    return told.join(sizes, "ext").where(F.col("alike") * n * m > CROWD * (n + m) * F.col("tried")).select("ext")
+
+
+def _waves(text: DataFrame, least: float) -> DataFrame:
+    """The matches of ``greedy``, found block by block.
+
+    Old and new files of an extension are cut into blocks in order of their paths. What a block of old files takes from a block of new ones depends on what it took from earlier ones and
+    what earlier old files left of these, so all pairs of blocks whose numbers have one sum are matched side by side, sum by sum. A task holds two blocks, and a file that is
+    matched meets no other.
+    """
+    spark = text.sparkSession
+    size = text.agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes")).first()
+    pieces = max(1, -(-size.files // BLOCK), -(-(size.bytes or 0) // TILE_BYTES))
+    with passing(spark) as keep:
+        dealt = stored(text.select("ext", "state", "path", "content").repartitionByRange(pieces, "ext", "state", "path").withColumn("piece", F.spark_partition_id()), "dealt")
+        held = dealt.select("ext", "state", "piece").distinct()
+        blocks = stored(held.withColumn("block", F.row_number().over(Window.partitionBy("ext", "state").orderBy("piece"))), "blocks")
+        last = blocks.groupBy("ext").agg(F.sum(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        free, matched = stored(dealt.join(blocks, ["ext", "state", "piece"]).drop("piece"), "free"), []
+
+        def side(state: str, own: str, other: str, wave: int):
+            rows = free.where((F.col("state") == state) & (F.col("block") < wave))
+            return rows.select("ext", F.col("block").alias(own), (F.lit(wave) - F.col("block")).alias(other), "path", "content").groupBy("ext", "old_block", "new_block")
+
+        def match(a: pa.Table, b: pa.Table) -> pa.Table:
+            return first_alike(a["path"].to_pylist(), a["content"].to_pylist(), b["path"].to_pylist(), b["content"].to_pylist(), least)
+
+        for wave in range(2, last + 1):
+            pairs = side("deleted", "old_block", "new_block", wave).cogroup(side("added", "new_block", "old_block", wave))
+            matched.append(stored(pairs.applyInArrow(match, "old_path string, new_path string, ratio double"), "wave"))
+            free = stored(free.join(matched[-1].select(F.explode(F.array("old_path", "new_path")).alias("path")), "path", "left_anti"), "free")
+        return keep(reduce(DataFrame.unionByName, matched), "waves")
+
+
+def matches(rest: DataFrame, contents: DataFrame, least: float = SIMILAR, max_bytes: int = MAX_SIMILAR_BYTES) -> DataFrame:
+    """``greedy(similar_pairs())``; of extensions in which very many pairs are alike these aren't listed."""
+    kinds = rest.withColumn("ext", suffix(F.col("path")))
+    text = kinds.join(contents, "sha256").where((F.instr("content", "\0") == 0) & (F.octet_length("content") <= max_bytes)).select("ext", "state", "path", "content")
+    crowds = stored(_crowds(text, least), "crowds")
+    if crowds.isEmpty():
+        return greedy(similar_pairs(rest, contents, least, max_bytes))
+    calm = greedy(similar_pairs(kinds.join(crowds, "ext", "left_anti").drop("ext"), contents, least, max_bytes))
+    return calm.unionByName(_waves(stored(text.join(crowds, "ext", "left_semi"), "crowd-texts"), least))
+
+
 def similar_renames(rest: DataFrame, contents: DataFrame, fmt: str = "markdown", number: bool = False) -> DataFrame:
     """Sections of similar renames, with their text difference."""
-    matched = stored(greedy(similar_pairs(rest, contents)), "matches")
+    matched = stored(matches(rest, contents), "matches")
     by_path = rest.join(contents, "sha256").select("path", "state", "content")
     side = lambda state, path, name: by_path.where(F.col("state") == state).select(F.col("path").alias(path), F.col("content").alias(name))
     both = matched.join(side("deleted", "old_path", "old"), "old_path").join(side("added", "new_path", "new"), "new_path")

@@ -310,7 +310,7 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda side: rows.where(F.col("side") == side).select("path", "sha256")
     changes = stored(D.classified(of("old"), of("new")), "classified")
     rest = D.unmatched(changes, D.hash_groups(changes))
-    return D.greedy(D.similar_pairs(rest, rows.select("sha256", "content").dropDuplicates(["sha256"]))).select("old_path", "new_path", F.round("ratio", 9).alias("ratio"))
+    return D.matches(rest, rows.select("sha256", "content").dropDuplicates(["sha256"])).select("old_path", "new_path", F.round("ratio", 9).alias("ratio"))
 
 
 query_of("rename_similar")(lambda s, d: D.similar_renames(_rest(s, d), _contents(s, d)))

@@ -344,3 +344,26 @@ def test_bounds_leave_out_no_pair(monkeypatch):
     got = textdiff.alike_pairs([str(i) for i in range(len(old))], old, [str(j) for j in range(len(new))], new, 0.7).to_pylist()
     assert {(int(r["old_path"]), int(r["new_path"])): r["ratio"] for r in got if old[int(r["old_path"])] or new[int(r["new_path"])]} == want
     assert sum(n == 1500 for n in compared) < 60  # of over 1600 pairs of that length
+
+
+def test_crowds_are_matched_block_by_block(spark, monkeypatch):
+    """Extensions with and without many alike pairs, cut into small blocks, against the rule taken in order; no list of pairs is made of the crowd."""
+    rng = random.Random(8)
+    begun = "".join(chr(0x4E00 + i) for i in range(120))
+    text = lambda: begun[: rng.randint(10, 110)] + rng.choice("abcdef")
+    files = [(f"{side}{rng.random()}.{ext}", text() if ext == "x" else "".join(rng.choices(begun, k=40)), state) for ext, n in (("x", 40), ("y", 30)) for side, state in (("o", "deleted"), ("n", "added")) for _ in range(n)]
+    want, taken = [], set()
+    for path, a, _ in sorted(f for f in files if f[2] == "deleted"):
+        for other, b, _ in sorted(f for f in files if f[2] == "added"):
+            if other not in taken and other[-1] == path[-1] and (ratio := difflib.SequenceMatcher(None, a, b).ratio()) > 0.7:
+                taken.add(other)
+                want.append((path, other, ratio))
+                break
+    listed, real = [], D.similar_pairs
+    monkeypatch.setattr(D, "similar_pairs", lambda rest, *more: listed.append({r.path[-1] for r in rest.collect()}) or real(rest, *more))
+    for name, value in (("FEW_PAIRS", 100), ("CROWD", 1), ("BLOCK", 7)):
+        monkeypatch.setattr(D, name, value)
+    rest = spark.createDataFrame([(p, p, s) for p, _, s in files], "path string, sha256 string, state string")
+    contents = spark.createDataFrame([(p, t) for p, t, _ in files], "sha256 string, content string")
+    assert sorted(map(tuple, D.matches(rest, contents).select("old_path", "new_path", "ratio").collect())) == sorted(want)
+    assert listed == [{"y"}] and want
